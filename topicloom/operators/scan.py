@@ -73,7 +73,7 @@ def _grid_value(df: DataFrame, name: str) -> Column | None:
     return None
 
 
-def _blocks(rows: DataFrame, part: list[str], out: dict[str, Running], hot_rows: int) -> DataFrame:
+def _blocks(rows: DataFrame, part: list[str], out: dict[str, Running], hot_rows: int, grids: int, levels: int) -> DataFrame:
     """Give every row of a hot group its block (``__c0``..) and the totals around that block.
 
     ``d0``, ``d1``.. are the groups and slices above the limit, ``h0``.. the rows of hot groups.
@@ -88,24 +88,31 @@ def _blocks(rows: DataFrame, part: list[str], out: dict[str, Running], hot_rows:
 
     def dense(source: str, level: int, where: str) -> str:
         by = ", ".join(keys + cells(level))
+        ends = ", ".join(
+            f"min(if(abs(__g{i}) < {TOP}D, __g{i}, NULL)) AS lo{i}, max(if(abs(__g{i}) < {TOP}D, __g{i}, NULL)) AS hi{i}"
+            for i in range(grids)
+        )
+        # sliced by the first order column with more than one value, else by the last
+        choice = "CASE " + " ".join(f"WHEN lo{i} < hi{i} THEN {{{i}}}" for i in range(grids - 1)) + f" ELSE {{{grids - 1}}} END"
+        if grids == 1:
+            choice = "{0}"
+        pick = {what: choice.format(*[f"{what}{i}" if what else str(i) for i in range(grids)]) for what in ("", "lo", "hi")}
         return f"""
-            SELECT {by}, lo0 < hi0 AS first{level}, if(lo0 < hi0, lo0, lo1) AS lo{level},
-                   if(lo0 < hi0, hi0, hi1) AS hi{level}, ceil(2 * n / {hot_rows}D) AS n{level}
-            FROM (SELECT {by}, count(1) AS n,
-                         min(if(abs(__g0) < {TOP}D, __g0, NULL)) AS lo0, max(if(abs(__g0) < {TOP}D, __g0, NULL)) AS hi0,
-                         min(if(abs(__g1) < {TOP}D, __g1, NULL)) AS lo1, max(if(abs(__g1) < {TOP}D, __g1, NULL)) AS hi1
-                  FROM {source} {where} GROUP BY {by} HAVING n > {hot_rows})"""
+            SELECT {by}, {pick['']} AS by{level}, {pick['lo']} AS lo{level}, {pick['hi']} AS hi{level},
+                   ceil(2 * n / {hot_rows}D) AS n{level}
+            FROM (SELECT {by}, count(1) AS n, {ends} FROM {source} {where} GROUP BY {by} HAVING n > {hot_rows})"""
 
     def cell(level: int) -> str:
-        g, lo, hi = f"if(coalesce(first{level}, false), __g0, __g1)", f"lo{level}", f"hi{level}"
+        g = f"CASE by{level} " + " ".join(f"WHEN {i} THEN __g{i}" for i in range(grids)) + " END"
+        lo, hi = f"lo{level}", f"hi{level}"
         return f"""
             CASE WHEN n{level} IS NULL THEN NULL WHEN {g} IS NULL THEN -2
                  WHEN {hi} > {lo} THEN least(greatest(floor(({g} - {lo}) / ({hi} - {lo}) * n{level}), -1), n{level})
                  ELSE CAST(coalesce(sign({g} - {lo}), 0) AS BIGINT) END"""
 
     with_, values = [], [f"__v_{n}" for n in out]
-    scanned = keys + ["__g0", "__g1"] + values
-    for i in range(LEVELS):
+    scanned = keys + [f"__g{i}" for i in range(grids)] + values
+    for i in range(levels):
         source, where = ("{rows}", "") if i == 0 else (f"h{i - 1}", f"WHERE n{i - 1} IS NOT NULL")
         with_.append(f"d{i} AS ({dense(source, i, where)})")
         have = keys + cells(i)
@@ -115,21 +122,21 @@ def _blocks(rows: DataFrame, part: list[str], out: dict[str, Running], hot_rows:
             f"h{i} AS (SELECT /*+ BROADCAST(d) */ {carry_on}, d.n{i}, {cell(i)} AS __c{i} "
             f"FROM {source} s {how} d{i} d ON {on('s', 'd', have)})"
         )
-    every = keys + cells(LEVELS)
+    every = keys + cells(levels)
     sums = ", ".join(f"{r.fn}(__v_{n}) AS __t_{n}" for n, r in out.items())
-    with_.append(f"t AS (SELECT {', '.join(every)}, {sums} FROM h{LEVELS - 1} GROUP BY {', '.join(every)})")
+    with_.append(f"t AS (SELECT {', '.join(every)}, {sums} FROM h{levels - 1} GROUP BY {', '.join(every)})")
     outer = {
         "upto": "UNBOUNDED PRECEDING AND 1 PRECEDING", "before": "UNBOUNDED PRECEDING AND 1 PRECEDING",
         "from": "1 FOLLOWING AND UNBOUNDED FOLLOWING", "after": "1 FOLLOWING AND UNBOUNDED FOLLOWING",
     }
     around = ", ".join(
-        f"{r.fn}(__t_{n}) OVER (PARTITION BY {', '.join(keys)} ORDER BY {', '.join(cells(LEVELS))} "
+        f"{r.fn}(__t_{n}) OVER (PARTITION BY {', '.join(keys)} ORDER BY {', '.join(cells(levels))} "
         f"ROWS BETWEEN {outer[r.frame]}) AS __b_{n}"
         for n, r in out.items()
     )
     with_.append(f"carry AS (SELECT {', '.join(every)}, {around} FROM t)")
     source = "{rows}"
-    for i in range(LEVELS):
+    for i in range(levels):
         source = (
             f"(SELECT /*+ BROADCAST(d) */ s.*, {cell(i)} AS __c{i} FROM {source} s "
             f"LEFT JOIN d{i} d ON {on('s', 'd', keys + cells(i))})"
@@ -149,12 +156,16 @@ def ordered_scan(
     out: dict[str, Running],
     hot_rows: int | None = HOT_ROWS,
     keep: Callable[[dict[str, Column]], Column] | None = None,
+    levels: int = LEVELS,
 ) -> DataFrame:
     """Add running aggregates ``out`` along ``order`` (ascending) within ``part``.
 
     ``keep`` may give a condition on the totals carried into a block; blocks that fail it are
     left out before their rows are shuffled. ``hot_rows=None`` is for groups with a known small
     bound and gives the plain window.
+
+    ``df`` is read once per level and twice more (in narrow columns, but for the last time), so
+    an expensive ``df`` should be stored first, see :func:`topicloom.session.materialise`.
     """
     columns = df.columns
     part = list(part) or [WHOLE]
@@ -164,12 +175,16 @@ def ordered_scan(
 
     cells: list[str] = []
     if hot_rows is not None:
-        grids = [g for g in (_grid_value(rows, o) for o in list(orders)[:2]) if g is not None]
+        grids = []
+        for o in orders:
+            g = _grid_value(rows, o)
+            if g is None:
+                break
+            grids.append(g)
         if grids:
-            none = F.lit(None).cast("double")
-            rows = rows.withColumns({"__g0": grids[0], "__g1": grids[1] if len(grids) > 1 else none})
-            rows = _blocks(rows, part, out, hot_rows)
-            cells = [f"__c{i}" for i in range(LEVELS)]
+            rows = rows.withColumns({f"__g{i}": g for i, g in enumerate(grids)})
+            rows = _blocks(rows, part, out, hot_rows, len(grids), levels)
+            cells = [f"__c{i}" for i in range(levels)]
             if keep is not None:
                 rows = rows.where(keep({n: F.col(f"__b_{n}") for n in out}))
             # asked for by name: a child already split by `part` alone would keep a hot group whole

@@ -24,30 +24,29 @@ def tree_totals(leaves: DataFrame) -> DataFrame:
 
 
 def layout(leaves: DataFrame, depth: int, mode: str = "size", hot_rows: int | None = HOT_ROWS) -> DataFrame:
-    """Start ``x`` and width ``dx`` of every node of a tree whose leaves all lie at ``depth``.
+    """Start ``x`` and width ``dx`` of every node; the leaves' positions have up to ``depth`` entries.
 
-    One level at a time: a node starts at its parent's start plus the widths of its siblings
-    before it. No window holds more than the children of one node, and those are split when hot.
+    The running sum of the leaf values in tree order gives where each leaf starts. A node starts
+    with its first leaf and is as wide as its leaves together.
     """
-    value = F.sum("size") if mode == "size" else F.count(F.lit(1)).cast("double")
-    root = leaves.groupBy("tree").agg(value.alias("__root"))
-    start = root.select("tree", F.array().cast("array<string>").alias("path"), "__root", F.lit(0.0).alias("x"))
-    levels = [start.select("tree", "path", F.lit(0).alias("depth"), "x", F.col("__root").alias("value"), F.lit(1.0).alias("dx"))]
-    parent = start
-    for d in range(1, depth + 1):
-        node = leaves.groupBy(
-            "tree", F.slice("path", 1, d).alias("path"), F.get(F.col("ord"), F.lit(d - 1)).alias("at")
-        ).agg(value.alias("value"))
-        above = parent.select("tree", F.col("path").alias("__up"), "__root", F.col("x").alias("__x0"))
-        node = node.withColumn("__up", F.slice("path", 1, d - 1)).join(above, ["tree", "__up"])
-        placed = ordered_scan(node, ["tree", "__up"], ["at"], {"__left": Running("sum", F.col("value"), "before")}, hot_rows)
-        x = F.col("__x0") + F.coalesce(F.col("__left"), F.lit(0.0)) / F.col("__root")
-        parent = placed.select("tree", "path", "__root", x.alias("x"), "value")
-        levels.append(parent.select("tree", "path", F.lit(d).alias("depth"), "x", "value", (F.col("value") / F.col("__root")).alias("dx")))
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.unionByName(level)
-    return out
+    value = F.col("size") if mode == "size" else F.lit(1.0)
+    rows = leaves.select("tree", "path", "ord", value.cast("double").alias("value"))
+    order = [F.get(F.col("ord"), F.lit(d)) for d in range(depth)]
+    started = ordered_scan(
+        rows, ["tree"], order, {"left": Running("sum", F.col("value"), "before")}, hot_rows, levels=depth + 1
+    )
+    each = started.select(
+        "tree", "path", "value", F.coalesce("left", F.lit(0.0)).alias("left"),
+        F.explode(F.sequence(F.lit(0), F.size("path"))).alias("depth"),
+    )
+    nodes = each.groupBy("tree", "depth", F.slice("path", F.lit(1), F.col("depth")).alias("path")).agg(
+        F.min("left").alias("left"), F.sum("value").alias("value")
+    )
+    root = rows.groupBy("tree").agg(F.sum("value").alias("root"))
+    return nodes.join(root, "tree").select(
+        "tree", "path", "depth", (F.col("left") / F.col("root")).alias("x"), "value",
+        (F.col("value") / F.col("root")).alias("dx"),
+    )
 
 
 def zoom(nodes: DataFrame, x: float | Column, dx: float | Column, depth: int | Column) -> DataFrame:
