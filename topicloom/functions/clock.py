@@ -28,6 +28,15 @@ def epoch_millis(ts_ntz: Column) -> Column:
     return epoch_seconds(ts_ntz) * 1000 + F.floor(fraction * 1000).cast("bigint")
 
 
+def instant(df, ts: str) -> Column:
+    """Time column as an instant; a zone-less one is read as UTC."""
+    if not isinstance(df.schema[ts].dataType, T.TimestampNTZType):
+        return F.col(ts)
+    c = F.col(ts)
+    micros = F.floor((F.extract(F.lit("SECOND"), c) - F.second(c)) * 1000000).cast("bigint")
+    return F.timestamp_micros(epoch_seconds(c) * 1000000 + micros)
+
+
 def epoch_seconds_of(df, ts: str) -> Column:
     """Epoch seconds of column ``ts`` of ``df``, whatever its time type."""
     kind = df.schema[ts].dataType

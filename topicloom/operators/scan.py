@@ -110,17 +110,18 @@ def _blocks(rows: DataFrame, part: list[str], out: dict[str, Running], hot_rows:
                  WHEN {hi} > {lo} THEN least(greatest(floor(({g} - {lo}) / ({hi} - {lo}) * n{level}), -1), n{level})
                  ELSE CAST(coalesce(sign({g} - {lo}), 0) AS BIGINT) END"""
 
+    # the aliases stay on the columns as qualifiers, so they must not match a column of the caller
     with_, values = [], [f"__v_{n}" for n in out]
     scanned = keys + [f"__g{i}" for i in range(grids)] + values
     for i in range(levels):
         source, where = ("{rows}", "") if i == 0 else (f"h{i - 1}", f"WHERE n{i - 1} IS NOT NULL")
         with_.append(f"d{i} AS ({dense(source, i, where)})")
         have = keys + cells(i)
-        carry_on = ", ".join(f"s.{c}" for c in scanned + cells(i))
+        carry_on = ", ".join(f"__row.{c}" for c in scanned + cells(i))
         how = "JOIN" if i == 0 else "LEFT JOIN"
         with_.append(
-            f"h{i} AS (SELECT /*+ BROADCAST(d) */ {carry_on}, d.n{i}, {cell(i)} AS __c{i} "
-            f"FROM {source} s {how} d{i} d ON {on('s', 'd', have)})"
+            f"h{i} AS (SELECT /*+ BROADCAST(__full) */ {carry_on}, __full.n{i}, {cell(i)} AS __c{i} "
+            f"FROM {source} __row {how} d{i} __full ON {on('__row', '__full', have)})"
         )
     every = keys + cells(levels)
     sums = ", ".join(f"{r.fn}(__v_{n}) AS __t_{n}" for n, r in out.items())
@@ -138,13 +139,13 @@ def _blocks(rows: DataFrame, part: list[str], out: dict[str, Running], hot_rows:
     source = "{rows}"
     for i in range(levels):
         source = (
-            f"(SELECT /*+ BROADCAST(d) */ s.*, {cell(i)} AS __c{i} FROM {source} s "
-            f"LEFT JOIN d{i} d ON {on('s', 'd', keys + cells(i))})"
+            f"(SELECT /*+ BROADCAST(__full) */ __row.*, {cell(i)} AS __c{i} FROM {source} __row "
+            f"LEFT JOIN d{i} __full ON {on('__row', '__full', keys + cells(i))})"
         )
-    taken = ", ".join(f"c.__b_{n}" for n in out)
+    taken = ", ".join(f"__carry.__b_{n}" for n in out)
     query = (
-        f"WITH {', '.join(with_)} SELECT /*+ BROADCAST(c) */ s.*, {taken} "
-        f"FROM {source} s LEFT JOIN carry c ON {on('s', 'c', every)}"
+        f"WITH {', '.join(with_)} SELECT /*+ BROADCAST(__carry) */ __row.*, {taken} "
+        f"FROM {source} __row LEFT JOIN carry __carry ON {on('__row', '__carry', every)}"
     )
     return rows.sparkSession.sql(query, rows=rows)
 

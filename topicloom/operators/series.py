@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import safe_divide
+from ..session import materialise
 from .scan import HOT_ROWS, Running, ordered_scan, row_number
 
 SERIES = ["chart", "key"]
@@ -190,9 +191,9 @@ def wiggle_baseline(rows: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFra
         F.sum("y").alias("s1"), F.sum(F.col("__mid") * F.col("y")).alias("s2"), F.max("__dx").alias("dx")
     )
     step = F.coalesce(F.when(F.col("s1") != 0, F.col("s2") / F.col("s1") * F.col("dx")), F.lit(0.0))
-    walked = ordered_scan(
-        per_x.select("chart", "x", (-step).alias("step")), ["chart"], ["x"], {"o": Running("sum", F.col("step"))}, hot_rows
-    )
+    # stored, as the scan reads its input several times and this one rests on a scan itself
+    steps = materialise(per_x.select("chart", "x", (-step).alias("step")), "steps")
+    walked = ordered_scan(steps, ["chart"], ["x"], {"o": Running("sum", F.col("step"))}, hot_rows)
     lowest = walked.groupBy("chart").agg(F.least(F.min("o"), F.lit(0.0)).alias("l"))
     return walked.join(lowest, "chart").select("chart", "x", (F.col("o") - F.col("l")).alias("base"))
 

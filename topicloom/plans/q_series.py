@@ -162,12 +162,28 @@ def w_wiggle(spark, sf):
     return _stack(ev(spark, sf), "wiggle")
 
 
-@query("w10_series_order")
+_ORDER = """
+    , pk AS (SELECT series_idx, arg_max(x, struct_pack(y := y, x := -x)) AS peak, sum(y) AS w FROM ev GROUP BY series_idx),
+    rk AS (SELECT *, row_number() OVER (ORDER BY peak, series_idx) AS r FROM pk),
+    g AS (SELECT CAST(0 AS BIGINT) AS r, CAST(0 AS DOUBLE) AS top, CAST(0 AS DOUBLE) AS bottom, CAST(NULL AS INTEGER) AS series_idx, FALSE AS up
+          UNION ALL
+          SELECT rk.r, CASE WHEN g.top < g.bottom THEN g.top + w ELSE g.top END, CASE WHEN g.top < g.bottom THEN g.bottom ELSE g.bottom + w END,
+                 rk.series_idx, g.top < g.bottom FROM g JOIN rk ON rk.r = g.r + 1),
+    ord AS (SELECT CAST(row_number() OVER (ORDER BY up, CASE WHEN up THEN r ELSE -r END) - 1 AS INTEGER) AS pos, series_idx FROM g WHERE r > 0)"""
+
+
+def _recursive(text: str) -> str:
+    return text.replace("WITH", "WITH RECURSIVE", 1)
+
+
+@query("w10_series_order", _recursive(with_("ev", _ORDER + "SELECT 'events' AS chart, pos, series_idx FROM ord")))
 def w_order(spark, sf):
     return S.series_order(c.event_series(spark, sf))
 
 
-@query("w10_stream_stack")
+@query("w10_stream_stack", _recursive(with_("ev", _ORDER + """
+    , eo AS (SELECT ev.* REPLACE (ord.pos AS series_idx) FROM ev JOIN ord USING (series_idx))""" + _WIGGLE.replace("FROM ev)", "FROM eo)") + f"""
+    , t AS (SELECT key, x, dy, base + {_BELOW.format('series_idx')} AS y0 FROM s JOIN base USING (x)) SELECT {_OUT} FROM t""")))
 def w_stream(spark, sf):
     return _stack(ev(spark, sf), "wiggle", "inside-out")
 
@@ -180,11 +196,11 @@ def w_signed(spark, sf):
     return rounded(S.signed_stack(signed(spark, sf)).select("key", "x", "bar_lo", "bar_hi"), ["bar_lo", "bar_hi"])
 
 
-_REB = """, r AS (SELECT * REPLACE (round(y / 4000 - 1 - series_idx * 0.2, 6) AS y) FROM evi)"""
+_REB = """, r AS (SELECT * REPLACE (round(y / 4000 - 1 - series_idx * 0.2, 10) AS y) FROM evi)"""
 
 
 def _shares(spark, sf):
-    y = F.round(F.col("y") / 4000 - 1 - F.col("series_idx") * 0.2, 6)
+    y = F.round(F.col("y") / 4000 - 1 - F.col("series_idx") * 0.2, 10)
     return evi(spark, sf).withColumn("y", y)
 
 
@@ -256,7 +272,7 @@ _NEAREST = with_("pts probes", """
     , n AS (SELECT p.probe_id, p.key, p.at, q.idx, q.x, q.y, row_number() OVER (PARTITION BY p.probe_id ORDER BY abs(q.x - p.at),
               CASE WHEN q.x < p.at THEN 0 ELSE 1 END, CASE WHEN q.x < p.at THEN -q.idx ELSE q.idx END) AS rn
             FROM probes p JOIN pts q ON p.key = q.key)
-    SELECT probe_id, key, CAST(at AS DOUBLE) AS at, idx, CAST(x AS DOUBLE) AS x, y FROM n WHERE rn = 1""")
+    SELECT probe_id, key, CAST("at" AS DOUBLE) AS "at", idx, CAST(x AS DOUBLE) AS x, y FROM n WHERE rn = 1""")
 
 
 @query("j05_nearest", _NEAREST)
@@ -277,7 +293,7 @@ def _value_probes(spark, sf):
     , p AS (SELECT doc_id AS probe_id, doc_id % 30 + {DAY0} AS x, CAST((n_chars * 31) % 4000 + 1000 AS DOUBLE) AS at FROM documents),
     n AS (SELECT p.probe_id, p.x, p.at, e.series_idx AS idx, row_number() OVER (PARTITION BY p.probe_id ORDER BY abs(p.at - e.y), e.series_idx DESC) AS rn
           FROM p LEFT JOIN ev e ON p.x = e.x AND abs(p.at - e.y) < 150)
-    SELECT probe_id, x, at, idx FROM n WHERE rn = 1"""))
+    SELECT probe_id, x, "at", idx FROM n WHERE rn = 1"""))
 def j_within(spark, sf):
     return lookup.nearest_within(ev(spark, sf), _value_probes(spark, sf), ["x"], 150.0, value="y", idx="series_idx")
 
@@ -287,7 +303,7 @@ def j_within(spark, sf):
                CAST(n_chars % 200 AS DOUBLE) AS at FROM documents),
     n AS (SELECT p.probe_id, p.key, p.at, e.event_id AS idx, row_number() OVER (PARTITION BY p.probe_id ORDER BY abs(e.value - p.at), e.event_id) AS rn
           FROM p JOIN events e ON e.event_type = p.key)
-    SELECT probe_id, key, at, idx FROM n WHERE rn = 1""")
+    SELECT probe_id, key, "at", idx FROM n WHERE rn = 1""")
 def j_closest(spark, sf):
     points = table(spark, sf, "events").select(F.col("event_type").alias("key"), F.col("value").alias("x"), F.col("event_id").alias("idx"))
     probes = c.doc_probes(spark, sf).select("probe_id", "key", (F.col("n_chars") % 200).cast("double").alias("at"))

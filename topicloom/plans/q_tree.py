@@ -138,9 +138,21 @@ def k_tree(spark, sf):
     return rounded(words.select("cluster", "t_ord", "topic", "w_ord", F.col("w.name").alias("word"), F.col("w.size").alias("size")), ["size"], 9)
 
 
-@query("k03_tree_fragments")
+@query("k03_tree_fragments", with_(TREE, """
+    , e AS (SELECT *, coalesce(word_rank = 1, TRUE) AS ot, coalesce(word_rank = max(word_rank) OVER (PARTITION BY cluster, topic), TRUE) AS zt,
+            topic_rank = 1 AS t1, topic_rank = max(topic_rank) OVER (PARTITION BY cluster) AS tz,
+            cluster = min(cluster) OVER () AS c1, cluster = max(cluster) OVER () AS cz FROM tree)
+    SELECT cluster, topic_rank, word_rank,
+           CASE WHEN ot AND t1 AND c1 THEN '{"name":"corpus","children":[' ELSE '' END || CASE WHEN ot AND t1 AND NOT c1 THEN ',' ELSE '' END ||
+           CASE WHEN ot AND t1 THEN '{"name":"Cluster ' || cluster || '","children":[' ELSE '' END || CASE WHEN ot AND NOT t1 THEN ',' ELSE '' END ||
+           CASE WHEN ot THEN '{"name":"Topic ' || topic || '","children":[' ELSE ',' END ||
+           CASE WHEN word IS NULL THEN '' ELSE '{"name":' || CAST(to_json(word) AS VARCHAR) || ',"size":#}' END ||
+           CASE WHEN zt THEN ']}' ELSE '' END || CASE WHEN zt AND tz THEN ']}' ELSE '' END || CASE WHEN zt AND tz AND cz THEN ']}' ELSE '' END AS fragment
+    FROM e"""))
 def k_fragments(spark, sf):
-    return output.tree_fragments(tree_rows(spark, sf), "corpus")
+    f = output.tree_fragments(tree_rows(spark, sf), "corpus")
+    # numbers are written differently by the two engines
+    return f.withColumn("fragment", F.regexp_replace("fragment", r'"size":[0-9.E-]+', '"size":#'))
 
 
 @query("s07_tree_json", _NESTED)
@@ -262,7 +274,7 @@ def p_threshold(spark, sf):
 
 @query("o05_ranked_edges", with_("sim", "SELECT i, j, sim, row_number() OVER (PARTITION BY i ORDER BY sim DESC, j) AS rank FROM sim"))
 def o_edges(spark, sf):
-    return graph.rank_edges(c.topic_sim(spark, sf)).select("i", "j", "sim", "rank")
+    return graph.rank_edges(materialise(c.topic_sim(spark, sf), "sim")).select("i", "j", "sim", "rank")
 
 
 @query("o05_group_sums", f"SELECT i, round(sum(sim), 6) + 0.0 AS value FROM ({_THRESHOLD}) GROUP BY i")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions import instant
 from ..operators.series import tail
 from ..session import fresh_path
 
@@ -18,7 +19,9 @@ def stream_topic_series(df: DataFrame, ts: str, values: dict[str, str], width: s
     Works on a stream and on a table alike. On a stream, rows later than the watermark are
     dropped by the engine; :func:`dropped_rows` tells how many.
     """
-    source = df.withWatermark(ts, watermark) if df.isStreaming else df
+    source = df.withColumn(ts, instant(df, ts))
+    if df.isStreaming:
+        source = source.withWatermark(ts, watermark)
     sums = [F.sum(c).alias(name) for name, c in values.items()]
     binned = source.groupBy(F.window(ts, width).alias("w")).agg(*sums, F.count(F.lit(1)).alias("count"))
     return binned.select(
