@@ -8,12 +8,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ISO_WITH_ZONE = "yyyy-MM-dd'T'HH:mm:ssX"
+# zone written as Z or +hh, or as +hh:mm
+ISO_WITH_ZONE = ("yyyy-MM-dd'T'HH:mm:ssX", "yyyy-MM-dd'T'HH:mm:ssXXX")
 
 
-def parse_epoch_seconds(text: Column, fmt: str = ISO_WITH_ZONE) -> Column:
+def parse_epoch_seconds(text: Column, formats: tuple[str, ...] = ISO_WITH_ZONE) -> Column:
     """ISO string with a zone to epoch seconds; text that does not parse gives null."""
-    return F.unix_timestamp(F.try_to_timestamp(text, F.lit(fmt)))
+    return F.unix_timestamp(F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats]))
 
 
 def epoch_seconds(ts_ntz: Column) -> Column:

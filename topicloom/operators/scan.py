@@ -4,24 +4,27 @@ A plain ``OVER (PARTITION BY g ORDER BY x)`` sorts a whole group in one task. He
 more than ``hot_rows`` rows is first cut into blocks along its order, each block is scanned in a
 task of its own, and the totals of the blocks before (or after) it are added.
 
-A block is a pure function of the row and of exact counts, minima and maxima, so every
-evaluation of the plan, also one after an executor loss, cuts at the same places. The blocks of a
-group are equal slices of the range of the first order column; a slice that is still too full is
-sliced again, by the same column or, where all its values are equal, by the next one.
+A block is a function of the row and of stored counts, minima and maxima, so every evaluation of
+the plan, also one after an executor loss, cuts at the same places. The blocks of a group are
+equal slices of the range of the first order column; a slice that is still too full is sliced
+again, by the same column or, where all its values are equal, by the next one.
 
-The tables that are broadcast hold the hot groups, the full slices and the blocks. By the count
-test each has at most a small multiple of ``rows / hot_rows`` rows.
+The stored tables hold the hot groups, the full slices and the block totals. By the count test
+each has at most a small multiple of ``rows / hot_rows`` rows, which is why they are broadcast.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialise
+
 HOT_ROWS = 4_000_000
 LEVELS = 3
 WHOLE = "__whole"
@@ -44,13 +47,14 @@ class Running:
 _AGG = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
-def _frame(w, frame: str):
-    return {
-        "upto": w.rowsBetween(Window.unboundedPreceding, Window.currentRow),
-        "before": w.rowsBetween(Window.unboundedPreceding, -1),
-        "from": w.rowsBetween(Window.currentRow, Window.unboundedFollowing),
-        "after": w.rowsBetween(1, Window.unboundedFollowing),
-    }[frame]
+def _frame(part: list[str], orders: list[str], frame: str):
+    """Window for a frame. Frames that look ahead run backwards over the reversed order: a frame
+    with an unbounded end is computed anew for every row."""
+    by = [F.col(o).asc_nulls_first() for o in orders]
+    if frame in ("from", "after"):
+        by = [F.col(o).desc_nulls_last() for o in orders]
+    last = Window.currentRow if frame in ("upto", "from") else -1
+    return Window.partitionBy(*part).orderBy(*by).rowsBetween(Window.unboundedPreceding, last)
 
 
 def _combine(fn: str, near: Column, carried: Column) -> Column:
@@ -67,87 +71,85 @@ def _grid_value(df: DataFrame, name: str) -> Column | None:
         return F.conv(head, 16, 10).cast("double")
     if isinstance(kind, (T.DoubleType, T.FloatType)):
         v = F.col(name).cast("double")
-        return F.when(F.isnan(v), F.lit(TOP)).otherwise(F.greatest(F.least(v, F.lit(TOP)), F.lit(-TOP)))
+        clipped = F.greatest(F.least(v, F.lit(TOP)), F.lit(-TOP))
+        return F.when(F.isnan(v), F.lit(TOP)).when(v.isNotNull(), clipped)
     if isinstance(kind, T.NumericType):
         return F.col(name).cast("double")
     return None
 
 
-def _blocks(rows: DataFrame, part: list[str], out: dict[str, Running], hot_rows: int, grids: int, levels: int) -> DataFrame:
-    """Give every row of a hot group its block (``__c0``..) and the totals around that block.
+def _attach(rows: DataFrame, table: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Join a small stored table on null-safe keys."""
+    named = table.select(*[F.col(c).alias(f"__key_{c}") if c in keys else F.col(c) for c in table.columns])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in keys])
+    return rows.join(F.broadcast(named), same, how).drop(*[f"__key_{k}" for k in keys])
+
+
+def _full(rows: DataFrame, keys: list[str], grids: list[str], level: int, hot_rows: int) -> DataFrame:
+    """Groups or slices above the limit: by which order column to slice, over what range, how often."""
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for i, g in enumerate(grids):
+        finite = F.when(F.abs(F.col(g)) < TOP, F.col(g))
+        aggs += [F.min(finite).alias(f"lo{i}"), F.max(finite).alias(f"hi{i}")]
+    last = len(grids) - 1
+    by, lo, hi = F.lit(last), F.col(f"lo{last}"), F.col(f"hi{last}")
+    for i in reversed(range(last)):
+        spread = F.col(f"lo{i}") < F.col(f"hi{i}")
+        by = F.when(spread, F.lit(i)).otherwise(by)
+        lo = F.when(spread, F.col(f"lo{i}")).otherwise(lo)
+        hi = F.when(spread, F.col(f"hi{i}")).otherwise(hi)
+    return rows.groupBy(*keys).agg(*aggs).where(F.col("n") > hot_rows).select(
+        *keys, by.alias(f"__by{level}"), lo.alias(f"__lo{level}"), hi.alias(f"__hi{level}"),
+        F.ceil(2 * F.col("n") / F.lit(float(hot_rows))).alias(f"__n{level}"),
+    )
 
-    ``d0``, ``d1``.. are the groups and slices above the limit, ``h0``.. the rows of hot groups.
-    """
-    keys = [f"`{p}`" for p in part]
-
-    def cells(n: int) -> list[str]:
-        return [f"__c{i}" for i in range(n)]
-
-    def on(left: str, right: str, names: list[str]) -> str:
-        return " AND ".join(f"{left}.{c} <=> {right}.{c}" for c in names)
-
-    def dense(source: str, level: int, where: str) -> str:
-        by = ", ".join(keys + cells(level))
-        ends = ", ".join(
-            f"min(if(abs(__g{i}) < {TOP}D, __g{i}, NULL)) AS lo{i}, max(if(abs(__g{i}) < {TOP}D, __g{i}, NULL)) AS hi{i}"
-            for i in range(grids)
-        )
-        # sliced by the first order column with more than one value, else by the last
-        choice = "CASE " + " ".join(f"WHEN lo{i} < hi{i} THEN {{{i}}}" for i in range(grids - 1)) + f" ELSE {{{grids - 1}}} END"
-        if grids == 1:
-            choice = "{0}"
-        pick = {what: choice.format(*[f"{what}{i}" if what else str(i) for i in range(grids)]) for what in ("", "lo", "hi")}
-        return f"""
-            SELECT {by}, {pick['']} AS by{level}, {pick['lo']} AS lo{level}, {pick['hi']} AS hi{level},
-                   ceil(2 * n / {hot_rows}D) AS n{level}
-            FROM (SELECT {by}, count(1) AS n, {ends} FROM {source} {where} GROUP BY {by} HAVING n > {hot_rows})"""
-
-    def cell(level: int) -> str:
-        g = f"CASE by{level} " + " ".join(f"WHEN {i} THEN __g{i}" for i in range(grids)) + " END"
-        lo, hi = f"lo{level}", f"hi{level}"
-        return f"""
-            CASE WHEN n{level} IS NULL THEN NULL WHEN {g} IS NULL THEN -2
-                 WHEN {hi} > {lo} THEN least(greatest(floor(({g} - {lo}) / ({hi} - {lo}) * n{level}), -1), n{level})
-                 ELSE CAST(coalesce(sign({g} - {lo}), 0) AS BIGINT) END"""
-
-    # the aliases stay on the columns as qualifiers, so they must not match a column of the caller
-    with_, values = [], [f"__v_{n}" for n in out]
-    scanned = keys + [f"__g{i}" for i in range(grids)] + values
-    for i in range(levels):
-        source, where = ("{rows}", "") if i == 0 else (f"h{i - 1}", f"WHERE n{i - 1} IS NOT NULL")
-        with_.append(f"d{i} AS ({dense(source, i, where)})")
-        have = keys + cells(i)
-        carry_on = ", ".join(f"__row.{c}" for c in scanned + cells(i))
-        how = "JOIN" if i == 0 else "LEFT JOIN"
-        with_.append(
-            f"h{i} AS (SELECT /*+ BROADCAST(__full) */ {carry_on}, __full.n{i}, {cell(i)} AS __c{i} "
-            f"FROM {source} __row {how} d{i} __full ON {on('__row', '__full', have)})"
-        )
-    every = keys + cells(levels)
-    sums = ", ".join(f"{r.fn}(__v_{n}) AS __t_{n}" for n, r in out.items())
-    with_.append(f"t AS (SELECT {', '.join(every)}, {sums} FROM h{levels - 1} GROUP BY {', '.join(every)})")
-    outer = {
-        "upto": "UNBOUNDED PRECEDING AND 1 PRECEDING", "before": "UNBOUNDED PRECEDING AND 1 PRECEDING",
-        "from": "1 FOLLOWING AND UNBOUNDED FOLLOWING", "after": "1 FOLLOWING AND UNBOUNDED FOLLOWING",
-    }
-    around = ", ".join(
-        f"{r.fn}(__t_{n}) OVER (PARTITION BY {', '.join(keys)} ORDER BY {', '.join(cells(levels))} "
-        f"ROWS BETWEEN {outer[r.frame]}) AS __b_{n}"
-        for n, r in out.items()
+
+def _slice(rows: DataFrame, full: DataFrame, keys: list[str], grids: list[str], level: int, how: str) -> DataFrame:
+    """Number the slice of each row of a full group (``__c``); rows of other groups get null."""
+    by, lo, hi, n = (F.col(f"__{c}{level}") for c in ("by", "lo", "hi", "n"))
+    g = F.col(grids[-1])
+    for i in reversed(range(len(grids) - 1)):
+        g = F.when(by == i, F.col(grids[i])).otherwise(g)
+    inside = F.least(F.greatest(F.floor((g - lo) / (hi - lo) * n), F.lit(-1)), n)
+    cell = (
+        F.when(n.isNull(), None)
+        .when(g.isNull(), -2)
+        .when(hi > lo, inside)
+        .otherwise(F.coalesce(F.signum(g - lo), F.lit(0)).cast("bigint"))
+    )
+    return _attach(rows, full, keys, how).withColumn(f"__c{level}", cell.cast("bigint")).drop(
+        f"__by{level}", f"__lo{level}", f"__hi{level}"
     )
-    with_.append(f"carry AS (SELECT {', '.join(every)}, {around} FROM t)")
-    source = "{rows}"
-    for i in range(levels):
-        source = (
-            f"(SELECT /*+ BROADCAST(__full) */ __row.*, {cell(i)} AS __c{i} FROM {source} __row "
-            f"LEFT JOIN d{i} __full ON {on('__row', '__full', keys + cells(i))})"
-        )
-    taken = ", ".join(f"__carry.__b_{n}" for n in out)
-    query = (
-        f"WITH {', '.join(with_)} SELECT /*+ BROADCAST(__carry) */ __row.*, {taken} "
-        f"FROM {source} __row LEFT JOIN carry __carry ON {on('__row', '__carry', every)}"
+
+
+def _blocks(rows: DataFrame, part: list[str], out: dict[str, Running], hot_rows: int,
+            grids: list[str], levels: int) -> tuple[DataFrame, list[str]]:
+    """Give the rows of hot groups their block and the totals around it; returns the block columns.
+
+    The tables of full groups, full slices and block totals are stored as they are found: they
+    are small, they are frozen for every later evaluation, and an empty one ends the search, so
+    without a hot group the plan stays a plain window.
+    """
+    cells: list[str] = []
+    hot = rows.select(*part, *grids, *[f"__v_{n}" for n in out])
+    for level in range(levels):
+        keys = part + cells
+        inside = hot if level == 0 else hot.where(F.col(f"__n{level - 1}").isNotNull())
+        full = materialise(_full(inside, keys, grids, level, hot_rows), "full")
+        if full.isEmpty():
+            break
+        hot = _slice(hot, full, keys, grids, level, "inner" if level == 0 else "left")
+        rows = _slice(rows, full, keys, grids, level, "left")
+        cells.append(f"__c{level}")
+    if not cells:
+        return rows, cells
+    totals = hot.groupBy(*part, *cells).agg(*[_AGG[r.fn](f"__v_{n}").alias(f"__t_{n}") for n, r in out.items()])
+    ahead = {"upto": "before", "before": "before", "from": "after", "after": "after"}
+    carry = totals.select(
+        *part, *cells,
+        *[_AGG[r.fn](f"__t_{n}").over(_frame(part, cells, ahead[r.frame])).alias(f"__b_{n}") for n, r in out.items()],
     )
-    return rows.sparkSession.sql(query, rows=rows)
+    return _attach(rows, materialise(carry, "carry"), part + cells, "left"), cells
 
 
 def ordered_scan(
@@ -165,8 +167,9 @@ def ordered_scan(
     left out before their rows are shuffled. ``hot_rows=None`` is for groups with a known small
     bound and gives the plain window.
 
-    ``df`` is read once per level and twice more (in narrow columns, but for the last time), so
-    an expensive ``df`` should be stored first, see :func:`topicloom.session.materialise`.
+    ``df`` is read once, in narrow columns, to look for hot groups, and once for the result;
+    with hot groups once more per level and for the totals. An expensive ``df`` should be stored
+    first, see :func:`topicloom.session.materialise`.
     """
     columns = df.columns
     part = list(part) or [WHOLE]
@@ -184,17 +187,16 @@ def ordered_scan(
             grids.append(g)
         if grids:
             rows = rows.withColumns({f"__g{i}": g for i, g in enumerate(grids)})
-            rows = _blocks(rows, part, out, hot_rows, len(grids), levels)
-            cells = [f"__c{i}" for i in range(levels)]
+            rows, cells = _blocks(rows, part, out, hot_rows, [f"__g{i}" for i in range(len(grids))], levels)
+        if cells:
             if keep is not None:
                 rows = rows.where(keep({n: F.col(f"__b_{n}") for n in out}))
             # asked for by name: a child already split by `part` alone would keep a hot group whole
             rows = rows.repartition(*part, *cells)
 
-    w = Window.partitionBy(*part, *cells).orderBy(*orders)
     results = {}
     for n, r in out.items():
-        near = _AGG[r.fn](f"__v_{n}").over(_frame(w, r.frame))
+        near = _AGG[r.fn](f"__v_{n}").over(_frame(part + cells, list(orders), r.frame))
         results[n] = _combine(r.fn, near, F.col(f"__b_{n}")) if cells else near
     return rows.select(*[c for c in columns if c not in results], *[c.alias(n) for n, c in results.items()])
 
