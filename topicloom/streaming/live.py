@@ -23,9 +23,9 @@ def stream_topic_series(df: DataFrame, ts: str, values: dict[str, str], width: s
     if df.isStreaming:
         source = source.withWatermark(ts, watermark)
     sums = [F.sum(c).alias(name) for name, c in values.items()]
-    binned = source.groupBy(F.window(ts, width).alias("w")).agg(*sums, F.count(F.lit(1)).alias("count"))
+    binned = source.groupBy(F.window(ts, width).alias("__bin")).agg(*sums, F.count(F.lit(1)).alias("count"))
     return binned.select(
-        F.col("w.start").alias("bin_start"), F.col("w.end").alias("bin_end"), *values, "count"
+        F.col("__bin.start").alias("bin_start"), F.col("__bin.end").alias("bin_end"), *values, "count"
     )
 
 
