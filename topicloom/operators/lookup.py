@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .joins import measured
 from .scan import HOT_ROWS, Running, ordered_scan
 
 
@@ -100,7 +101,7 @@ def cross_section(points: DataFrame, probes: DataFrame, expand: bool = False, pr
     The total row is left out in share mode, below two series, and when every value is null.
     """
     keys = points.select("chart", "key").distinct()
-    spread = probes.join(keys, "chart")
+    spread = probes.join(measured(keys), "chart")
     rows = nearest(points, spread, ["chart", "key"], probe=probe, hot_rows=hot_rows)
     if expand:
         return rows.select("chart", probe, "key", F.col("y").alias("value"), F.lit(False).alias("total"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .joins import measured
 from .scan import HOT_ROWS, row_number
 
 POINTS = 100_000
@@ -75,7 +76,7 @@ def tree_fragments(rows: DataFrame, root: str) -> DataFrame:
     per_topic = rows.groupBy("cluster", "topic").agg(F.max("word_rank").alias("last_word"))
     per_cluster = rows.groupBy("cluster").agg(F.max("topic_rank").alias("last_topic"))
     ends = per_cluster.select(F.struct(F.min("cluster").alias("a"), F.max("cluster").alias("z"))).scalar()
-    d = rows.join(per_topic, ["cluster", "topic"]).join(per_cluster, "cluster")
+    d = rows.join(measured(per_topic), ["cluster", "topic"]).join(measured(per_cluster), "cluster")
     opens_topic = F.coalesce(F.col("word_rank") == 1, F.lit(True))
     closes_topic = F.coalesce(F.col("word_rank") == F.col("last_word"), F.lit(True))
     opens_cluster = opens_topic & (F.col("topic_rank") == 1)

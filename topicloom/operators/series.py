@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import safe_divide
 from ..session import materialise
+from .joins import measured
 from .scan import HOT_ROWS, Running, ordered_scan, row_number
 
 SERIES = ["chart", "key"]
@@ -37,7 +38,7 @@ def select_series(series: DataFrame, off: list[str]) -> DataFrame:
     """Drop the series named in ``off``; a chart with all of its series off gets all back."""
     hidden = F.col("key").isin(off)
     charts = series.groupBy("chart").agg(F.min(hidden.cast("int")).alias("__all_off"))
-    shown = series.join(charts, "chart").where(~hidden | (F.col("__all_off") == 1))
+    shown = series.join(measured(charts), "chart").where(~hidden | (F.col("__all_off") == 1))
     return shown.drop("__all_off")
 
 
@@ -49,7 +50,7 @@ def solo(series: DataFrame, key: str, toggle: bool = False) -> DataFrame:
     lit_keys = F.when(F.col("enabled"), F.col("key"))
     shown = series.groupBy("chart").agg(F.min(lit_keys).alias("__a"), F.max(lit_keys).alias("__z"))
     single = F.coalesce(F.col("__a") == F.col("__z"), F.lit(False))
-    return series.join(shown, "chart").withColumn("enabled", single | only).drop("__a", "__z")
+    return series.join(measured(shown), "chart").withColumn("enabled", single | only).drop("__a", "__z")
 
 
 def split_series(series: DataFrame, kind: str, axis: int) -> DataFrame:
@@ -68,7 +69,7 @@ def stride(series: DataFrame, m: int, hot_rows: int | None = HOT_ROWS) -> DataFr
     """Every k-th point, ``k = ceil(points / m)``."""
     indexed = point_index(series, hot_rows)
     counts = series.groupBy(*SERIES).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(m))).alias("__k"))
-    return indexed.join(counts, SERIES).where(F.col("idx") % F.col("__k") == 0).drop("__k")
+    return indexed.join(measured(counts), SERIES).where(F.col("idx") % F.col("__k") == 0).drop("__k")
 
 
 def avg_lines(series: DataFrame) -> DataFrame:
@@ -130,7 +131,7 @@ def _positions(series: DataFrame, order: str) -> DataFrame:
     rows = _enabled(series).withColumn("y", F.coalesce("y", F.lit(0.0)))
     if order == "default":
         return rows.withColumn("pos", F.col("series_idx"))
-    return rows.join(series_order(series), ["chart", "series_idx"])
+    return rows.join(measured(series_order(series)), ["chart", "series_idx"])
 
 
 def _below(column: Column) -> Column:
@@ -169,7 +170,7 @@ def stack(series: DataFrame, offset: str = "zero", order: str = "default",
         rows = rows.withColumns({"dy": F.col("y"), "y0": _below(F.col("y")), "__total": F.sum("y").over(_at_x())})
         tallest = rows.groupBy("chart").agg(F.max("__total").alias("__max"))
         shift = (F.col("__max") - F.col("__total")) / 2
-        out = rows.join(tallest, "chart").withColumn("y0", F.col("y0") + shift).drop("__total", "__max")
+        out = rows.join(measured(tallest), "chart").withColumn("y0", F.col("y0") + shift).drop("__total", "__max")
     elif offset == "wiggle":
         base = wiggle_baseline(rows, hot_rows)
         rows = rows.withColumns({"dy": F.col("y"), "y0": _below(F.col("y"))})
@@ -195,7 +196,7 @@ def wiggle_baseline(rows: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFra
     steps = materialise(per_x.select("chart", "x", (-step).alias("step")), "steps")
     walked = ordered_scan(steps, ["chart"], ["x"], {"o": Running("sum", F.col("step"))}, hot_rows)
     lowest = walked.groupBy("chart").agg(F.least(F.min("o"), F.lit(0.0)).alias("l"))
-    return walked.join(lowest, "chart").select("chart", "x", (F.col("o") - F.col("l")).alias("base"))
+    return walked.join(measured(lowest), "chart").select("chart", "x", (F.col("o") - F.col("l")).alias("base"))
 
 
 def signed_stack(series: DataFrame, non_stackable: list[str] = ()) -> DataFrame:
@@ -223,7 +224,7 @@ def rebase(indexed: DataFrame, i: int, guard: bool = True) -> DataFrame:
     flagged in ``off`` (unless ``guard`` is False).
     """
     at = indexed.groupBy(*SERIES).agg(F.max(F.when(F.col("idx") == i, F.col("y"))).alias("__v"))
-    rows = indexed.join(at, SERIES)
+    rows = indexed.join(measured(at), SERIES)
     lost = F.coalesce(F.col("__v") < -0.95, F.lit(False)) if guard else F.lit(False)
     moved = safe_divide(F.col("y") - F.col("__v"), 1 + F.col("__v"))
     shown = F.when(lost | F.col("__v").isNull(), F.col("y")).otherwise(moved)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .joins import measured
 from .scan import HOT_ROWS, Running, ordered_scan
 
 DIGITS = 12
@@ -20,7 +21,7 @@ def share(df: DataFrame, part: list[str], weight: str, name: str = "share") -> D
 
     Aggregate and join rather than a window: a window would gather each group in one task.
     """
-    sums = totals(df, part, weight)
+    sums = measured(totals(df, part, weight))
     ratio = F.when(F.col("total") != 0, F.col(weight) / F.col("total"))
     return df.join(sums, part).withColumn(name, ratio).drop("total", "least")
 
@@ -39,7 +40,7 @@ def mass_cut(df: DataFrame, part: list[str], ident: str, weight: str, p: float,
     With no negative weight, a block of a hot group whose carried share has reached ``p`` cannot
     hold a survivor, so the long tail of light items is dropped before the shuffle.
     """
-    sums = totals(df, part, weight)
+    sums = measured(totals(df, part, weight))
     ratio = F.when(F.col("total") != 0, F.col(weight) / F.col("total"))
     shared = df.join(sums, part).withColumn("share", ratio)
     scanned = ordered_scan(

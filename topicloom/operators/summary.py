@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .joins import measured
 from .scan import HOT_ROWS, Running, ordered_scan
 
 QUARTILES = (("q1", 0.25), ("q2", 0.5), ("q3", 0.75))
@@ -24,8 +25,8 @@ def quartiles(df: DataFrame, group: list[str], value: str, hot_rows: int | None
     """
     counted = _counted(df, group, value)
     ranked = ordered_scan(counted, group, ["v"], {"upto": Running("sum", F.col("copies"))}, hot_rows)
-    sizes = counted.groupBy(*group).agg(F.sum("copies").alias("n"))
-    rows = ranked.join(sizes, group)
+    sizes = df.where(F.col(value).isNotNull()).groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
+    rows = ranked.join(measured(sizes), group)
 
     def at(rank: Column) -> Column:
         inside = (F.col("upto") - F.col("copies") <= rank) & (rank < F.col("upto"))
@@ -46,7 +47,7 @@ def quartiles(df: DataFrame, group: list[str], value: str, hot_rows: int | None
 def _fenced(df: DataFrame, group: list[str], value: str, hot_rows: int | None) -> DataFrame:
     box = quartiles(df, group, value, hot_rows)
     reach = (F.col("q3") - F.col("q1")) * 1.5
-    rows = _counted(df, group, value).join(box, group)
+    rows = _counted(df, group, value).join(measured(box), group)
     return rows.withColumn("inside", F.col("v").between(F.col("q1") - reach, F.col("q3") + reach))
 
 
@@ -108,6 +109,6 @@ def reg_line(series: DataFrame) -> DataFrame:
     def height(x: str) -> Column:
         return F.col(x) * F.col("slope") + F.col("intercept")
 
-    return lines.join(ends, "chart").select(
+    return lines.join(measured(ends), "chart").select(
         "chart", "key", "slope", "intercept", height("x_lo").alias("y_lo"), height("x_hi").alias("y_hi")
     )
