@@ -91,7 +91,8 @@ def cluster_topic(spark: SparkSession, sf: str) -> DataFrame:
 def topic_sim(spark: SparkSession, sf: str) -> DataFrame:
     """``i, j, sim``: cosine of the mean vectors of two labels, one row per cell of the matrix."""
     cells = table(spark, sf, "embeddings").select("label", F.posexplode("embedding").alias("d", "v"))
-    mean = cells.groupBy("label", "d").agg(F.avg(F.col("v").cast("double")).alias("m"))
+    # read four times below, the vectors only here
+    mean = materialise(cells.groupBy("label", "d").agg(F.avg(F.col("v").cast("double")).alias("m")), "means")
     norm = mean.groupBy("label").agg(F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("n"))
     unit = mean.join(norm, "label").select("label", "d", (F.col("m") / F.col("n")).alias("u"))
     a = unit.select(F.col("label").alias("i"), "d", F.col("u").alias("a"))
