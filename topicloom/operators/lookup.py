@@ -88,10 +88,14 @@ def band_at(stacked: DataFrame, probes: DataFrame, probe: str = "probe_id") -> D
     candidates of a probe are the series at its x.
     """
     y0, dy = F.abs("y0"), F.abs("dy")
-    bands = stacked.select("chart", "x", F.col("series_idx"), y0.alias("__lo"), (y0 + dy).alias("__hi"))
+    bands = stacked.select(
+        F.col("chart").alias("__chart"), F.col("x").alias("__x"), "series_idx", y0.alias("__lo"), (y0 + dy).alias("__hi")
+    )
+    same = (F.col("chart") == F.col("__chart")) & (F.col("x") == F.col("__x"))
+    # inside the join condition, so that only bands that contain the probe leave the join
     hit = F.abs("at").between(F.col("__lo"), F.col("__hi"))
-    found = probes.join(bands, ["chart", "x"], "left").groupBy(probe, "chart", "x", "at")
-    return found.agg(F.min(F.when(hit, F.col("series_idx"))).alias("series_idx"))
+    found = probes.join(bands, same & hit, "left").groupBy(probe, "chart", "x", "at")
+    return found.agg(F.min("series_idx").alias("series_idx"))
 
 
 def cross_section(points: DataFrame, probes: DataFrame, expand: bool = False, probe: str = "probe_id",

@@ -206,9 +206,9 @@ def _shares(spark, sf):
 
 @query("w12_rebase", with_("ev evi", _REB + """
     , v AS (SELECT key, y AS v FROM r WHERE idx = 3)
-    SELECT key, x, v < -0.95 AS off, round(CASE WHEN v < -0.95 THEN y ELSE (y - v) / (1 + v) END, 6) + 0.0 AS display FROM r JOIN v USING (key)"""))
+    SELECT key, x, v < -0.95 AS off, round(CASE WHEN v < -0.95 THEN y ELSE (y - v) / (1 + v) END, 9) + 0.0 AS display FROM r JOIN v USING (key)"""))
 def w_rebase(spark, sf):
-    return rounded(S.rebase(_shares(spark, sf), 3).select("key", "x", "off", "display"), ["display"])
+    return rounded(S.rebase(_shares(spark, sf), 3).select("key", "x", "off", "display"), ["display"], 9)
 
 
 @query("a16_rebase_extent", with_("ev evi", _REB + """
