@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import cascade, oph, piece_count
+from . import cascade, ctw, cube, oph, packing, piece_count
 from .common import texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +29,23 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def fold_of() -> Column:
+    """Remainder of the id's checksum, by which the contracts hold documents out."""
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(5))
+
+
+@query
+def op1_ctw_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = ctw.score(documents(spark, sf_dir), fold_of() != 1)
+    return scored.withColumn("held_out", fold_of() == 1)
+
+
+@query
+def op3_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"), end_id=2)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 @query
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return oph.fingerprint_report(documents(spark, sf_dir))
@@ -43,3 +61,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_count.count_tokens(documents(spark, sf_dir), tokenizer("piece_bpe_32k.model"))
+
+
+@query
+def op10_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    mixed = cube.mix(texts(docs, keep=["source"]))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
