@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cascade, ctw, cube, oph, packing, piece_count
+from . import alignment, cascade, ctw, cube, minmax, oph, packing, piece_count
 from .common import texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,16 @@ def op10_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     mixed = cube.mix(texts(docs, keep=["source"]))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
+
+
+@query
+def op7_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minmax.near_duplicates(documents(spark, sf_dir), width=2)
+    return found.select("doc_id", "n_shingles", "component_id", "kept", "class_id")
+
+
+@query
+def op2_aligned_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    whole = docs.withColumn("n_lines", F.size(F.split("text", "\n")))
+    return alignment.drop_aligned(whole).select("doc_id", "text", "n_lines", "n_removed")
