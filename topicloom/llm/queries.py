@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, cascade, ctw, cube, minmax, oph, packing, piece_count
+from . import alignment, cascade, ctw, cube, minmax, oph, packing, piece_count, quality, toxicity
 from .common import texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,19 @@ def op2_aligned_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     whole = docs.withColumn("n_lines", F.size(F.split("text", "\n")))
     return alignment.drop_aligned(whole).select("doc_id", "text", "n_lines", "n_removed")
+
+
+def _classified(spark: SparkSession, sf_dir: str, classify, threshold: float) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = classify(documents(spark, sf_dir), labels, fold_of() != 0)
+    return scored.select("doc_id", (fold_of() == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+@query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _classified(spark, sf_dir, toxicity.classify, 0.5)
+
+
+@query
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _classified(spark, sf_dir, quality.classify, 0.3)
