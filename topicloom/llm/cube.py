@@ -7,7 +7,7 @@ balancing constraints (number of words, number of documents), so both totals sta
 each probability but a few has become 0 or 1 (flight). A block of a source is flown in one task and
 leaves at most two fractional documents; what the blocks of a source leave is flown again, in blocks
 of the same bound, until one block is left. Its last documents (landing) are rounded so that the
-words come nearest to the total.
+words come nearest to the total, and a few exchanges of documents of that block make up the rest.
 
 Randomness comes from the source's rank, level and block alone, and rows are sorted within a block:
 reruns agree. A null source is a source of its own, the last one. A null text has size 0 and is never
@@ -29,6 +29,8 @@ BLOCK = 20_000
 WEIGHTS = (1, 2, 3)
 MOST = 3
 NEAR = 1e-9
+MOST_SWAPS = 4
+SMALL_SOURCES = 10_000  # rows of the table of sources that are broadcast
 
 
 def flight(sizes: np.ndarray, psi: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -66,17 +68,37 @@ def flight(sizes: np.ndarray, psi: np.ndarray, rng: np.random.Generator) -> np.n
     return np.array(psi)
 
 
-def land(sizes: np.ndarray, psi: np.ndarray) -> np.ndarray:
-    """Round the at most two fractional entries so that the words come nearest to their total."""
+def land(sizes: np.ndarray, psi: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Round the at most two fractional entries so that the words come nearest to their total.
+
+    What is still missing is made up by exchanging a taken document for one that is not, as long as
+    that brings the words nearer; the number of documents stays. ``start`` holds the probabilities
+    before the flight.
+    """
     open_ = np.flatnonzero((psi > NEAR) & (psi < 1 - NEAR))
-    best, out = None, psi.round()
+    trials = []
     for bits in range(1 << len(open_)):
         trial = psi.copy()
         trial[open_] = [bits >> j & 1 for j in range(len(open_))]
-        off = (abs(float(sizes @ (trial - psi))), abs(float((trial - psi).sum())), bits)
-        if best is None or off < best:
-            best, out = off, trial
-    return out.round()
+        trials.append((abs(float(sizes @ (trial - start))), abs(float((trial - start).sum())), bits, trial))
+    out = min(trials, key=lambda t: t[:3])[3].round()
+    free = (start > NEAR) & (start < 1 - NEAR)
+    for _ in range(MOST_SWAPS):
+        over = float(sizes @ (out - start))
+        inside, outside = np.flatnonzero(free & (out == 1)), np.flatnonzero(free & (out == 0))
+        if not len(inside) or not len(outside):
+            break
+        outside = outside[np.argsort(sizes[outside], kind="stable")]
+        want = sizes[inside] - over
+        at = np.clip(np.searchsorted(sizes[outside], want), 1, len(outside) - 1) if len(outside) > 1 else np.zeros(len(inside), int)
+        near = np.stack([np.maximum(at - 1, 0), at])
+        off = np.abs(over + sizes[outside][near] - sizes[inside])
+        k = int(off.argmin())
+        if off.flat[k] >= abs(over) - NEAR:
+            break
+        side, i = divmod(k, len(inside))
+        out[inside[i]], out[outside[near[side, i]]] = 0, 1
+    return out
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -103,10 +125,10 @@ def _fly(level: int):
         rank, block = int(key[0]), int(key[1])
         pdf = pdf.sort_values(["doc_id", "size"], na_position="first", kind="stable").reset_index(drop=True)
         sizes, psi = pdf["size"].to_numpy(float), pdf["psi"].to_numpy(float)
-        psi = flight(sizes, psi, np.random.default_rng([rank, level, block]))
+        flown = flight(sizes, psi, np.random.default_rng([rank, level, block]))
         if pdf["blocks"].iloc[0] == 1:
-            psi = land(sizes, psi)
-        return pdf.assign(psi=psi)
+            flown = land(sizes, flown, psi)
+        return pdf.assign(psi=flown)
 
     return run
 
@@ -117,28 +139,27 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, b
     sized = stored(
         docs.select(F.col("doc_id"), F.col("source").cast("string"), F.regexp_count("text", F.lit(WORD)).cast("bigint").alias("size")), "sizes"
     )
-    plan = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
+    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     base = F.floor(ratio + NEAR)
-    plan = stored(
-        plan.withColumn("copies", base.cast("bigint")).withColumn("psi", F.greatest(ratio - base, F.lit(0.0))).withColumnRenamed("source", "__source"),
-        "sources",
-    )
-    # a row is a few numbers wide; a source with many rows is split by the engine's skew handling
+    plan = targets(totals, weights, most).withColumns({
+        "copies": base.cast("bigint"), "psi": F.greatest(ratio - base, F.lit(0.0)), "blocks": F.ceil(F.col("n_docs") / block),
+    })
+    plan = stored(plan.withColumnRenamed("source", "__source").drop("n_docs"), "sources")
+    if plan.count() <= SMALL_SOURCES:
+        plan = F.broadcast(plan)  # else the engine splits a source with many rows
     rest = sized.join(plan, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-    decided = []
+    fractional = (F.col("psi") > NEAR) & (F.col("psi") < 1 - NEAR)
+    decided = [rest.where(~fractional)]
+    rest = rest.where(fractional)
     level = 0
     while True:
-        fractional = (F.col("psi") > NEAR) & (F.col("psi") < 1 - NEAR)
-        if level == 0:
-            decided.append(rest.where(~fractional).withColumn("psi", F.round("psi")))
-            rest = rest.where(fractional)
-        counts = rest.groupBy("rank").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
-        spread = rest.drop("blocks").join(counts, "rank").withColumn("block", F.pmod(F.xxhash64("doc_id", "size", F.lit(level)), F.col("blocks")))
-        flown = spread.groupBy("rank", "block").applyInPandas(_fly(level), spread.schema)
+        spread = rest.withColumn("block", F.pmod(F.xxhash64("doc_id", "size", F.lit(level)), F.col("blocks")))
+        flown = spread.repartition("rank", "block").groupBy("rank", "block").applyInPandas(_fly(level), spread.schema)
         flown = stored(flown, "flight").drop("block")
-        decided.append(flown.where(~fractional).drop("blocks"))
-        rest = flown.where(fractional)
+        decided.append(flown.where(~fractional))
+        # a block leaves two documents at most, which bounds the next level's blocks
+        rest = flown.where(fractional).withColumn("blocks", F.ceil(2 * F.col("blocks") / block))
         level += 1
         if rest.isEmpty():
             break
