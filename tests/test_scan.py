@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from topicloom.operators import graph, shares
 from topicloom.operators.scan import Running, ordered_scan, row_number
 
 
@@ -49,4 +50,34 @@ def test_result_does_not_depend_on_partitions(rows):
 def test_no_task_gets_a_hot_group(rows):
     scanned = ordered_scan(rows, ["k"], ["x", "id"], {"n": Running("sum", F.lit(1))}, hot_rows=100)
     plan = scanned._jdf.queryExecution().executedPlan().toString()
-    assert "hashpartitioning(k" in plan and "__c2" in plan and "ExistingRDD" not in plan
+    assert "hashpartitioning(k" in plan and "__block" in plan and "ExistingRDD" not in plan
+
+
+FIRST = {
+    "long shared prefix": lambda i: F.concat(F.lit("file:/"), F.chr(97 + i % 2)),
+    "null beside one value": lambda i: F.when(i % 2 == 0, 5),
+    "infinity beside one value": lambda i: F.when(i % 2 == 0, 5.0).otherwise(float("inf")),
+    "beyond 2^53": lambda i: F.lit(2**60) + i % 3,
+    "timestamp": lambda i: F.timestamp_seconds(i % 7),
+    "boolean": lambda i: i % 2 == 0,
+    "long text": lambda i: F.concat(F.lit("http://example.org/" + "a" * 40), (i % 11).cast("string")),
+}
+
+
+@pytest.mark.parametrize("kind", sorted(FIRST))
+def test_first_order_column_of_any_type(spark, kind):
+    df = spark.range(1000).select("id", FIRST[kind](F.col("id")).alias("first"), ((F.col("id") * 7919) % 1000).alias("second"))
+    got = row_number(df, [], ["first", "second"], hot_rows=100)
+    want = row_number(df, [], ["first", "second"], hot_rows=None)
+    assert sorted(map(tuple, got.select("id", "rn").collect())) == sorted(map(tuple, want.select("id", "rn").collect()))
+
+
+def test_null_weights(spark):
+    df = spark.range(600).select(F.lit("g").alias("g"), "id", F.when(F.col("id") % 2 == 0, 1.0).alias("w"))
+    cut = [shares.mass_cut(df, ["g"], "id", "w", 0.5, hot_rows=h).select("id", "rank").collect() for h in (60, None)]
+    assert sorted(cut[0]) == sorted(cut[1]) and min(r["rank"] for r in cut[0]) == 1 and len(cut[0]) == 149
+    ranks = [shares.rank_by_weight(df, ["g"], "id", "w", hot_rows=h).select("id", "rank").collect() for h in (60, None)]
+    assert sorted(ranks[0]) == sorted(ranks[1])
+    edges = df.select(F.lit(0).alias("i"), F.col("id").alias("j"), F.col("w").alias("sim"))
+    both = [graph.rank_edges(edges, hot_rows=h).select("j", "rank").collect() for h in (60, None)]
+    assert sorted(both[0]) == sorted(both[1])

@@ -59,3 +59,8 @@ def timestamp_literal(df, ts: str, seconds: int) -> Column:
     if isinstance(kind, T.TimestampType):
         return F.lit(moment)
     return F.lit(seconds).cast("bigint")
+
+
+def comparable_time(df, ts: str) -> Column:
+    """Column ``ts`` as :func:`timestamp_literal` compares with it: text is parsed, other types stay as stored."""
+    return parse_epoch_seconds(F.col(ts)) if isinstance(df.schema[ts].dataType, T.StringType) else F.col(ts)

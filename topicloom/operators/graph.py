@@ -33,7 +33,7 @@ def threshold_symmetric(sim: DataFrame, t: float = 0.1) -> DataFrame:
 def rank_edges(sim: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Cells of each row by similarity descending; equal cells by column."""
     one = F.lit(1).cast("bigint")
-    return ordered_scan(sim, ["i"], [-F.col("sim"), F.col("j")], {"rank": Running("sum", one)}, hot_rows)
+    return ordered_scan(sim, ["i"], [F.col("sim").isNull(), -F.col("sim"), F.col("j")], {"rank": Running("sum", one)}, hot_rows)
 
 
 def group_sums(sim: DataFrame) -> DataFrame:

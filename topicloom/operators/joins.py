@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
-
 BROADCAST_ROWS = 1_000_000
 
 
@@ -18,16 +16,6 @@ def small_side(table: DataFrame, max_rows: int | None) -> DataFrame:
     return F.broadcast(table) if max_rows is not None and max_rows <= BROADCAST_ROWS else table
 
 
-def measured(table: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Store a table of per-group figures, count it, and ask for a broadcast if it is small.
-
-    The large side of the join is then not shuffled. Beyond ``max_rows`` the stored table takes
-    part in an ordinary join, whose skewed partitions the engine splits.
-    """
-    stored = materialise(table, "measured")
-    return F.broadcast(stored) if stored.count() <= max_rows else stored
-
-
 def with_metadata(doc_topic: DataFrame, meta: DataFrame, ident: str = "doc_id") -> DataFrame:
     """Document weights joined with document metadata, one row per document known to both."""
     return doc_topic.join(meta, ident, "inner")

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .joins import measured
 from .scan import HOT_ROWS, Running, ordered_scan
 
 
@@ -17,13 +17,16 @@ def _neighbours(points: DataFrame, probes: DataFrame, part: list[str], x: str, p
     With ``strict`` a point at the probe's own x counts as following.
     """
     kind = F.lit(0 if strict else 2)
-    a = points.where(F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double"))).select(
-        *part, F.col(x).cast("double").alias("__x"), F.lit(1).alias("__kind"), F.col(idx).alias("__idx"),
-        F.struct(F.col(x).cast("double").alias("x"), F.col(idx).alias("idx"), *payload).alias("__p"),
+    whole = all(isinstance(d.schema[c].dataType, T.IntegralType) for d, c in ((points, x), (probes, "at")))
+    own = "bigint" if whole else "double"  # ids and nanoseconds beyond 2^53 stay exact
+    value = F.col(x).cast(own)
+    a = points.where(value.isNotNull() & (F.lit(True) if whole else ~F.isnan(value))).select(
+        *part, value.alias("__x"), F.lit(1).alias("__kind"), F.col(idx).alias("__idx"),
+        F.struct(value.alias("x"), F.col(idx).alias("idx"), *payload).alias("__p"),
         F.lit(None).cast(probes.schema[probe].dataType).alias(probe),
     )
     b = probes.select(
-        *part, F.col("at").cast("double").alias("__x"), kind.alias("__kind"), F.lit(None).alias("__idx"),
+        *part, F.col("at").cast(own).alias("__x"), kind.alias("__kind"), F.lit(None).alias("__idx"),
         F.lit(None).alias("__p"), probe,
     )
     both = a.unionByName(b)
@@ -105,7 +108,7 @@ def cross_section(points: DataFrame, probes: DataFrame, expand: bool = False, pr
     The total row is left out in share mode, below two series, and when every value is null.
     """
     keys = points.select("chart", "key").distinct()
-    spread = probes.join(measured(keys), "chart")
+    spread = probes.join(keys, "chart")
     rows = nearest(points, spread, ["chart", "key"], probe=probe, hot_rows=hot_rows)
     if expand:
         return rows.select("chart", probe, "key", F.col("y").alias("value"), F.lit(False).alias("total"))

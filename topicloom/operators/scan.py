@@ -1,16 +1,13 @@
 """Running aggregates over an order that survive a group holding a large part of all rows.
 
-A plain ``OVER (PARTITION BY g ORDER BY x)`` sorts a whole group in one task. Here a group with
-more than ``hot_rows`` rows is first cut into blocks along its order, each block is scanned in a
-task of its own, and the totals of the blocks before (or after) it are added.
-
-A block is a function of the row and of stored counts, minima and maxima, so every evaluation of
-the plan, also one after an executor loss, cuts at the same places. The blocks of a group are
-equal slices of the range of the first order column; a slice that is still too full is sliced
-again, by the same column or, where all its values are equal, by the next one.
-
-The stored tables hold the hot groups, the full slices and the block totals. By the count test
-each has at most a small multiple of ``rows / hot_rows`` rows, which is why they are broadcast.
+A plain ``OVER (PARTITION BY g ORDER BY x)`` sorts a whole group in one task. Where a group has more
+than ``hot_rows`` rows, the rows are first range-partitioned by group and order columns themselves, so
+that every type, null and special value falls where the window would put it, and stored with the
+number of their range. A range of a group is a block: blocks are scanned in tasks of their own, and
+the totals of the blocks before (or after) it are added. The stored numbers are the same for every
+later evaluation, also one after an executor loss.
+
+Rows that are equal in all order columns share a block, however many they are.
 """
 
 from __future__ import annotations
@@ -21,14 +18,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import materialise
 
 HOT_ROWS = 4_000_000
-LEVELS = 3
 WHOLE = "__whole"
-TOP = 1.7e308
+BLOCK = "__block"
 
 
 @dataclass(frozen=True)
@@ -63,93 +58,22 @@ def _combine(fn: str, near: Column, carried: Column) -> Column:
     return F.greatest(near, carried) if fn == "max" else F.least(near, carried)
 
 
-def _grid_value(df: DataFrame, name: str) -> Column | None:
-    """Finite number that never falls along the order: the value, or the first bytes of a string."""
-    kind = df.schema[name].dataType
-    if isinstance(kind, T.StringType):
-        head = F.substring(F.rpad(F.hex(F.encode(F.col(name), "UTF-8")), 12, "0"), 1, 12)
-        return F.conv(head, 16, 10).cast("double")
-    if isinstance(kind, (T.DoubleType, T.FloatType)):
-        v = F.col(name).cast("double")
-        clipped = F.greatest(F.least(v, F.lit(TOP)), F.lit(-TOP))
-        return F.when(F.isnan(v), F.lit(TOP)).when(v.isNotNull(), clipped)
-    if isinstance(kind, T.NumericType):
-        return F.col(name).cast("double")
-    return None
-
-
-def _attach(rows: DataFrame, table: DataFrame, keys: list[str], how: str) -> DataFrame:
-    """Join a small stored table on null-safe keys."""
-    named = table.select(*[F.col(c).alias(f"__key_{c}") if c in keys else F.col(c) for c in table.columns])
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in keys])
-    return rows.join(F.broadcast(named), same, how).drop(*[f"__key_{k}" for k in keys])
-
-
-def _full(rows: DataFrame, keys: list[str], grids: list[str], level: int, hot_rows: int) -> DataFrame:
-    """Groups or slices above the limit: by which order column to slice, over what range, how often."""
-    aggs = [F.count(F.lit(1)).alias("n")]
-    for i, g in enumerate(grids):
-        finite = F.when(F.abs(F.col(g)) < TOP, F.col(g))
-        aggs += [F.min(finite).alias(f"lo{i}"), F.max(finite).alias(f"hi{i}")]
-    last = len(grids) - 1
-    by, lo, hi = F.lit(last), F.col(f"lo{last}"), F.col(f"hi{last}")
-    for i in reversed(range(last)):
-        spread = F.col(f"lo{i}") < F.col(f"hi{i}")
-        by = F.when(spread, F.lit(i)).otherwise(by)
-        lo = F.when(spread, F.col(f"lo{i}")).otherwise(lo)
-        hi = F.when(spread, F.col(f"hi{i}")).otherwise(hi)
-    return rows.groupBy(*keys).agg(*aggs).where(F.col("n") > hot_rows).select(
-        *keys, by.alias(f"__by{level}"), lo.alias(f"__lo{level}"), hi.alias(f"__hi{level}"),
-        F.ceil(2 * F.col("n") / F.lit(float(hot_rows))).alias(f"__n{level}"),
-    )
-
-
-def _slice(rows: DataFrame, full: DataFrame, keys: list[str], grids: list[str], level: int, how: str) -> DataFrame:
-    """Number the slice of each row of a full group (``__c``); rows of other groups get null."""
-    by, lo, hi, n = (F.col(f"__{c}{level}") for c in ("by", "lo", "hi", "n"))
-    g = F.col(grids[-1])
-    for i in reversed(range(len(grids) - 1)):
-        g = F.when(by == i, F.col(grids[i])).otherwise(g)
-    inside = F.least(F.greatest(F.floor((g - lo) / (hi - lo) * n), F.lit(-1)), n)
-    cell = (
-        F.when(n.isNull(), None)
-        .when(g.isNull(), -2)
-        .when(hi > lo, inside)
-        .otherwise(F.coalesce(F.signum(g - lo), F.lit(0)).cast("bigint"))
-    )
-    return _attach(rows, full, keys, how).withColumn(f"__c{level}", cell.cast("bigint")).drop(
-        f"__by{level}", f"__lo{level}", f"__hi{level}"
-    )
-
-
-def _blocks(rows: DataFrame, part: list[str], out: dict[str, Running], hot_rows: int,
-            grids: list[str], levels: int) -> tuple[DataFrame, list[str]]:
-    """Give the rows of hot groups their block and the totals around it; returns the block columns.
-
-    The tables of full groups, full slices and block totals are stored as they are found: they
-    are small, they are frozen for every later evaluation, and an empty one ends the search, so
-    without a hot group the plan stays a plain window.
-    """
-    cells: list[str] = []
-    hot = rows.select(*part, *grids, *[f"__v_{n}" for n in out])
-    for level in range(levels):
-        keys = part + cells
-        inside = hot if level == 0 else hot.where(F.col(f"__n{level - 1}").isNotNull())
-        full = materialise(_full(inside, keys, grids, level, hot_rows), "full")
-        if full.isEmpty():
-            break
-        hot = _slice(hot, full, keys, grids, level, "inner" if level == 0 else "left")
-        rows = _slice(rows, full, keys, grids, level, "left")
-        cells.append(f"__c{level}")
-    if not cells:
-        return rows, cells
-    totals = hot.groupBy(*part, *cells).agg(*[_AGG[r.fn](f"__v_{n}").alias(f"__t_{n}") for n, r in out.items()])
+def _blocks(rows: DataFrame, part: list[str], orders: list[str], out: dict[str, Running], hot_rows: int) -> DataFrame | None:
+    """Rows with their block and the totals around it; None where no group is hot."""
+    sizes = rows.groupBy(*part).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("all")).first()
+    if sizes["most"] is None or sizes["most"] <= hot_rows:
+        return None
+    ranges = -(-2 * sizes["all"] // hot_rows)
+    by = [F.col(c).asc_nulls_first() for c in part + orders]
+    dealt = materialise(rows.repartitionByRange(ranges, *by).withColumn(BLOCK, F.spark_partition_id()), "blocks")
+    totals = dealt.groupBy(*part, BLOCK).agg(*[_AGG[r.fn](f"__v_{n}").alias(f"__t_{n}") for n, r in out.items()])
     ahead = {"upto": "before", "before": "before", "from": "after", "after": "after"}
     carry = totals.select(
-        *part, *cells,
-        *[_AGG[r.fn](f"__t_{n}").over(_frame(part, cells, ahead[r.frame])).alias(f"__b_{n}") for n, r in out.items()],
+        *[F.col(k).alias(f"__key_{k}") for k in part + [BLOCK]],
+        *[_AGG[r.fn](f"__t_{n}").over(_frame(part, [BLOCK], ahead[r.frame])).alias(f"__b_{n}") for n, r in out.items()],
     )
-    return _attach(rows, materialise(carry, "carry"), part + cells, "left"), cells
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in part + [BLOCK]])
+    return dealt.join(carry, same).drop(*[f"__key_{k}" for k in part + [BLOCK]])
 
 
 def ordered_scan(
@@ -159,17 +83,16 @@ def ordered_scan(
     out: dict[str, Running],
     hot_rows: int | None = HOT_ROWS,
     keep: Callable[[dict[str, Column]], Column] | None = None,
-    levels: int = LEVELS,
 ) -> DataFrame:
-    """Add running aggregates ``out`` along ``order`` (ascending) within ``part``.
+    """Add running aggregates ``out`` along ``order`` (ascending, nulls first) within ``part``.
 
     ``keep`` may give a condition on the totals carried into a block; blocks that fail it are
     left out before their rows are shuffled. ``hot_rows=None`` is for groups with a known small
     bound and gives the plain window.
 
-    ``df`` is read once, in narrow columns, to look for hot groups, and once for the result;
-    with hot groups once more per level and for the totals. An expensive ``df`` should be stored
-    first, see :func:`topicloom.session.materialise`.
+    ``df`` is read once, in its group columns, to look for hot groups, and once for the result. With a
+    hot group its rows are stored. An expensive ``df`` should be stored first, see
+    :func:`topicloom.session.materialise`.
     """
     columns = df.columns
     part = list(part) or [WHOLE]
@@ -179,20 +102,13 @@ def ordered_scan(
 
     cells: list[str] = []
     if hot_rows is not None:
-        grids = []
-        for o in orders:
-            g = _grid_value(rows, o)
-            if g is None:
-                break
-            grids.append(g)
-        if grids:
-            rows = rows.withColumns({f"__g{i}": g for i, g in enumerate(grids)})
-            rows, cells = _blocks(rows, part, out, hot_rows, [f"__g{i}" for i in range(len(grids))], levels)
-        if cells:
+        split = _blocks(rows, part, list(orders), out, hot_rows)
+        if split is not None:
+            cells, rows = [BLOCK], split
             if keep is not None:
                 rows = rows.where(keep({n: F.col(f"__b_{n}") for n in out}))
             # asked for by name: a child already split by `part` alone would keep a hot group whole
-            rows = rows.repartition(*part, *cells)
+            rows = rows.repartition(*part, BLOCK)
 
     results = {}
     for n, r in out.items():

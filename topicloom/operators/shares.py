@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .joins import measured
 from .scan import HOT_ROWS, Running, ordered_scan
 
 DIGITS = 12
@@ -21,7 +20,7 @@ def share(df: DataFrame, part: list[str], weight: str, name: str = "share") -> D
 
     Aggregate and join rather than a window: a window would gather each group in one task.
     """
-    sums = measured(totals(df, part, weight))
+    sums = totals(df, part, weight)
     ratio = F.when(F.col("total") != 0, F.col(weight) / F.col("total"))
     return df.join(sums, part).withColumn(name, ratio).drop("total", "least")
 
@@ -36,13 +35,13 @@ def mass_cut(df: DataFrame, part: list[str], ident: str, weight: str, p: float,
              hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Heaviest items of each group whose inclusive running share stays strictly below ``p``.
 
-    Order: share descending, then ``ident`` descending. Adds ``share``, ``cum`` and ``rank``.
+    Order: share descending, then ``ident`` descending; items without a weight are left out. Adds ``share``, ``cum`` and ``rank``.
     With no negative weight, a block of a hot group whose carried share has reached ``p`` cannot
     hold a survivor, so the long tail of light items is dropped before the shuffle.
     """
-    sums = measured(totals(df, part, weight))
+    sums = totals(df, part, weight)
     ratio = F.when(F.col("total") != 0, F.col(weight) / F.col("total"))
-    shared = df.join(sums, part).withColumn("share", ratio)
+    shared = df.where(F.col(weight).isNotNull()).join(sums, part).withColumn("share", ratio)
     scanned = ordered_scan(
         shared,
         part,
@@ -56,9 +55,9 @@ def mass_cut(df: DataFrame, part: list[str], ident: str, weight: str, p: float,
 
 def rank_by_weight(df: DataFrame, part: list[str], ident: str, weight: str,
                    hot_rows: int | None = HOT_ROWS) -> DataFrame:
-    """Position by weight descending with the higher ``ident`` first among equals."""
+    """Position by weight descending with the higher ``ident`` first among equals; null weights come last."""
     one = F.lit(1).cast("bigint")
-    return ordered_scan(df, part, [-F.col(weight), -F.col(ident)], {"rank": Running("sum", one)}, hot_rows)
+    return ordered_scan(df, part, [F.col(weight).isNull(), -F.col(weight), -F.col(ident)], {"rank": Running("sum", one)}, hot_rows)
 
 
 def weight_check(df: DataFrame, ident: str, weights: str, eps: float = 1e-9) -> DataFrame:

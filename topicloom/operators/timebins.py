@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import bin_left, bin_right_closed, bin_right_closed_edge, epoch_seconds_of, timestamp_literal
+from ..functions import bin_left, bin_right_closed, bin_right_closed_edge, comparable_time, epoch_seconds_of, timestamp_literal
 
 
 def between_open(df: DataFrame, ts: str, lo: int, hi: int) -> DataFrame:
     """Rows whose time in whole seconds lies strictly between ``lo`` and ``hi``.
 
     Written on the stored column with literals of its own type, so the file scan can skip data.
+    ISO text is parsed first; text that does not parse is outside.
     """
-    return df.where((F.col(ts) >= timestamp_literal(df, ts, lo + 1)) & (F.col(ts) < timestamp_literal(df, ts, hi)))
+    t = comparable_time(df, ts)
+    return df.where((t >= timestamp_literal(df, ts, lo + 1)) & (t < timestamp_literal(df, ts, hi)))
 
 
 def binned(df: DataFrame, ts: str, lo: int, hi: int, n: int) -> DataFrame:

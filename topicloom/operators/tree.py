@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import percent_text
-from .joins import measured
 from .scan import HOT_ROWS, Running, ordered_scan
 
 
@@ -34,7 +33,7 @@ def layout(leaves: DataFrame, depth: int, mode: str = "size", hot_rows: int | No
     rows = leaves.select("tree", "path", "ord", value.cast("double").alias("value"))
     order = [F.get(F.col("ord"), F.lit(d)) for d in range(depth)]
     started = ordered_scan(
-        rows, ["tree"], order, {"left": Running("sum", F.col("value"), "before")}, hot_rows, levels=depth + 1
+        rows, ["tree"], order, {"left": Running("sum", F.col("value"), "before")}, hot_rows
     )
     each = started.select(
         "tree", "path", "value", F.coalesce("left", F.lit(0.0)).alias("left"),
@@ -44,7 +43,7 @@ def layout(leaves: DataFrame, depth: int, mode: str = "size", hot_rows: int | No
         F.min("left").alias("left"), F.sum("value").alias("value")
     )
     root = rows.groupBy("tree").agg(F.sum("value").alias("root"))
-    return nodes.join(measured(root), "tree").select(
+    return nodes.join(root, "tree").select(
         "tree", "path", "depth", (F.col("left") / F.col("root")).alias("x"), "value",
         (F.col("value") / F.col("root")).alias("dx"),
     )
@@ -67,7 +66,7 @@ def path_sums(df: DataFrame, path: list[str], depth: str, value: str, limit: int
 def node_percent(totals: DataFrame) -> DataFrame:
     """Share of the root as text for every node."""
     roots = totals.where(F.col("depth") == 0).select("tree", F.col("size").alias("__root"))
-    return totals.join(measured(roots), "tree").withColumn("percent", percent_text(F.col("size"), F.col("__root"))).drop("__root")
+    return totals.join(roots, "tree").withColumn("percent", percent_text(F.col("size"), F.col("__root"))).drop("__root")
 
 
 def rollup_totals(rows: DataFrame, levels: list[str], size: str) -> DataFrame:

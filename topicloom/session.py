@@ -24,13 +24,16 @@ def local_session(cores: int = 8, shuffle: int | None = None, app: str = "topicl
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder that ``spark.checkpoint.dir`` names.
+
+    Where none is set, a local session gets a temporary folder of this machine. On a cluster that
+    would be a different folder on each machine, so there it is an error.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root:
         return root
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     root = tempfile.mkdtemp(prefix="topicloom-")
     spark.sparkContext.setCheckpointDir(root)
     return root
