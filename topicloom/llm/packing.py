@@ -31,7 +31,7 @@ from .common import by_rows, split_bytes, stored
 WINDOW = 4096
 SHARD_TOKENS = 1 << 19
 K1, B = 1.2, 0.75
-REMEMBERED = 700_000
+REMEMBERED = 1_200_000
 PIECES = pa.schema([
     ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()),
     ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary()),
@@ -41,7 +41,10 @@ PIECES = pa.schema([
 class WordIds:
     """Identifiers of a text, word by word: the tokenizer drops white space and never joins words.
 
-    ``encode`` gives the bytes of the identifiers in ``dtype``; those of words seen before are remembered.
+    ``encode`` gives the bytes of the identifiers in ``dtype``; those of words seen before are
+    remembered. The tokenizer folds case and parts letters from punctuation, so a new word is first
+    looked up without its capitals and its last full stop or comma. New words of letters alone are
+    encoded as one text: each ends with the one identifier of it that closes a word.
     """
 
     def __init__(self, path: str):
@@ -51,16 +54,50 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.vocabulary <= 1 << 16 else "<u4")
+        self.closes = np.zeros(self.vocabulary, bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.closes[i] = token.endswith("</w>")
         self.known: dict[bytes, bytes] = {}
+        self.marks = {m: self._bytes(self._each([m.decode()])[0]) for m in (b".", b",")}
+
+    def _each(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _bytes(self, ids) -> bytes:
+        return np.array(ids, self.dtype).tobytes()
+
+    def _learn(self, words: list[bytes]) -> None:
+        texts = [w.decode("utf-8", "replace") for w in words]
+        plain = [k for k, t in enumerate(texts) if t.isalpha()]
+        odd = [k for k, t in enumerate(texts) if not t.isalpha()]
+        if plain:
+            ids = np.array(self._each([" ".join(texts[k] for k in plain)])[0], self.dtype)
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) == len(plain) and ends[-1] == len(ids):
+                starts = [0, *ends[:-1].tolist()]
+                self.known.update((words[k], ids[i:j].tobytes()) for k, i, j in zip(plain, starts, ends.tolist(), strict=True))
+            else:
+                odd += plain
+        self.known.update((words[k], self._bytes(ids)) for k, ids in zip(odd, self._each([texts[k] for k in odd]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [split_bytes(t) for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = list(set().union(*split) - self.known.keys())
-        encoded = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        self.known.update((w, np.array(e.ids, self.dtype).tobytes()) for w, e in zip(new, encoded, strict=True))
-        return [b"".join(map(self.known.__getitem__, ws)) for ws in split]
+        known = self.known
+        if len(known) > REMEMBERED:
+            known.clear()
+        parts = {}
+        for w in set().union(*split) - known.keys():
+            stem, mark = w, None
+            if b"<|" not in w:  # special tokens are matched with their case
+                stem = w.lower()
+                if stem[-1:] in self.marks and stem[-2:-1].isalpha():
+                    stem, mark = stem[:-1], stem[-1:]
+            parts[w] = stem, mark
+        self._learn(list({stem for stem, _ in parts.values()} - known.keys()))
+        for w, (stem, mark) in parts.items():
+            if mark or w != stem:
+                known[w] = known[stem] + (self.marks[mark] if mark else b"")
+        return [b"".join(map(known.__getitem__, ws)) for ws in split]
 
 
 @lru_cache(maxsize=2)
