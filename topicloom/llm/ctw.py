@@ -37,9 +37,9 @@ from pyspark.sql import functions as F
 
 from .common import by_rows, split_bytes, stored
 
-DEPTH = 5
-LOOKUP_ROWS = 8_000_000
-CHUNK = 8_000_000  # bytes of text or distinct words counted at a time
+DEPTH = 6
+LOOKUP_ROWS = 12_000_000  # of 12 bytes
+CHUNK = 4_000_000  # bytes of text, or 16 times the distinct words, counted at a time
 MODEL_ROWS = 300_000  # sequences in a model task
 END = b"\n"
 SEQUENCE, WORD = 0, 1
@@ -102,7 +102,7 @@ def _count(batches):
             if size >= CHUNK:
                 yield from flush_sequences()
                 size = 0
-            if len(vocabulary) >= CHUNK // 8:
+            if len(vocabulary) >= CHUNK // 16:
                 yield from flush_words()
     yield from flush_sequences()
     yield from flush_words()
@@ -219,72 +219,50 @@ def _predict(top: np.ndarray):
 
 
 class Lookup:
-    """Hash table from 64-bit keys to numbers, in arrays."""
+    """Numbers by 64-bit key: two sorted arrays, as they are broadcast."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        bits = max(4, int(2 * len(keys)).bit_length())
-        self.shift, self.mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
-        self.keys = np.zeros(1 << bits, np.uint64)
-        self.values = np.full(1 << bits, np.nan)
-        slot = self._slot(keys)
-        while len(keys):
-            free = np.isnan(self.values[slot])
-            at, first = np.unique(np.where(free, slot, -1), return_index=True)
-            at, first = at[at >= 0], first[at >= 0]
-            self.keys[at], self.values[at] = keys[first], values[first]
-            left = np.ones(len(keys), bool)
-            left[first] = False
-            keys, values, slot = keys[left], values[left], (slot[left] + 1) & self.mask
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+        self.keys, self.values = keys, values
 
     def get(self, keys: np.ndarray, missing: float) -> np.ndarray:
-        slot = self._slot(keys)
-        out = self.values[slot]
-        open_ = np.flatnonzero((self.keys[slot] != keys) & ~np.isnan(out))
-        while len(open_):
-            slot[open_] = (slot[open_] + 1) & self.mask
-            at = slot[open_]
-            out[open_] = self.values[at]
-            open_ = open_[(self.keys[at] != keys[open_]) & ~np.isnan(self.values[at])]
-        return np.where(np.isnan(out), missing, out)
+        if not len(self.keys):
+            return np.full(len(keys), missing)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.values[at], missing)
 
 
-_TABLES: dict[str, tuple[Lookup, Lookup, dict]] = {}
-
-
-def _lookups(name: str, shared) -> tuple[Lookup, Lookup, dict]:
-    """Tables of a broadcast, built once in each Python worker."""
-    if name not in _TABLES:
-        _TABLES.clear()
-        (keys, values), (words, counts) = shared.value
-        _TABLES[name] = (Lookup(keys, values), Lookup(words, np.log10(counts + 0.5)), {})
-    return _TABLES[name]
+UNSEEN = float(np.log10(0.5))
 
 
-UNSEEN = float(np.log10(0.5))
+_KNOWN: dict[str, dict[bytes, float]] = {}
 
 
 def _score(shared):
     name = uuid.uuid4().hex
 
     def run(batches):
-        seqs, vocabulary, known = _lookups(name, shared)
+        seqs, vocabulary = (Lookup(*pair) for pair in shared.value)
+        if name not in _KNOWN:  # words met by this Python worker
+            _KNOWN.clear()
+        known = _KNOWN.setdefault(name, {})
         for part in by_rows(batches, 128):
             split = [split_bytes(t, lower=True) for t in part.column(1).to_pylist()]
-            if len(known) > 700_000:
+            if len(known) > 300_000:
                 known.clear()
             new = list(set().union(*split, [END]) - known.keys())
             if new:
-                found = vocabulary.get(np.fromiter(map(word_key, new), np.uint64, len(new)), UNSEEN)
-                known.update(zip(new, found.tolist(), strict=True))
+                counts = vocabulary.get(np.fromiter(map(word_key, new), np.uint64, len(new)).view(np.int64), 0.0)
+                known.update(zip(new, np.log10(counts + 0.5).tolist(), strict=True))
             base, n_known, score = [], [], []
-            for words in split:
+            keys = [sequences(stream(words)) for words in split]
+            distinct, index = np.unique(np.concatenate(keys), return_inverse=True)
+            logs_of = seqs.get(distinct.view(np.int64), 0.0)[index]
+            ends = np.cumsum([len(k) for k in keys])
+            for words, k, end in zip(split, keys, ends.tolist(), strict=True):
                 logs = np.fromiter(map(known.__getitem__, words), float, len(words))
                 base.append(float(logs.sum()) + known[END])
                 n_known.append(int((logs > UNSEEN).sum()) + (known[END] > UNSEEN))
-                score.append(float(seqs.get(sequences(stream(words)), 0.0).sum()))
+                score.append(float(logs_of[end - len(k):end].sum()))
             n = [len(w) + 1 for w in split]
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array(n, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())],
@@ -345,8 +323,10 @@ def _marks(batches):
 
 
 def _pairs(table: DataFrame, value: str) -> tuple[np.ndarray, np.ndarray]:
-    got = table.select("key", value).toArrow()
-    return got["key"].to_numpy().view(np.uint64), got[value].to_numpy().astype(float)
+    got = table.select("key", F.col(value).alias("value")).toArrow()
+    keys, values = got["key"].to_numpy(), got["value"].to_numpy()
+    order = np.argsort(keys)
+    return keys[order], values[order].astype(np.float32 if values.dtype == float else np.int32 if values.max(initial=0) < 1 << 31 else np.int64)
 
 
 def score(docs: DataFrame, train: Column, lookup_rows: int = LOOKUP_ROWS) -> DataFrame:
