@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicloom.llm import alignment, cascade, cube, minmax, packing
-from topicloom.llm.common import stored, texts
+from topicloom.llm.common import small, stored, texts
 from topicloom.llm.queries import tokenizer
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -33,17 +33,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest id. Of repeated rows one stays."""
+    """One document of each group of near-duplicates, the one with the smallest id. Repeated rows of a kept id stay."""
     found = minmax.near_duplicates(texts(docs))
-    going = found.where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(going, "doc_id", "left_anti").select(*COLUMNS)
+    going = stored(found.where(~F.col("kept")).select("doc_id").distinct(), "near-copies")
+    return docs.join(small(going), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights: a document appears as often as the mix takes it."""
     mixed = cube.mix(texts(docs, keep=["source"]))
-    taken = mixed.where("copies > 0").groupBy("doc_id").agg(F.max("copies").cast("int").alias("copies"))
-    many = docs.join(taken, "doc_id").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    taken = stored(mixed.where("copies > 0").groupBy("doc_id").agg(F.max("copies").cast("int").alias("copies")), "taken")
+    many = docs.join(small(taken), "doc_id").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return many.select(*COLUMNS)
 
 

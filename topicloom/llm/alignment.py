@@ -29,6 +29,7 @@ from .common import SPACES, WORD, by_rows, stored
 LINK_WORDS = 8
 BLOCK_WORDS = 40
 RARE = 8
+BROADCAST_BYTES = 16 << 20
 
 
 def _anchors(a: list, b: list, a0: int, a1: int, b0: int, b1: int) -> list[tuple[int, int]]:
@@ -167,6 +168,8 @@ def drop_aligned(docs: DataFrame, block_words: int = BLOCK_WORDS, link_words: in
     """``docs`` (``doc_id``, ``text`` and any others) with the deleted lines out of ``text`` and their number as ``n_removed``."""
     drops = stored(aligned_lines(docs.select("doc_id", "text"), block_words, link_words, rare), "drops")
     drops = drops.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), F.col("drop").alias("__drop"))
+    if (drops.agg(F.sum(24 + F.size("__drop"))).first()[0] or 0) <= BROADCAST_BYTES:
+        drops = F.broadcast(drops)
     same = (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__mark"))
     joined = docs.join(drops, same, "left")
     left = F.filter(F.split("text", "\n"), lambda x, i: ~F.coalesce(F.get("__drop", i), F.lit(False)))

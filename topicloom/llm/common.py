@@ -25,10 +25,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] | list[str] = ()) -> DataFrame:
-    """``(doc_id, text)`` and the columns to keep, a null text as an empty one; others cannot clash."""
-    return docs.select(
-        F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"), *keep
-    )
+    """``(doc_id, text)`` and the columns to keep, a null text as an empty one; others cannot clash.
+
+    An id that is right already is taken as it is: an alias of it would tell two equal reads of the
+    same documents apart, and their shuffle could not be shared.
+    """
+    ident = F.col(f"`{id_col}`")
+    if id_col != "doc_id" or dict(docs.dtypes)[id_col] != "bigint":
+        ident = ident.cast("bigint").alias("doc_id")
+    return docs.select(ident, F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"), *keep)
+
+
+def small(table: DataFrame, rows: int = 300_000) -> DataFrame:
+    """A stored table of narrow rows, with a broadcast asked for if it has at most ``rows`` rows.
+
+    Beyond that it takes part in an ordinary join, whose skewed partitions the engine splits.
+    """
+    return F.broadcast(table) if table.count() <= rows else table
 
 
 def words(text: Column) -> Column:

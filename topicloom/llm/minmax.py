@@ -4,7 +4,7 @@ A document's set holds the distinct shingles of its lower-cased words (A-Z only)
 than a shingle, the whole sequence is one. ``PERMUTATIONS`` hash evaluations per shingle give the
 smallest and the largest value of each, an unbiased signature of twice as many values. Bands take
 the two ends of ``ROWS / 2`` permutations. Sets of similarity ``s`` share no band with probability
-``(1 - s^ROWS)^BANDS``, 5e-8 at 0.8.
+``(1 - s^ROWS)^BANDS``, 5e-7 at 0.8.
 
 1. Copies (equal sets) become one class by a 128-bit digest; from here on a class is one row, known
    by its smallest document id.
@@ -29,12 +29,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, by_rows, split_bytes, stored
+from .common import WordHash, by_rows, small, split_bytes, stored
 from .graph import components
 
-BANDS, ROWS = 32, 4
+BANDS, ROWS = 48, 6
 PERMUTATIONS = BANDS * ROWS // 2
-STARS = 2
+STARS = 4
 _RNG = np.random.default_rng(20240607)
 _A = _RNG.integers(0, 1 << 63, PERMUTATIONS, np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, PERMUTATIONS, np.uint64)
@@ -121,8 +121,8 @@ def _confirm(width: int, percent: int):
 
 def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` of ids whose full sets are similar enough."""
-    needed = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = docs.join(needed, docs["doc_id"] == needed["id"], "left_semi")
+    needed = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "needed")
+    texts = docs.join(small(needed), docs["doc_id"] == needed["id"], "left_semi")
     first = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
     both = first.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
     return both.mapInArrow(_confirm(width, percent), "a bigint, b bigint")
