@@ -86,29 +86,34 @@ def ring(ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def with_edits(docs: DataFrame) -> DataFrame:
-    """``(doc_id, text, next_id, edited)``: the last quarter of a text gives way to as much of the
-    beginning of the next document's text. Of rows that share an id, the smallest text is the one
-    that others continue with; a row without an id keeps the rest of its text alone."""
+    """``(doc_id, text, n_chars, next_id, edited)``: the last quarter of a text gives way to as much of
+    the beginning of the next document's text. Of rows that share an id, the smallest text is the one
+    that others continue with; a row without an id keeps the rest of its text alone.
+
+    Both joins that need texts ask for the same rows by the same key, so the texts are shuffled once.
+    """
     following = stored(ring(docs), "ring")
-    sized = docs.withColumn("n_chars", F.char_length("text").cast("bigint"))
-    wanted = sized.groupBy("doc_id").agg(F.max(F.floor(F.col("n_chars") / 4)).alias("most"))
+    named = docs.where(F.col("doc_id").isNotNull())
+    quarter = F.floor(F.col("n_chars") / 4).cast("int")
+    wanted = named.groupBy("doc_id").agg(F.max(F.floor(F.char_length("text") / 4)).cast("int").alias("most"))
     heads = following.join(wanted, "doc_id").groupBy("next_id").agg(F.max("most").alias("most"))
-    firsts = docs.join(heads, docs["doc_id"] == heads["next_id"]).select(
-        "next_id", F.substring(F.col("text"), F.lit(1), F.col("most").cast("int")).alias("head")
+    starts = named
+    if following.count() != named.count():
+        starts = named.groupBy("doc_id").agg(F.min("text").alias("text"))
+    firsts = starts.join(heads, starts["doc_id"] == heads["next_id"]).select(
+        "next_id", F.substring(F.col("text"), F.lit(1), F.col("most")).alias("head")
     )
-    unique = following.count() == docs.where(F.col("doc_id").isNotNull()).count()
-    if not unique:
-        smallest = docs.groupBy("doc_id").agg(F.min("text").alias("text"))
-        firsts = smallest.join(heads, smallest["doc_id"] == heads["next_id"]).select(
-            "next_id", F.substring(F.col("text"), F.lit(1), F.col("most").cast("int")).alias("head")
-        )
-    given = following.join(firsts, "next_id")
-    quarter = F.floor(F.col("n_chars") / 4).cast("int")
-    return sized.join(given, "doc_id", "left").withColumn(
+    given = following.join(firsts, "next_id").withColumnRenamed("doc_id", "of")
+    placed = named.join(given, named["doc_id"] == given["of"]).drop("of")
+    alone = docs.where(F.col("doc_id").isNull()).withColumns({"next_id": F.lit(None).cast("bigint"), "head": F.lit("")})
+    sized = placed.select("doc_id", "text", "next_id", "head").union(alone.select("doc_id", "text", "next_id", "head")).withColumn(
+        "n_chars", F.char_length("text").cast("bigint")
+    )
+    return sized.withColumn(
         "edited",
         F.concat(
             F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - quarter).cast("int")),
-            F.substring(F.coalesce("head", F.lit("")), F.lit(1), quarter),
+            F.substring(F.col("head"), F.lit(1), quarter),
         ),
     ).drop("head")
 
