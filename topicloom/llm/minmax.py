@@ -8,9 +8,10 @@ the two ends of ``ROWS / 2`` permutations. Sets of similarity ``s`` share no ban
 
 1. Copies (equal sets) become one class by a 128-bit digest; from here on a class is one row, known
    by its smallest document id.
-2. Classes that share a band are candidates. Instead of all pairs of a bucket, each member is paired
-   with the bucket's center, in a few rounds with other centers; a round's confirmed links merge
-   components, and only buckets with several components go on.
+2. Classes that share a band are candidates. Instead of all pairs of a bucket, each member meets the
+   centers of its buckets, and is paired with the one it shares most buckets with, in a few rounds
+   with other centers; a round's confirmed links merge components, and only buckets with several
+   components go on.
 3. What is left after these rounds is compared in full: in each bucket the members outside its largest
    component are paired with every member of another component. So each candidate pair has been
    compared or joins documents that are linked already.
@@ -35,6 +36,7 @@ from .graph import components
 BANDS, ROWS = 48, 6
 PERMUTATIONS = BANDS * ROWS // 2
 STARS = 4
+TOGETHER = 500  # pairs of one document that are confirmed in one place
 _RNG = np.random.default_rng(20240607)
 _A = _RNG.integers(0, 1 << 63, PERMUTATIONS, np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, PERMUTATIONS, np.uint64)
@@ -101,38 +103,55 @@ def _sign(width: int):
 
 
 def _confirm(width: int, percent: int):
+    """Rows ``(a, part, b, text)``, sorted, so that the text of ``a`` (``b`` null) comes before those it is compared with."""
+
     def run(batches):
-        sets: dict[int, np.ndarray] = {}
+        head = None
         for part in by_rows(batches, 64):
             keep = []
-            for a, b, ta, tb in zip(*[c.to_pylist() for c in part.columns], strict=True):
-                if len(sets) > 200:
-                    sets.clear()
-                for key, text in ((a, ta), (b, tb)):
-                    if key not in sets:
-                        sets[key] = shingle_set(text, width)
-                sa, sb = sets[a], sets[b]
-                common = len(np.intersect1d(sa, sb, assume_unique=True))
-                keep.append(100 * common >= percent * (len(sa) + len(sb) - common))
+            for b, text in zip(part.column("b").to_pylist(), part.column("text").to_pylist(), strict=True):
+                s = shingle_set(text, width)
+                if b is None:
+                    head = s
+                    keep.append(False)
+                    continue
+                common = len(np.intersect1d(head, s, assume_unique=True))
+                keep.append(100 * common >= percent * (len(head) + len(s) - common))
             yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` of ids whose full sets are similar enough."""
-    needed = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "needed")
-    texts = docs.join(small(needed), docs["doc_id"] == needed["id"], "left_semi")
-    first = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    both = first.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-    return both.mapInArrow(_confirm(width, percent), "a bigint, b bigint")
+    """The pairs ``(a, b)`` of ids whose full sets are similar enough.
+
+    The pairs of one ``a`` are dealt out in parts of about ``TOGETHER``. A part gets the text of ``a``
+    once and each ``b``'s text, so texts travel about once per pair and no part is large.
+    """
+    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).alias("parts"))
+    dealt = stored(pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), "b"), "dealt")
+    heads = stored(dealt.select("a", "part").distinct(), "heads")
+    first = docs.join(small(heads), docs["doc_id"] == heads["a"]).select("a", "part", F.lit(None).cast("bigint").alias("b"), "text")
+    others = docs.join(small(dealt), docs["doc_id"] == dealt["b"]).select("a", "part", "b", "text")
+    met = first.union(others).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    return met.mapInArrow(_confirm(width, percent), "a bigint, b bigint")
+
+
+def _meet(members: DataFrame, others: DataFrame, percent: int) -> DataFrame:
+    """Rows of members beside the others of their bucket that are in different components and near enough in size."""
+    near = 100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")
+    return members.join(others, "bucket").where(near & (F.col("label") != F.col("label2")))
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    return met.select(F.greatest("node", "node2").alias("b"), F.least("node", "node2").alias("a")).distinct()
 
 
-def _pairs(members: DataFrame, others: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs that share a bucket, are in different components and near enough in size."""
-    both = members.join(others, "bucket")
-    sized = (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")) & (F.col("label") != F.col("label2"))
-    return both.where(sized).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
+def _likeliest(met: DataFrame) -> DataFrame:
+    """Of the centers that a member meets, the one it shares most buckets with: one pair per member."""
+    shares = met.select("node", "node2").repartition("node").groupBy("node", "node2").agg(F.count(F.lit(1)).alias("shared"))
+    best = shares.groupBy("node").agg(F.max(F.struct("shared", F.xxhash64("node2").alias("turn"), "node2")).alias("best"))
+    return best.select(F.col("best.node2").alias("a"), F.col("node").alias("b"))
 
 
 def _other(df: DataFrame) -> DataFrame:
@@ -153,6 +172,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     members = classes.select("node", "n", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket")
     members = stored(members.join(shared, "bucket"), "buckets")
+    candidates = stored(members.select(F.col("node").alias("at")).distinct(), "candidates")
+    candidates = stored(named.join(small(candidates), F.col("doc_id") == F.col("at"), "left_semi"), "candidate-texts")
 
     tested = links = None
     labels = None
@@ -160,29 +181,30 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         if labels is None:
             labelled = members.withColumn("label", F.col("node"))
         else:
-            named_labels = labels.withColumnRenamed("node", "at")
-            labelled = members.join(named_labels, members["node"] == named_labels["at"], "left").select(
+            named_labels = small(labels.withColumnRenamed("node", "at"))
+            labelled = members.join(named_labels, members["node"] == F.col("at"), "left").select(
                 "bucket", "node", "n", F.coalesce("label", "node").alias("label")
             )
         if round_ < STARS:
             turn = F.xxhash64("node", F.lit(round_))
             centers = labelled.groupBy("bucket").agg(
-                *[F.min_by(c, turn).alias(f"{c}2") for c in ("node", "n", "label")], F.min("label").alias("lo"), F.max("label").alias("hi")
-            ).where("lo < hi").drop("lo", "hi")
-            pairs = _pairs(labelled, centers, percent)
+                F.min(F.struct(turn.alias("turn"), "node", "n", "label")).alias("center"), F.min("label").alias("lo"), F.max("label").alias("hi")
+            ).where("lo < hi").select("bucket", *[F.col(f"center.{c}").alias(f"{c}2") for c in ("node", "n", "label")])
+            pairs = _likeliest(_meet(labelled, centers, percent))
         else:
             labelled = stored(labelled, "labelled")
             sizes = labelled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("size"))
             main = sizes.groupBy("bucket").agg(F.max_by("label", "size").alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
             open_ = labelled.join(main, "bucket")
             strays = open_.where(F.col("label") != F.col("main")).select("bucket", "node", "n", "label")
-            pairs = _pairs(strays, _other(open_), percent)
+            pairs = _pairs(_meet(strays, _other(open_), percent))
         if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            ordered = tested.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).distinct()
+            pairs = pairs.join(ordered, (F.least("a", "b") == F.col("low")) & (F.greatest("a", "b") == F.col("high")), "left_anti")
         pairs = stored(pairs, "pairs")
         if pairs.isEmpty():
             continue
-        found = stored(confirm(pairs, named, width, percent), "confirmed")
+        found = stored(confirm(pairs, candidates, width, percent), "confirmed")
         tested = pairs if tested is None else tested.union(pairs)
         links = found if links is None else links.union(found)
         if not found.isEmpty():
