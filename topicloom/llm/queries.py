@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, cascade, ctw, cube, minmax, oph, packing, piece_count, quality, toxicity
+from . import alignment, backtrack, cascade, conversation, ctw, cube, merkle, minmax, oph, packing, piece_count, quality, toxicity
 from .common import texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,19 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(spark, sf_dir, quality.classify, 0.3)
+
+
+@query
+def op11_butterfly_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+@query
+def op12_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backtrack.round_trip(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return conversation.report(conversation.damage(rows), rows)
