@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, backtrack, cascade, conversation, ctw, cube, merkle, minmax, oph, packing, piece_count, quality, toxicity
+from . import alignment, backtrack, cascade, conversation, ctw, cube, merkle, minmax, oph, packing, piece_count, quality, toxicity, twins
 from .common import texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,7 @@ def op12_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     return conversation.report(conversation.damage(rows), rows)
+
+
+SQL["op11_butterfly_manifest"] = twins.MANIFEST
+SQL["op13_conversation_repair"] = twins.REPAIR
