@@ -70,3 +70,20 @@ def test_many_documents_meet_the_targets(spark):
 
 def test_empty_table(empty):
     assert cube.mix(texts(empty, keep=["source"])).count() == 0
+
+
+def test_small_blocks_end(spark):
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.expr("repeat('w ', cast(1 + id % 7 as int))").alias("text"))
+    one = docs.union(docs.selectExpr("doc_id + 100", "'t'", "text"))
+    got = cube.mix(one, block=3)
+    assert got.count() == 80
+    assert all(abs(r.t - r.g) <= 7 for r in got.groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("g")).collect())
+    with pytest.raises(ValueError):
+        cube.mix(one, block=2)
+
+
+def test_rows_that_repeat_one_id_are_spread(spark):
+    docs = spark.range(300).select(F.lit(None).cast("long").alias("doc_id"), F.expr("CASE WHEN id < 150 THEN 'a' ELSE 'b' END").alias("source"), F.lit("w w").alias("text"))
+    got = cube.mix(docs, block=10)
+    assert got.count() == 300
+    assert all(abs(r.t - r.g) <= 2 for r in got.groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("g")).collect())

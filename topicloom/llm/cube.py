@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stored
+from .common import WORD, small, stored
 
 BLOCK = 20_000
 WEIGHTS = (1, 2, 3)
@@ -133,11 +133,26 @@ def _fly(level: int):
     return run
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, block: int = BLOCK) -> DataFrame:
-    """``(doc_id, source, size, source_size, target, copies, taken)`` for ``docs`` (``doc_id``,
+def _salted(sized: DataFrame, block: int) -> DataFrame:
+    """Add ``salt``: 0, but for rows that repeat one id and size more often than a block holds, which
+    would else share a block, a hash of their place in the stored files."""
+    many = sized.groupBy("doc_id", "size").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
+    many = stored(many.select(F.col("doc_id").alias("__id"), F.col("size").alias("__size")), "repeated-sizes")
+    if many.isEmpty():
+        return sized.withColumn("salt", F.lit(0).cast("bigint"))
+    place = F.xxhash64("_metadata.file_name", "_metadata.row_index")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("size") == F.col("__size"))
+    met = sized.withColumn("salt", place).join(small(many), same, "left")
+    return met.withColumn("salt", F.when(F.col("__size").isNotNull(), F.col("salt")).otherwise(F.lit(0))).drop("__id", "__size")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, block: int = BLOCK, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_id, source, size, source_size, target, copies, taken)`` and the columns ``keep`` for ``docs`` (``doc_id``,
     ``source``, non-null ``text``): how often the mix takes each document, and how many words that is."""
+    if block < 3:
+        raise ValueError("a block needs three documents: it leaves up to two")
     sized = stored(
-        docs.select(F.col("doc_id"), F.col("source").cast("string"), F.regexp_count("text", F.lit(WORD)).cast("bigint").alias("size")), "sizes"
+        docs.select(F.col("doc_id"), F.col("source").cast("string"), F.regexp_count("text", F.lit(WORD)).cast("bigint").alias("size"), *keep), "sizes"
     )
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -148,22 +163,23 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, b
     plan = stored(plan.withColumnRenamed("source", "__source").drop("n_docs"), "sources")
     if plan.count() <= SMALL_SOURCES:
         plan = F.broadcast(plan)  # else the engine splits a source with many rows
-    rest = sized.join(plan, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+    rest = _salted(sized, block).join(plan, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
     fractional = (F.col("psi") > NEAR) & (F.col("psi") < 1 - NEAR)
     decided = [rest.where(~fractional)]
     rest = rest.where(fractional)
     level = 0
     while True:
-        spread = rest.withColumn("block", F.pmod(F.xxhash64("doc_id", "size", F.lit(level)), F.col("blocks")))
+        spread = rest.withColumn("block", F.pmod(F.when(F.col("salt") == 0, F.xxhash64("doc_id", "size", F.lit(level))).otherwise(F.xxhash64("salt", F.lit(level))), F.col("blocks")))
         flown = spread.repartition("rank", "block").groupBy("rank", "block").applyInPandas(_fly(level), spread.schema)
         flown = stored(flown, "flight").drop("block")
         decided.append(flown.where(~fractional))
-        # a block leaves two documents at most, which bounds the next level's blocks
-        rest = flown.where(fractional).withColumn("blocks", F.ceil(2 * F.col("blocks") / block))
+        # a block leaves two documents at most, which bounds the next level's blocks; there are fewer at every level
+        fewer = F.greatest(F.lit(1), F.least(F.col("blocks") - 1, F.ceil(2 * F.col("blocks") / block)))
+        rest = flown.where(fractional).withColumn("blocks", fewer)
         level += 1
         if rest.isEmpty():
             break
-    columns = ["doc_id", "source", "size", "source_size", "target", "copies", "psi"]
+    columns = ["doc_id", "source", "size", "source_size", "target", "copies", "psi", *keep]
     out = reduce(DataFrame.unionByName, [d.select(*columns) for d in decided])
     copies = (F.col("copies") + F.round("psi")).cast("bigint")
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"), *keep)
