@@ -10,12 +10,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.errors import AnalysisException
 
 from topicloom.llm import alignment, cascade, cube, minmax, packing
 from topicloom.llm.common import small, stored, texts
 from topicloom.llm.queries import tokenizer
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+PLACE = ["_metadata.file_path AS __file", "_metadata.row_index AS __row"]
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
 
 
@@ -40,10 +42,19 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights: a document appears as often as the mix takes it."""
-    mixed = cube.mix(texts(docs, keep=["source"]))
-    taken = stored(mixed.where("copies > 0").groupBy("doc_id").agg(F.max("copies").cast("int").alias("copies")), "taken")
-    many = docs.join(small(taken), "doc_id").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    """Sources at their target weights: each row appears as often as the mix takes it.
+
+    A row is known by its place in the files it is read from, so repeated ids and rows without one are
+    mixed each for itself. A table that is not read from files is stored first.
+    """
+    try:
+        placed = docs.selectExpr(*COLUMNS, *PLACE)
+    except AnalysisException:
+        placed = stored(docs.select(*COLUMNS), "mixed").selectExpr(*COLUMNS, *PLACE)
+    mixed = cube.mix(texts(placed, keep=["source", "__file", "__row"]), keep=("__file", "__row"))
+    taken = mixed.where("copies > 0").select("copies", F.col("__file").alias("__in"), F.col("__row").alias("__at"))
+    same = (F.col("__file") == F.col("__in")) & (F.col("__row") == F.col("__at"))
+    many = placed.join(small(stored(taken, "taken")), same).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
     return many.select(*COLUMNS)
 
 
