@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from topicloom.functions import instant
 from topicloom.operators import filters, summary
-from topicloom.streaming import LastPoints, dropped_rows, stream_topic_series
+from topicloom.operators.series import tail
+from topicloom.streaming import late_rows, latest_bins, record_late_rows, run_available, stream_tail, stream_topic_weights
 
 
 def test_bullet_order(spark):
@@ -47,37 +48,67 @@ def day(n, hour=1):
     return dt.datetime(2024, 1, n, hour)
 
 
-def test_stream_bins_drop_and_count_late_rows(spark, tmp_path):
-    src, out = str(tmp_path / "in"), str(tmp_path / "out")
-    schema = "ts timestamp_ntz, w double"
-    batches = [[(day(1), 1.0), (day(2), 2.0)], [(day(10), 4.0)], [(day(1, 5), 100.0), (day(11), 8.0)]]
-    for i, rows in enumerate(batches):
+def message(i, when, doc=0):
+    return i, doc, when
+
+
+def test_weights_on_a_stream_account_for_late_rows(spark, tmp_path):
+    src, out, cp = (str(tmp_path / x) for x in ("in", "out", "cp"))
+    schema = "message_id long, doc_id long, ts timestamp_ntz"
+    weights = spark.createDataFrame([(d, [float(d + i) for i in range(64)]) for d in range(3)], "doc_id long, weights array<double>")
+    batches = [
+        [message(1, day(1)), message(2, day(2), 1), message(2, day(2), 1)],
+        [message(3, day(10), 2), message(4, day(9), 7)],  # no weights for document 7
+        [message(5, day(11))],
+        [message(10 + i, day(1, 5 + i)) for i in range(7)] + [message(6, day(12), 1)],  # seven late ones of one day
+    ]
+    told, late = [], str(tmp_path / "late")
+    for rows in batches:
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
         stream = spark.readStream.schema(schema).parquet(src)
-        bins = stream_topic_series(stream, "ts", {"w": "w"}, "1 day", "2 days")
-        q = bins.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp"))
-        q = q.trigger(availableNow=True).start()
-        q.awaitTermination()
-        late = dropped_rows(q)
-    got = {r.d: (r.w, r["count"]) for r in spark.read.parquet(out).select(F.to_date("bin_start").alias("d"), "w", "count").collect()}
-    assert got == {dt.date(2024, 1, 1): (1.0, 1), dt.date(2024, 1, 2): (2.0, 1)} and late == 1
-    table = spark.createDataFrame([r for b in batches for r in b], schema)
-    batch = stream_topic_series(table, "ts", {"w": "w"}, "1 day", "2 days")
-    assert batch.agg(F.sum("count")).first()[0] == 5
-    assert table.select(instant(table, "ts")).schema[0].dataType.typeName() == "timestamp"
-
-
-def test_last_points_over_batches_and_restart(spark, tmp_path):
-    src = str(tmp_path / "in")
-    schema = "key string, x long, y double"
-    last = LastPoints(spark, ["key"], ["x"], 3, str(tmp_path / "state"))
+        q = run_available(stream_topic_weights(stream, weights, 64, "1 day", "2 days"), out, cp)
+        told += [r.late for r in late_rows(q).collect()]
+        record_late_rows(q, late)
+    assert sum(told) == 7
+    assert sorted(r.late for r in spark.read.parquet(late).collect())[-1] == 7
+    found = latest_bins(spark.read.option("basePath", out).parquet(out), ["bin_start"], "batch")
+    got = {r.bin_start.day: (r.weights, r["count"]) for r in found.collect()}
+    on_time = spark.createDataFrame([r for b in batches for r in b if not 10 <= r[0] <= 16], schema)
+    table = stream_topic_weights(on_time, weights, 64, "1 day", "2 days")
+    assert got == {r.bin_start.day: (r.weights, r["count"]) for r in table.collect()}
+    assert got[2] == ([1.0 + i for i in range(64)], 1) and set(got) == {1, 2, 10, 11, 12}
+    assert on_time.select(instant(on_time, "ts")).schema[0].dataType.typeName() == "timestamp"
+
+
+def tails(spark, out):
+    found = latest_bins(spark.read.option("basePath", out).parquet(out), ["key"], "batch")
+    rows = {}
+    for r in found.orderBy("key", "pos").collect():
+        rows.setdefault(r.key, []).append(r.x)
+    return rows
+
+
+def test_last_points_survive_a_restart(spark, tmp_path):
+    src, out, cp = (str(tmp_path / x) for x in ("in", "out", "cp"))
+    schema = "key string, x long, at timestamp, y double"
     for i in range(3):
-        rows = [("a", 10 * i + j, float(j)) for j in range(4)] + ([("b", 5 - i, 1.0)])
+        rows = [("a", 10 * i + j, day(1 + i, j), float(j)) for j in range(4)] + [("b", 5 - i, None, None), (None, i, day(1), 1.0)]
+        spark.createDataFrame(rows, schema).repartition(3).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(src)
+        run_available(stream_tail(stream, ["key"], ["x"], 3), out, cp)  # a new query each time, on the same state
+    whole = spark.read.schema(schema).parquet(src)
+    want = {}
+    for r in tail(whole, 3, ["key"], ["x"]).orderBy("key", "x").collect():
+        want.setdefault(r.key, []).append(r.x)
+    assert tails(spark, out) == want == {"a": [21, 22, 23], "b": [3, 4, 5], None: [0, 1, 2]}
+
+
+def test_idle_series_are_forgotten(spark, tmp_path):
+    src, out, cp = (str(tmp_path / x) for x in ("in", "out", "cp"))
+    schema = "key string, x long, at timestamp"
+    batches = [[("a", 1, day(1)), ("a", 2, day(1, 2)), ("c", 1, day(7))], [("b", 1, day(9))], [("b", 2, day(10))], [("a", 3, day(11)), ("c", 2, day(11))]]
+    for rows in batches:
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
-        last.start(spark.readStream.schema(schema).parquet(src), str(tmp_path / "cp"), availableNow=True).awaitTermination()
-    got = sorted((r.key, r.x) for r in last.read(last.last).collect())
-    assert got == [("a", 21), ("a", 22), ("a", 23), ("b", 3), ("b", 4), ("b", 5)]
-    assert last.last == 2
-    again = spark.read.schema(schema).parquet(src).where("x >= 20 OR key = 'b' AND x = 3")
-    last.apply(again, 2)
-    assert sorted((r.key, r.x) for r in last.read(2).collect()) == got
+        stream = spark.readStream.schema(schema).parquet(src)
+        run_available(stream_tail(stream, ["key"], ["x"], 3, idle=("at", "5 days")), out, cp)
+    assert tails(spark, out) == {"a": [3], "b": [1, 2], "c": [1, 2]}

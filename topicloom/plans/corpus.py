@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import epoch_seconds
@@ -12,7 +12,7 @@ from ..operators.shares import row_shares
 from ..session import materialise
 from .registry import table
 
-LO, HI, BINS, TOPICS = 1704067200, 1706659200, 200, 20
+LO, HI, BINS, TOPICS = 1704067200, 1706659200, 200, 64
 DAY0 = LO // 86400
 TYPES = ["click", "error", "purchase", "signup", "view"]
 FLAGS = ["A", "N", "R"]
@@ -20,8 +20,8 @@ FLAGS = ["A", "N", "R"]
 
 # ---------------------------------------------------------------- documents and weights
 def doc_topic(spark: SparkSession, sf: str) -> DataFrame:
-    """``doc_id, weights``: absolute vector entries divided by their sum."""
-    entries = F.transform(F.slice("embedding", 1, TOPICS), lambda v: F.abs(v.cast("double")))
+    """``doc_id, weights``: absolute vector entries divided by their sum; all ``TOPICS`` entries of a vector."""
+    entries = F.transform("embedding", lambda v: F.abs(v.cast("double")))
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), row_shares(entries).alias("weights"))
 
 
@@ -29,18 +29,22 @@ def times(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select(F.col("event_id").alias("doc_id"), "ts")
 
 
+def thread(spark: SparkSession, sf: str, event: Column) -> Column:
+    """The vector of an event's thread: every vector has events, and every event a vector."""
+    return event % table(spark, sf, "embeddings").agg(F.count(F.lit(1))).scalar()
+
+
 def doc_topic_time(spark: SparkSession, sf: str) -> DataFrame:
     """Every event as a message ``doc_id, weights, ts`` with the weights of its thread."""
-    messages = times(spark, sf).withColumn("thread", F.call_function("div", "doc_id", F.lit(20).cast("bigint")))
+    messages = times(spark, sf).withColumn("thread", thread(spark, sf, F.col("doc_id")))
     weights = doc_topic(spark, sf).withColumnRenamed("doc_id", "thread")
     return with_metadata(weights, messages, "thread")
 
 
 def meta(spark: SparkSession, sf: str) -> DataFrame:
     """Every event as a version of a document, with its time."""
-    versions = times(spark, sf).select(
-        F.col("doc_id").alias("version"), F.call_function("div", "doc_id", F.lit(10).cast("bigint")).alias("doc_id"), "ts"
-    )
+    count = table(spark, sf, "documents").agg(F.count(F.lit(1))).scalar()
+    versions = times(spark, sf).select(F.col("doc_id").alias("version"), (F.col("doc_id") % count).alias("doc_id"), "ts")
     return with_metadata(table(spark, sf, "documents").select("doc_id", "lang", "source"), versions)
 
 
@@ -158,15 +162,15 @@ def doc_probes(spark: SparkSession, sf: str) -> DataFrame:
 _TYPES = "['click', 'error', 'purchase', 'signup', 'view']"
 CTE = {
     "doc_topic": """
-        dt0 AS (SELECT vec_id AS doc_id, list_transform(embedding[1:20], lambda v: abs(CAST(v AS DOUBLE))) AS a
+        dt0 AS (SELECT vec_id AS doc_id, list_transform(embedding, lambda v: abs(CAST(v AS DOUBLE))) AS a
                 FROM embeddings),
         doc_topic AS (SELECT doc_id, list_transform(a, lambda v: v / list_sum(a)) AS weights FROM dt0)""",
     "dtt": """
         dtt AS (SELECT e.event_id AS doc_id, d.weights, e.ts, epoch_us(e.ts) // 1000000 AS t
-                FROM doc_topic d JOIN events e ON d.doc_id = e.event_id // 20)""",
+                FROM doc_topic d JOIN events e ON d.doc_id = e.event_id % (SELECT count(*) FROM embeddings))""",
     "meta": """
         meta AS (SELECT d.doc_id, e.event_id AS version, d.lang, d.source, e.ts, epoch_us(e.ts) // 1000000 AS t
-                 FROM documents d JOIN events e ON d.doc_id = e.event_id // 10)""",
+                 FROM documents d JOIN events e ON d.doc_id = e.event_id % (SELECT count(*) FROM documents))""",
     "borders": f"""
         borders AS (SELECT {LO} + (k * {HI - LO}) // {BINS} AS bin FROM range({BINS}) r(k))""",
     "binned": f"""
@@ -179,17 +183,17 @@ CTE = {
     "words": r"""
         tokens AS (SELECT CAST(substr(source, 4) AS BIGINT) AS topic,
                           unnest(regexp_split_to_array(lower(text), '\s+')) AS word FROM documents),
-        words AS (SELECT topic, word, count(*) AS weight FROM tokens WHERE word <> '' GROUP BY topic, word)""",
+        words AS MATERIALIZED (SELECT topic, word, count(*) AS weight FROM tokens WHERE word <> '' GROUP BY topic, word)""",
     "vocab": """
-        vocab AS (SELECT row_number() OVER (ORDER BY count DESC, word) - 1 AS word_id, word, count
+        vocab AS MATERIALIZED (SELECT row_number() OVER (ORDER BY count DESC, word) - 1 AS word_id, word, count
                   FROM (SELECT word, CAST(sum(weight) AS BIGINT) AS count FROM words GROUP BY word))""",
     "topic_word": """
-        topic_word AS (SELECT topic, word_id, weight FROM words JOIN vocab USING (word))""",
+        topic_word AS MATERIALIZED (SELECT topic, word_id, weight FROM words JOIN vocab USING (word))""",
     "word_cut": """
         ws AS (SELECT topic, word_id, weight / sum(weight) OVER (PARTITION BY topic) AS share FROM topic_word),
         wc AS (SELECT *, sum(share) OVER w AS cum, row_number() OVER w AS rank FROM ws
                WINDOW w AS (PARTITION BY topic ORDER BY share DESC, word_id DESC ROWS UNBOUNDED PRECEDING)),
-        word_cut AS (SELECT * FROM wc WHERE round(cum, 12) < 0.2)""",
+        word_cut AS MATERIALIZED (SELECT * FROM wc WHERE round(cum, 12) < 0.2)""",
     "cluster_topic": """
         cluster_topic AS (SELECT lang AS cluster, CAST(substr(source, 4) AS BIGINT) AS topic,
                                  CAST(count(*) AS DOUBLE) AS weight FROM documents GROUP BY ALL)""",

@@ -272,7 +272,7 @@ _NEAREST = with_("pts probes", """
     , n AS (SELECT p.probe_id, p.key, p.at, q.idx, q.x, q.y, row_number() OVER (PARTITION BY p.probe_id ORDER BY abs(q.x - p.at),
               CASE WHEN q.x < p.at THEN 0 ELSE 1 END, CASE WHEN q.x < p.at THEN -q.idx ELSE q.idx END) AS rn
             FROM probes p JOIN pts q ON p.key = q.key)
-    SELECT probe_id, key, CAST("at" AS DOUBLE) AS "at", idx, CAST(x AS DOUBLE) AS x, y FROM n WHERE rn = 1""")
+    SELECT probe_id, key, "at", idx, x, y FROM n WHERE rn = 1""")
 
 
 @query("j05_nearest", _NEAREST)
@@ -344,9 +344,8 @@ def u_unique(spark, sf):
 
 
 @query("u03_arrays_equal", """
-    SELECT a.vec_id, a.embedding[1:2] = b.embedding[1:2] AS same FROM embeddings a JOIN embeddings b ON a.label = b.vec_id""")
+    SELECT a.vec_id, a.embedding = b.embedding AS same FROM embeddings a JOIN embeddings b ON a.label = b.vec_id""")
 def u_equal(spark, sf):
     e = table(spark, sf, "embeddings")
-    head = F.slice("embedding", 1, 2)
-    a, b = e.select("vec_id", "label", head.alias("a")), e.select(F.col("vec_id").alias("label"), head.alias("b"))
+    a, b = e.select("vec_id", "label", F.col("embedding").alias("a")), e.select(F.col("vec_id").alias("label"), F.col("embedding").alias("b"))
     return a.join(b, "label").select("vec_id", filters.arrays_equal(F.col("a"), F.col("b")).alias("same"))

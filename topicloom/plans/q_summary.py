@@ -8,7 +8,7 @@ from ..functions import error_interval, fmt_date, fmt_number, nan_to_zero, slice
 from ..operators import filters, shares, summary
 from ..operators import series as S
 from ..session import fresh_path
-from ..streaming import LastPoints, stream_topic_series
+from ..streaming import STORE, latest_bins, run_available, stream_tail, stream_topic_weights
 from . import corpus as c
 from .corpus import with_
 from .registry import query, rnd, rounded, table
@@ -202,30 +202,25 @@ def _event_stream(spark, sf):
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
 
 
-@query("t01_stream_topic_series", """
-    SELECT epoch_us(ts) // 86400000000 AS day, round(sum(value), 4) + 0.0 AS value, count(*) AS count FROM events GROUP BY ALL""")
+@query("t01_stream_topic_series", with_("doc_topic dtt", f"""
+    SELECT t // 86400 AS day, CAST(i AS INTEGER) AS topic, round(sum(weights[i + 1]), 6) + 0.0 AS weight, count(*) AS count
+    FROM dtt, range({c.TOPICS}) r(i) GROUP BY ALL"""))
 def t_series(spark, sf):
     out = fresh_path(spark, "stream-bins")
-    bins = stream_topic_series(_event_stream(spark, sf), "ts", {"value": "value"}, "1 day", "40 days")
-
-    def keep(batch, number):
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/n={number}")
-
-    q = bins.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", fresh_path(spark, "stream"))
-    q.trigger(availableNow=True).start().awaitTermination()
-    latest = spark.read.option("basePath", out).parquet(out).groupBy("bin_start").agg(
-        F.max_by(F.struct("value", "count"), "batch").alias("v")
-    )
-    day = F.call_function("div", F.unix_timestamp("bin_start"), F.lit(86400).cast("bigint"))
-    return rounded(latest.select(day.alias("day"), "v.value", "v.count"), ["value"], 4)
+    messages = _event_stream(spark, sf).select(F.col("event_id").alias("message_id"), "ts", c.thread(spark, sf, F.col("event_id")).alias("doc_id"))
+    run_available(stream_topic_weights(messages, c.doc_topic(spark, sf), c.TOPICS, "1 day", "40 days"), out, fresh_path(spark, "stream"))
+    latest = latest_bins(spark.read.option("basePath", out).parquet(out), ["bin_start"], "batch")
+    long = latest.select(c.day("bin_start").alias("day"), F.posexplode("weights").alias("topic", "weight"), "count")
+    return rounded(long, ["weight"], 6)
 
 
 @query("t02_stream_tail", """
     SELECT event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events)
     WHERE rn <= 70""")
 def t_tail(spark, sf):
-    last = LastPoints(spark, ["event_type"], ["ts", "event_id"], 70)
+    # the provider is looked up when a stream starts, and must be the one with list state
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    out = fresh_path(spark, "stream-tail")
     points = _event_stream(spark, sf).select("event_type", "ts", "event_id", "value")
-    q = last.start(points, fresh_path(spark, "stream"), availableNow=True)
-    q.awaitTermination()
-    return last.read(last.last).select("event_type", "event_id", "value")
+    run_available(stream_tail(points, ["event_type"], ["ts", "event_id"], 70), out, fresh_path(spark, "stream"))
+    return latest_bins(spark.read.option("basePath", out).parquet(out), ["event_type"], "batch").select("event_type", "event_id", "value")

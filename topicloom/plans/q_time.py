@@ -47,11 +47,11 @@ def topic_averages(spark, sf):
 
 
 @query("a01_topic_series_filled", with_("doc_topic dtt borders binned", f"""
-    , sums AS (SELECT bin, sum(weights[1]) AS a, sum(weights[20]) AS b FROM binned GROUP BY bin)
-    SELECT bin, round(coalesce(a, 0), 9) + 0.0 AS topic_0, round(coalesce(b, 0), 9) + 0.0 AS topic_19
-    FROM borders LEFT JOIN sums USING (bin)"""))
+    , sums AS (SELECT bin, i, sum(weights[i + 1]) AS y FROM binned, range({TOPICS}) r(i) GROUP BY bin, i)
+    SELECT b.bin, 'topic_' || r.i AS key, round(coalesce(y, 0), 9) + 0.0 AS y
+    FROM borders b CROSS JOIN range({TOPICS}) r(i) LEFT JOIN sums s ON s.bin = b.bin AND s.i = r.i"""))
 def topic_series_filled(spark, sf):
-    return rounded(series(spark, sf, fill_empty=True).select("bin", "topic_0", "topic_19"), ["topic_0", "topic_19"], 9)
+    return rounded(output.unpivot(series(spark, sf, fill_empty=True), "bin", KEYS), ["y"], 9)
 
 
 @query("a04_time_extent", with_("meta", "SELECT min(t) AS min_ts, max(t) AS max_ts FROM meta"))
@@ -70,19 +70,20 @@ _CUT = with_("doc_topic dtt", """
     , m AS (SELECT doc_id, weights, CAST(epoch_us(ts) // 1000 AS DOUBLE) AS x FROM dtt),
     e AS (SELECT min(x) AS lo, max(x) AS hi FROM m),
     k AS (SELECT m.*, greatest(0, CAST(ceil((x - lo) / ((hi - lo) / 80.0)) AS INTEGER) - 1) AS bin FROM m, e),
-    s AS (SELECT least(bin, 79) AS bin, sum(weights[1]) AS a, sum(weights[2]) AS b FROM k GROUP BY ALL)
-    SELECT CAST(r.i AS INTEGER) AS bin,
+    s AS (SELECT least(bin, 79) AS bin, j, sum(weights[j + 1]) AS y FROM k, range(TOPICS) q(j) GROUP BY ALL)
+    SELECT CAST(r.i AS INTEGER) AS bin, 'topic_' || q.j AS key,
            round(CASE WHEN r.i = 0 THEN lo - (hi - lo) * 0.001 ELSE lo + r.i * ((hi - lo) / 80.0) END, 2) + 0.0 AS bin_lo,
-           round(coalesce(a, 0), 9) + 0.0 AS topic_1, round(coalesce(b, 0), 9) + 0.0 AS topic_2
-    FROM range(80) r(i) CROSS JOIN e LEFT JOIN s ON s.bin = r.i""")
+           round(coalesce(y, 0), 9) + 0.0 AS y
+    FROM range(80) r(i) CROSS JOIN range(TOPICS) q(j) CROSS JOIN e LEFT JOIN s ON s.bin = r.i AND s.j = q.j""").replace("TOPICS", str(TOPICS))
 
 
 @query("a06_cut_sum", _CUT)
 def cut_sum(spark, sf):
     d = c.doc_topic_time(spark, sf)
-    values = [("topic_1", F.get("weights", F.lit(0))), ("topic_2", F.get("weights", F.lit(1)))]
+    values = [(name, F.get("weights", F.lit(i))) for i, name in enumerate(KEYS)]
     out = timebins.cut_sum(d, epoch_millis(F.col("ts")), values, 80)
-    return rounded(rounded(out, ["topic_1", "topic_2"], 9), ["bin_lo"], 2)
+    long = out.unpivot(["bin", "bin_lo"], KEYS, "key", "y")
+    return rounded(rounded(long, ["y"], 9), ["bin_lo"], 2)
 
 
 @query("a07_weight_check", """
@@ -209,7 +210,7 @@ def s_delimited(spark, sf):
 
 
 @query("s03_tuple_scan", with_("doc_topic", """
-    SELECT doc_id, CAST(i AS INTEGER) AS topic, weights[i + 1] AS weight FROM doc_topic, range(20) r(i)"""))
+    SELECT doc_id, CAST(i AS INTEGER) AS topic, weights[i + 1] AS weight FROM doc_topic, range(64) r(i)"""))
 def s_tuples(spark, sf):
     path = fresh_path(spark, "tuples")
     line = F.concat(F.lit("("), F.col("doc_id"), F.lit(",("), F.array_join(F.col("weights").cast("array<string>"), ","), F.lit("))"))
@@ -217,13 +218,13 @@ def s_tuples(spark, sf):
     return readers.weights_long(readers.read_tuples(spark, path, TOPICS)).withColumnRenamed("col", "topic")
 
 
-@query("s03_tuple_wide", with_("doc_topic", "SELECT doc_id, weights[1] AS C1, weights[20] AS C20 FROM doc_topic"))
+@query("s03_tuple_wide", with_("doc_topic", "SELECT doc_id, " + ", ".join(f"weights[{i + 1}] AS C{i + 1}" for i in range(TOPICS)) + " FROM doc_topic"))
 def s_tuples_wide(spark, sf):
     path = fresh_path(spark, "tuples")
     line = F.concat(F.lit("("), F.col("doc_id"), F.lit(",["), F.array_join(F.col("weights").cast("array<string>"), ", "), F.lit("])"))
     c.doc_topic(spark, sf).select(line.alias("value")).write.text(path)
     wide = readers.weights_wide(readers.read_tuples(spark, path, TOPICS), TOPICS)
-    return wide.select("doc_id", *[n for n in filters.numbered_columns("C", TOPICS) if n in ("C1", "C20")])
+    return wide.select("doc_id", *filters.numbered_columns("C", TOPICS))
 
 
 _MATRIX = with_("cluster_topic", """
@@ -317,15 +318,15 @@ def k_json(spark, sf):
 
 
 @query("k05_materialised_join", with_("doc_topic dtt", """
-    SELECT t // 86400 AS day, count(*) AS docs, round(sum(weights[1]), 9) + 0.0 AS topic_0
+    SELECT t // 86400 AS day, count(*) AS docs, """ + ", ".join(f"round(sum(weights[{i + 1}]), 9) + 0.0 AS topic_{i}" for i in range(TOPICS)) + """
     FROM dtt WHERE t // 86400 >= 19730 GROUP BY ALL"""))
 def k_materialised(spark, sf):
     joined = c.doc_topic_time(spark, sf).withColumn("day", c.day("ts"))
     kept = materialise(joined, "doc-topic-time", ["day"])
     out = kept.where(F.col("day") >= 19730).groupBy("day").agg(
-        F.count(F.lit(1)).alias("docs"), F.sum(F.get("weights", F.lit(0))).alias("topic_0")
+        F.count(F.lit(1)).alias("docs"), *[F.sum(F.get("weights", F.lit(i))).alias(k) for i, k in enumerate(KEYS)]
     )
-    return rounded(out, ["topic_0"], 9)
+    return rounded(out, KEYS, 9)
 
 
 DAYS = [c.DAY0 + i for i in range(30)]
@@ -355,7 +356,7 @@ def p_project(spark, sf):
     return filters.project(table(spark, sf, "documents"), {"id": "doc_id", "count": "n_chars"})
 
 
-@query("p02_numbered_columns", with_("doc_topic", "SELECT doc_id, " + ", ".join(f"weights[{i + 1}] AS C{i + 1}" for i in range(20)) + " FROM doc_topic"))
+@query("p02_numbered_columns", with_("doc_topic", "SELECT doc_id, " + ", ".join(f"weights[{i + 1}] AS C{i + 1}" for i in range(TOPICS)) + " FROM doc_topic"))
 def p_columns(spark, sf):
     return readers.weights_wide(c.doc_topic(spark, sf), TOPICS).select("doc_id", *filters.numbered_columns("C", TOPICS))
 
@@ -411,10 +412,10 @@ def p_keep(spark, sf):
 
 # ---------------------------------------------------------------- joins
 @query("j01_weights_with_meta", with_("doc_topic meta", """
-    SELECT doc_id, version, lang, source, round(weights[1], 9) + 0.0 AS w0 FROM doc_topic JOIN meta USING (doc_id)"""))
+    SELECT doc_id, version, lang, source, list_transform(weights, lambda v: round(v, 9) + 0.0) AS weights FROM doc_topic JOIN meta USING (doc_id)"""))
 def j_meta(spark, sf):
     joined = joins.with_metadata(c.doc_topic(spark, sf), c.meta(spark, sf))
-    return joined.select("doc_id", "version", "lang", "source", rnd(F.get("weights", F.lit(0)), 9).alias("w0"))
+    return joined.select("doc_id", "version", "lang", "source", F.transform("weights", lambda v: rnd(v, 9)).alias("weights"))
 
 
 @query("o01_sorted_bins", with_("meta borders", f"""

@@ -63,7 +63,7 @@ def w_share(spark, sf):
     return rounded(shares.share(c.source_words(spark, sf), ["topic"], "weight").select("topic", "word", "share"), ["share"], 9)
 
 
-@query("w02_row_share", with_("doc_topic", "SELECT doc_id, CAST(i AS INTEGER) AS topic, round(weights[i + 1], 9) + 0.0 AS share FROM doc_topic, range(20) r(i)"))
+@query("w02_row_share", with_("doc_topic", "SELECT doc_id, CAST(i AS INTEGER) AS topic, round(weights[i + 1], 9) + 0.0 AS share FROM doc_topic, range(64) r(i)"))
 def w_row_share(spark, sf):
     return rounded(c.doc_topic(spark, sf).select("doc_id", F.posexplode("weights").alias("topic", "share")), ["share"], 9)
 

@@ -19,6 +19,8 @@ def local_session(cores: int = 8, shuffle: int | None = None, app: str = "topicl
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
+        .config("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+        .config("spark.python.unix.domain.socket.enabled", "true")
         .getOrCreate()
     )
 

@@ -1,3 +1,3 @@
-from .live import LastPoints, dropped_rows, stream_topic_series
+from .live import STORE, late_rows, latest_bins, record_late_rows, run_available, stream_tail, stream_topic_weights
 
-__all__ = ["LastPoints", "dropped_rows", "stream_topic_series"]
+__all__ = ["STORE", "late_rows", "latest_bins", "record_late_rows", "run_available", "stream_tail", "stream_topic_weights"]
