@@ -52,5 +52,15 @@ def field_set(nodes: DataFrame, fields: str) -> DataFrame:
     return nodes.select(F.explode(F.map_keys(F.col(fields))).alias("field")).distinct()
 
 
+def field_types(nodes: DataFrame, node: str) -> DataFrame:
+    """``(field, type)``: the fields of JSON objects of any form, each with the type that holds all its values.
+
+    The types of a field are merged before the shuffle. A text that is no object adds nothing.
+    """
+    parsed = nodes.select(F.try_parse_json(node).alias("__v")).where(F.schema_of_variant("__v").startswith("OBJECT"))
+    fields = parsed.lateralJoin(parsed.sparkSession.tvf.variant_explode(F.col("__v").outer()))
+    return fields.groupBy(F.col("key").alias("field")).agg(F.schema_of_variant_agg("value").alias("type")).where(F.col("field").isNotNull())
+
+
 def edge_widths(edges: DataFrame, value: str) -> DataFrame:
     return edges.withColumn("width", link_width(F.col(value)))

@@ -16,6 +16,11 @@ def small_side(table: DataFrame, max_rows: int | None) -> DataFrame:
     return F.broadcast(table) if max_rows is not None and max_rows <= BROADCAST_ROWS else table
 
 
+def measured(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Ask for a broadcast of a stored table of narrow rows if it has at most ``rows`` of them, counted first."""
+    return F.broadcast(table) if table.count() <= rows else table
+
+
 def with_metadata(doc_topic: DataFrame, meta: DataFrame, ident: str = "doc_id") -> DataFrame:
     """Document weights joined with document metadata, one row per document known to both."""
     return doc_topic.join(meta, ident, "inner")

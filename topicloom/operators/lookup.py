@@ -6,9 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialise
 from .scan import HOT_ROWS, Running, ordered_scan
 
 
+def _exact(a: T.DataType, b: T.DataType) -> str:
+    """Type in which both are compared: whole numbers, also beyond 2^53, and decimals stay exact."""
+    if all(isinstance(t, T.IntegralType) for t in (a, b)):
+        return "bigint"
+    if all(isinstance(t, (T.IntegralType, T.DecimalType)) for t in (a, b)):
+        scale = max(getattr(t, "scale", 0) for t in (a, b))
+        left = max(t.precision - t.scale if isinstance(t, T.DecimalType) else 19 for t in (a, b))
+        if left + scale < 38:
+            return f"decimal({left + scale + 1},{scale})"
+    return "double"
+
+
 def _neighbours(points: DataFrame, probes: DataFrame, part: list[str], x: str, probe: str,
                 payload: list[str], strict: bool, idx: str, hot_rows: int | None) -> DataFrame:
     """Probes with the point before (``p``) and the point from there on (``s``).
@@ -17,10 +30,9 @@ def _neighbours(points: DataFrame, probes: DataFrame, part: list[str], x: str, p
     With ``strict`` a point at the probe's own x counts as following.
     """
     kind = F.lit(0 if strict else 2)
-    whole = all(isinstance(d.schema[c].dataType, T.IntegralType) for d, c in ((points, x), (probes, "at")))
-    own = "bigint" if whole else "double"  # ids and nanoseconds beyond 2^53 stay exact
+    own = _exact(points.schema[x].dataType, probes.schema["at"].dataType)
     value = F.col(x).cast(own)
-    a = points.where(value.isNotNull() & (F.lit(True) if whole else ~F.isnan(value))).select(
+    a = points.where(value.isNotNull() & (~F.isnan(value) if own == "double" else F.lit(True))).select(
         *part, value.alias("__x"), F.lit(1).alias("__kind"), F.col(idx).alias("__idx"),
         F.struct(value.alias("x"), F.col(idx).alias("idx"), *payload).alias("__p"),
         F.lit(None).cast(probes.schema[probe].dataType).alias(probe),
@@ -43,8 +55,13 @@ def nearest(points: DataFrame, probes: DataFrame, part: list[str], x: str = "x",
 
     Between two equally near points the earlier wins; past the ends the end point is taken; a
     group without points gives no row. Among points at one x, the last is taken when it precedes
-    the probe and the first when it follows.
+    the probe and the first when it follows. Times are compared in microseconds and given back as times.
     """
+    kind = points.schema[x].dataType
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+        found = nearest(points.withColumn(x, micros(x)), probes.withColumn("at", micros("at")), part, x, idx, payload, probe, hot_rows)
+        return found.withColumns({c: F.timestamp_micros(F.col(c)).cast(kind) for c in ("at", "x")})
     near = _neighbours(points, probes, part, x, probe, list(payload), True, idx, hot_rows)
     later = F.col("p").isNull() | (F.abs(F.col("s.x") - F.col("at")) < F.abs(F.col("p.x") - F.col("at")))
     best = F.when(F.col("s").isNotNull() & later, F.col("s")).otherwise(F.col("p"))
@@ -84,21 +101,46 @@ def closest_index(points: DataFrame, probes: DataFrame, part: list[str], x: str
     return best.where(F.col("idx").isNotNull()).select(*part, probe, "at", "idx")
 
 
-def band_at(stacked: DataFrame, probes: DataFrame, probe: str = "probe_id") -> DataFrame:
+def band_at(stacked: DataFrame, probes: DataFrame, probe: str = "probe_id", hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Stacked band that contains each probe ``(chart, x, at)``; null if none does.
 
-    Bands are compared by absolute values, both ends included, and the lowest series wins. The
-    candidates of a probe are the series at its x.
+    Bands are compared by absolute values, both ends included, and the lowest series wins.
+
+    A band's ends are looked up by equality. For what lies between them, bands are sorted by their
+    start, and the largest end so far tells where a run of overlapping bands begins. Probes and runs
+    go into one order, in which each probe meets the last run that began below it. A run is one band
+    in a stack; only the bands of a run that really overlap are compared with its probes one by one.
     """
     y0, dy = F.abs("y0"), F.abs("dy")
-    bands = stacked.select(
-        F.col("chart").alias("__chart"), F.col("x").alias("__x"), "series_idx", y0.alias("__lo"), (y0 + dy).alias("__hi")
+    spans = stacked.select("chart", "x", y0.cast("double").alias("lo"), (y0 + dy).cast("double").alias("hi"), "series_idx")
+    spans = spans.where(F.col("lo").isNotNull() & F.col("hi").isNotNull())
+    asked = materialise(probes.select(probe, "chart", "x", "at", F.abs("at").cast("double").alias("__at")), "probes")
+    spans = materialise(spans.groupBy("chart", "x", "lo", "hi").agg(F.min("series_idx").alias("series_idx")), "bands")
+
+    ends = spans.select("chart", "x", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("__at"), "series_idx")
+    ends = ends.groupBy("chart", "x", "__at").agg(F.min("series_idx").alias("__end"))
+
+    part = ["chart", "x"]
+    inner = spans.where(F.col("lo") < F.col("hi"))
+    carried = ordered_scan(inner, part, ["lo", "hi"], {"__top": Running("max", F.col("hi"), "before")}, hot_rows)
+    begins = F.coalesce(F.col("lo") >= F.col("__top"), F.lit(True))
+    numbered = materialise(carried.withColumn("__begins", begins.cast("bigint")).drop("__top"), "carried")
+    runs = materialise(ordered_scan(numbered, part, ["lo", "hi"], {"run": Running("sum", F.col("__begins"))}, hot_rows).drop("__begins"), "runs")
+    whole = runs.groupBy(*part, "run").agg(
+        F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count(F.lit(1)).alias("n"), F.min("series_idx").alias("series_idx")
     )
-    same = (F.col("chart") == F.col("__chart")) & (F.col("x") == F.col("__x"))
-    # inside the join condition, so that only bands that contain the probe leave the join
-    hit = F.abs("at").between(F.col("__lo"), F.col("__hi"))
-    found = probes.join(bands, same & hit, "left").groupBy(probe, "chart", "x", "at")
-    return found.agg(F.min("series_idx").alias("series_idx"))
+    at_run = F.struct("lo", "hi", "n", "run", "series_idx")
+    lined = whole.select(*part, F.col("lo").alias("__x"), F.lit(1).alias("__kind"), at_run.alias("__run"), F.lit(None).cast(asked.schema[probe].dataType).alias(probe), F.lit(None).cast(asked.schema["at"].dataType).alias("at"))
+    put = asked.where(F.col("__at").isNotNull()).select(*part, F.col("__at").alias("__x"), F.lit(0).alias("__kind"), F.lit(None).cast(lined.schema["__run"].dataType).alias("__run"), probe, "at")
+    met = ordered_scan(materialise(lined.unionByName(put), "lined"), part, ["__x", "__kind"], {"__last": Running("max", F.col("__run"), "before")}, hot_rows)
+    near = met.where((F.col("__kind") == 0) & (F.col("__x") < F.col("__last.hi")))
+    near = materialise(near.select(*part, probe, "at", F.col("__x").alias("__at"), F.col("__last.n").alias("n"), F.col("__last.run").alias("run"), F.col("__last.series_idx").alias("__in")), "near")
+    alone = near.where(F.col("n") == 1).select(probe, *part, "at", F.col("__in").alias("series_idx"))
+    shared = near.where(F.col("n") > 1).drop("__in").join(runs, [*part, "run"]).where((F.col("lo") < F.col("__at")) & (F.col("__at") < F.col("hi")))
+    touched = asked.join(ends, [*part, "__at"]).select(probe, *part, "at", F.col("__end").alias("series_idx"))
+    nothing = asked.select(probe, *part, "at", F.lit(None).cast(spans.schema["series_idx"].dataType).alias("series_idx"))
+    found = nothing.unionByName(alone).unionByName(shared.select(probe, *part, "at", "series_idx")).unionByName(touched)
+    return found.groupBy(probe, *part, "at").agg(F.min("series_idx").alias("series_idx"))
 
 
 def cross_section(points: DataFrame, probes: DataFrame, expand: bool = False, probe: str = "probe_id",

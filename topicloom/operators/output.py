@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from .scan import HOT_ROWS, row_number
 
 POINTS = 100_000
@@ -65,6 +66,29 @@ def tree_documents(rows: DataFrame) -> DataFrame:
     )
 
 
+def nested_documents(leaves: DataFrame) -> DataFrame:
+    """``(ord, document)``: one JSON document for each node below the root, from leaves ``(path, ord, size)`` of any depth.
+
+    Levels are folded from the deepest up; a round joins the documents of the nodes of one level to
+    those of their parents. A node's children are gathered in one row, as the format asks for; a
+    subtree that is too large for a row can be written by :func:`tree_fragments`.
+    """
+    quoted = F.to_json(F.struct(F.element_at("path", -1).alias("name")))
+    body = F.when(F.col("size").isNull(), quoted).otherwise(F.to_json(F.struct(F.element_at("path", -1).alias("name"), "size")))
+    nodes = materialise(leaves.select("path", "ord", body.alias("document")), "leaves")
+    depth = nodes.agg(F.max(F.size("ord"))).first()[0] or 0
+    for d in range(depth, 1, -1):
+        deep = nodes.where(F.size("ord") == d)
+        up = F.slice("ord", 1, d - 1)
+        child = F.struct(F.element_at("ord", -1).alias("at"), "document")
+        met = deep.groupBy(up.alias("__ord")).agg(F.array_sort(F.collect_list(child)).alias("c"), F.min(F.slice("path", 1, d - 1)).alias("__path"))
+        head = F.to_json(F.struct(F.element_at("__path", -1).alias("name")))
+        text = F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(',"children":['), F.array_join(F.transform("c", lambda x: x["document"]), ","), F.lit("]}"))
+        folded = met.select(F.col("__path").alias("path"), F.col("__ord").alias("ord"), text.alias("document"))
+        nodes = materialise(nodes.where(F.size("ord") < d).unionByName(folded), "folded")
+    return nodes.select("ord", "document")
+
+
 def tree_fragments(rows: DataFrame, root: str) -> DataFrame:
     """The nested document as ordered pieces of text, one per leaf.
 

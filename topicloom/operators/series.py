@@ -1,14 +1,17 @@
 """Operators on series in long form: ``chart, key, series_idx, x, y`` and optionally ``enabled``.
 
-A ``(chart, x)`` group holds one row per series of the chart, so windows over it stay small.
-Groups that grow with the data (all points of a series, all x of a chart) go through
-:mod:`.scan`.
+Groups that grow with the data (all points of a series, all series at one x, all x of a chart) go
+through :mod:`.scan`.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import safe_divide
 from ..session import materialise
@@ -96,50 +99,69 @@ def _enabled(series: DataFrame) -> DataFrame:
     return series.where(F.col("enabled")) if "enabled" in series.columns else series
 
 
+def _lighter_side(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Walk the series chart by chart, in order, with two sums and two counts as the only state."""
+    chart, sums, counts = None, [0.0, 0.0], [0, 0]
+    started = False
+    for rows in frames:
+        sides, places = [], []
+        for name, weight in zip(rows["chart"], rows["weight"], strict=True):
+            if not started or name != chart and not (pd.isna(name) and pd.isna(chart)):
+                started, chart, sums, counts = True, name, [0.0, 0.0], [0, 0]
+            side = int(sums[1] < sums[0])  # 1 is above; of equal sums the one below takes it
+            sides.append(side)
+            places.append(counts[side])
+            sums[side] += weight
+            counts[side] += 1
+        yield rows[["chart", "key", "series_idx"]].assign(side=sides, place=places)
+
+
 def series_order(series: DataFrame) -> DataFrame:
-    """Inside-out order: series by the x of their peak, each put on the lighter side.
+    """Inside-out order ``(chart, key, series_idx, pos)``: series by the x of their peak, each put on the lighter side.
 
-    The greedy step reads one small record per series of a chart, never its points.
+    The greedy step walks one record per series, sorted, and keeps two sums and two counts of the
+    present chart; a series' position follows from its place on its side and the number below.
     """
     y = F.coalesce("y", F.lit(0.0))
-    peaks = _enabled(series).groupBy("chart", "series_idx").agg(
-        F.max_by("x", F.struct(y, -F.col("x"))).alias("peak"), F.sum(y).alias("weight")
-    )
-    records = F.array_sort(F.collect_list(F.struct("peak", F.col("series_idx").cast("int").alias("i"), "weight")))
-    none = F.array().cast("array<int>")
-    start = F.struct(
-        F.lit(0.0).alias("top"), F.lit(0.0).alias("bottom"), none.alias("tops"), none.alias("bottoms")
-    )
-
-    def place(acc: Column, s: Column) -> Column:
-        up = acc["top"] < acc["bottom"]
-        one = F.array(s["i"])
-        return F.struct(
-            F.when(up, acc["top"] + s["weight"]).otherwise(acc["top"]).alias("top"),
-            F.when(up, acc["bottom"]).otherwise(acc["bottom"] + s["weight"]).alias("bottom"),
-            F.when(up, F.concat(acc["tops"], one)).otherwise(acc["tops"]).alias("tops"),
-            F.when(up, acc["bottoms"]).otherwise(F.concat(one, acc["bottoms"])).alias("bottoms"),
-        )
-
-    placed = peaks.groupBy("chart").agg(records.alias("records"))
-    order = F.aggregate("records", start, place, lambda a: F.concat(a["bottoms"], a["tops"]))
-    return placed.select("chart", F.posexplode(order).alias("pos", "series_idx"))
+    rows = _enabled(series)
+    tallest = rows.groupBy(*SERIES).agg(F.max(y).alias("__y"), F.sum(y).alias("weight"), F.min("series_idx").alias("series_idx"))
+    keyed = tallest.select(F.col("chart").alias("__c"), F.col("key").alias("__k"), "__y", "weight", F.col("series_idx").alias("__i"))
+    same = F.col("chart").eqNullSafe(F.col("__c")) & F.col("key").eqNullSafe(F.col("__k")) & (y == F.col("__y"))
+    peaks = rows.join(keyed, same).groupBy(*SERIES).agg(F.min("x").alias("peak"), F.max("weight").alias("weight"), F.min("__i").cast("bigint").alias("series_idx"))
+    sorted_ = peaks.repartition("chart").sortWithinPartitions("chart", "peak", "series_idx", "key")
+    kind = series.schema
+    shape = T.StructType([
+        T.StructField("chart", kind["chart"].dataType), T.StructField("key", kind["key"].dataType), T.StructField("series_idx", T.LongType()),
+        T.StructField("side", T.IntegerType()), T.StructField("place", T.LongType()),
+    ])
+    placed = sorted_.select("chart", "key", "series_idx", "weight").mapInPandas(_lighter_side, shape)
+    below = placed.groupBy(F.col("chart").alias("__c")).agg(F.sum(1 - F.col("side")).alias("__below"))
+    at = F.when(F.col("side") == 0, F.col("__below") - 1 - F.col("place")).otherwise(F.col("__below") + F.col("place"))
+    whole = placed.join(below, F.col("chart").eqNullSafe(F.col("__c")))
+    return whole.select("chart", "key", F.col("series_idx").cast(kind["series_idx"].dataType).alias("series_idx"), at.cast("int").alias("pos"))
 
 
 def _positions(series: DataFrame, order: str) -> DataFrame:
     rows = _enabled(series).withColumn("y", F.coalesce("y", F.lit(0.0)))
     if order == "default":
         return rows.withColumn("pos", F.col("series_idx"))
-    return rows.join(series_order(series), ["chart", "series_idx"])
+    found = series_order(series).select(F.col("chart").alias("__c"), F.col("key").alias("__k"), "pos")
+    return rows.join(found, F.col("chart").eqNullSafe(F.col("__c")) & F.col("key").eqNullSafe(F.col("__k"))).drop("__c", "__k")
+
 
+AT_X = ["chart", "x"]
 
-def _below(column: Column) -> Column:
-    w = Window.partitionBy("chart", "x").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    return F.coalesce(F.sum(column).over(w), F.lit(0.0))
 
+def _below(rows: DataFrame, column: Column, name: str, hot_rows: int | None, by: str = "pos") -> DataFrame:
+    """Add the sum of the series below each one at its x. A large ``(chart, x)`` is cut into blocks."""
+    scanned = ordered_scan(rows, AT_X, [by], {name: Running("sum", column, "before")}, hot_rows)
+    return scanned.withColumn(name, F.coalesce(F.col(name), F.lit(0.0)))
 
-def _at_x() -> Window:
-    return Window.partitionBy("chart", "x")
+
+def _with_total(rows: DataFrame, total: DataFrame) -> DataFrame:
+    """Add values per ``(chart, x)``, summed before the shuffle."""
+    keyed = total.withColumnsRenamed({"chart": "__c", "x": "__x"})
+    return rows.join(keyed, F.col("chart").eqNullSafe(F.col("__c")) & F.col("x").eqNullSafe(F.col("__x"))).drop("__c", "__x")
 
 
 def stack(series: DataFrame, offset: str = "zero", order: str = "default",
@@ -148,45 +170,42 @@ def stack(series: DataFrame, offset: str = "zero", order: str = "default",
 
     ``offset`` is zero, expand, percent, silhouette or wiggle; ``order`` default or inside-out.
     """
-    rows = _positions(series, order)
-    if offset == "zero":
-        out = rows.withColumns({"dy": F.col("y"), "y0": _below(F.col("y"))})
-    elif offset == "expand":
-        total = F.sum("y").over(_at_x())
-        n = F.count(F.lit(1)).over(_at_x())
-        share = F.when(total != 0, F.col("y") / total).otherwise(F.lit(1.0) / n)
-        rows = rows.withColumn("dy", share)
-        out = rows.withColumn("y0", _below(F.col("dy")))
-    elif offset == "percent":
-        # hidden series count in the total, so it is taken over the same (chart, x) groups
-        # before they are left out
-        total = F.sum(F.coalesce("y", F.lit(0.0))).over(_at_x())
-        shares = series.withColumn("__total", total)
-        shares = shares.withColumn("dy", F.coalesce(safe_divide(F.coalesce("y", F.lit(0.0)), F.col("__total")), F.lit(0.0)))
-        rows = _positions(shares, order)
-        out = rows.withColumn("y0", _below(F.col("dy"))).drop("__total")
-    elif offset == "silhouette":
-        rows = rows.withColumns({"dy": F.col("y"), "y0": _below(F.col("y")), "__total": F.sum("y").over(_at_x())})
-        tallest = rows.groupBy("chart").agg(F.max("__total").alias("__max"))
+    if offset not in ("zero", "expand", "percent", "silhouette", "wiggle"):
+        raise ValueError(f"unknown offset {offset!r}")
+    if offset == "percent":
+        # hidden series count in the total, so it is taken before they are left out
+        sums = series.groupBy(*AT_X).agg(F.sum(F.coalesce("y", F.lit(0.0))).alias("__total"))
+        rows = _with_total(_positions(series, order), sums)
+        rows = rows.withColumn("dy", F.coalesce(safe_divide(F.col("y"), F.col("__total")), F.lit(0.0))).drop("__total")
+    else:
+        rows = _positions(series, order)
+    if offset in ("expand", "silhouette"):
+        sums = rows.groupBy(*AT_X).agg(F.sum("y").alias("__total"), F.count(F.lit(1)).alias("__n"))
+        rows = _with_total(rows, sums)
+    if offset == "expand":
+        share = F.when(F.col("__total") != 0, F.col("y") / F.col("__total")).otherwise(F.lit(1.0) / F.col("__n"))
+        rows = rows.withColumn("dy", share).drop("__total", "__n")
+    elif offset != "percent":
+        rows = rows.withColumn("dy", F.col("y"))
+    out = _below(rows, F.col("dy"), "y0", hot_rows)
+    if offset == "silhouette":
+        tallest = sums.groupBy(F.col("chart").alias("__c")).agg(F.max("__total").alias("__max"))
         shift = (F.col("__max") - F.col("__total")) / 2
-        out = rows.join(tallest, "chart").withColumn("y0", F.col("y0") + shift).drop("__total", "__max")
+        out = out.join(tallest, F.col("chart").eqNullSafe(F.col("__c"))).withColumn("y0", F.col("y0") + shift).drop("__total", "__max", "__n", "__c")
     elif offset == "wiggle":
         base = wiggle_baseline(rows, hot_rows)
-        rows = rows.withColumns({"dy": F.col("y"), "y0": _below(F.col("y"))})
-        out = rows.join(base, ["chart", "x"]).withColumn("y0", F.col("y0") + F.col("base")).drop("base")
-    else:
-        raise ValueError(f"unknown offset {offset!r}")
+        out = out.join(base, AT_X).withColumn("y0", F.col("y0") + F.col("base")).drop("base")
     return out.drop("pos") if order == "default" else out
 
 
 def wiggle_baseline(rows: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Baseline per x that keeps the weighted change of slopes least (Byron and Wattenberg)."""
     point = F.struct("x", "y")
-    prev = ordered_scan(rows, ["chart", "series_idx"], ["x"], {"__prev": Running("max", point, "before")}, hot_rows)
+    prev = ordered_scan(rows.drop("dy"), ["chart", "key"], ["x"], {"__prev": Running("max", point, "before")}, hot_rows)
     dx = F.col("x") - F.col("__prev.x")
     slope = F.coalesce((F.col("y") - F.col("__prev.y")) / dx, F.lit(0.0))
     moved = prev.withColumns({"__dx": dx, "__slope": slope})
-    moved = moved.withColumn("__mid", _below(F.col("__slope")) + F.col("__slope") / 2)
+    moved = _below(moved, F.col("__slope"), "__sum", hot_rows).withColumn("__mid", F.col("__sum") + F.col("__slope") / 2)
     per_x = moved.groupBy("chart", "x").agg(
         F.sum("y").alias("s1"), F.sum(F.col("__mid") * F.col("y")).alias("s2"), F.max("__dx").alias("dx")
     )
@@ -198,22 +217,21 @@ def wiggle_baseline(rows: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFra
     return walked.join(lowest, "chart").select("chart", "x", (F.col("o") - F.col("l")).alias("base"))
 
 
-def signed_stack(series: DataFrame, non_stackable: list[str] = ()) -> DataFrame:
+def signed_stack(series: DataFrame, non_stackable: list[str] = (), hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Bars stacked upwards from 0 for values >= 0 and downwards for negative ones.
 
     Series in ``non_stackable`` stand on 0 by themselves.
     """
     free = F.col("key").isin(list(non_stackable)) if non_stackable else F.lit(False)
-    w = Window.partitionBy("chart", "x").orderBy("series_idx").rowsBetween(Window.unboundedPreceding, -1)
     y = F.coalesce("y", F.lit(0.0))
-    up = F.coalesce(F.sum(F.when(~free & (y >= 0), y)).over(w), F.lit(0.0))
-    down = F.coalesce(F.sum(F.when(~free & (y < 0), y)).over(w), F.lit(0.0))
-    base = F.when(free, F.lit(0.0)).when(y < 0, down).otherwise(up)
-    rows = series.withColumn("__base", base)
+    sums = {"__up": Running("sum", F.when(~free & (y >= 0), y), "before"), "__down": Running("sum", F.when(~free & (y < 0), y), "before")}
+    rows = ordered_scan(series, AT_X, ["series_idx"], sums, hot_rows)
+    base = F.when(free, F.lit(0.0)).when(y < 0, F.coalesce("__down", F.lit(0.0))).otherwise(F.coalesce("__up", F.lit(0.0)))
+    rows = rows.withColumn("__base", base)
     return rows.withColumns({
         "bar_lo": F.least(F.col("__base"), F.col("__base") + y),
         "bar_hi": F.greatest(F.col("__base"), F.col("__base") + y),
-    }).drop("__base")
+    }).drop("__base", "__up", "__down")
 
 
 def rebase(indexed: DataFrame, i: int, guard: bool = True) -> DataFrame:
@@ -243,13 +261,21 @@ def rebase_extent(series: DataFrame) -> DataFrame:
 
 
 def spark_points(indexed: DataFrame) -> DataFrame:
-    """First minimum, last maximum and last point of each series, by aggregation only."""
-    at = F.when(F.col("y").isNotNull(), F.struct("y", "idx"))
-    return indexed.groupBy(*SERIES).agg(
-        F.min_by("x", at).alias("min_x"), F.min("y").alias("min_y"),
-        F.max_by("x", at).alias("max_x"), F.max("y").alias("max_y"),
-        F.max_by("x", "idx").alias("last_x"), F.max_by("y", "idx").alias("last_y"),
+    """First minimum, last maximum and last point of each series.
+
+    The values come first, by sums of fixed width; the few points that have them then settle the positions.
+    """
+    ends = indexed.groupBy(*SERIES).agg(F.min("y").alias("min_y"), F.max("y").alias("max_y"), F.max("idx").alias("__last"))
+    keyed = ends.withColumnsRenamed({"chart": "__c", "key": "__k"})
+    y, idx = F.col("y"), F.col("idx")
+    at = (y == F.col("min_y")) | (y == F.col("max_y")) | (idx == F.col("__last"))
+    met = indexed.join(keyed, F.col("chart").eqNullSafe(F.col("__c")) & F.col("key").eqNullSafe(F.col("__k")) & at)
+    # a point of a series is known by its index, so the last two values are the same for all rows that count
+    found = met.groupBy(*SERIES, "min_y", "max_y").agg(
+        F.min_by("x", F.when(y == F.col("min_y"), idx)).alias("min_x"), F.max_by("x", F.when(y == F.col("max_y"), idx)).alias("max_x"),
+        F.max(F.when(idx == F.col("__last"), F.col("x"))).alias("last_x"), F.max(F.when(idx == F.col("__last"), y)).alias("last_y"),
     )
+    return found.select(*SERIES, "min_x", "min_y", "max_x", "max_y", "last_x", "last_y")
 
 
 def area_total(series: DataFrame) -> DataFrame:

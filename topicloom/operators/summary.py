@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from .scan import HOT_ROWS, Running, ordered_scan
 
 QUARTILES = (("q1", 0.25), ("q2", 0.5), ("q3", 0.75))
@@ -20,11 +23,14 @@ def quartiles(df: DataFrame, group: list[str], value: str, hot_rows: int | None
     """Exact quartiles with linear interpolation, from the ranks of the distinct values.
 
     The rank scan splits a hot group, so no task holds all values of a group, as the built-in
-    exact percentile would.
+    exact percentile would. :mod:`.sketches` has the approximate form.
     """
-    counted = _counted(df, group, value)
+    return _quartiles(materialise(_counted(df, group, value), "counted"), group, hot_rows)
+
+
+def _quartiles(counted: DataFrame, group: list[str], hot_rows: int | None) -> DataFrame:
     ranked = ordered_scan(counted, group, ["v"], {"upto": Running("sum", F.col("copies"))}, hot_rows)
-    sizes = df.where(F.col(value).isNotNull()).groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
+    sizes = counted.groupBy(*group).agg(F.sum("copies").alias("n"))
     rows = ranked.join(sizes, group)
 
     def at(rank: Column) -> Column:
@@ -44,9 +50,10 @@ def quartiles(df: DataFrame, group: list[str], value: str, hot_rows: int | None
 
 
 def _fenced(df: DataFrame, group: list[str], value: str, hot_rows: int | None) -> DataFrame:
-    box = quartiles(df, group, value, hot_rows)
+    counted = materialise(_counted(df, group, value), "counted")
+    box = _quartiles(counted, group, hot_rows)
     reach = (F.col("q3") - F.col("q1")) * 1.5
-    rows = _counted(df, group, value).join(box, group)
+    rows = counted.join(box, group)
     return rows.withColumn("inside", F.col("v").between(F.col("q1") - reach, F.col("q3") + reach))
 
 
@@ -84,13 +91,38 @@ def box_extent_nested(boxes: DataFrame, part: list[str], outliers: str = "outlie
     return boxes.select(*part, F.explode(parts).alias("v")).groupBy(*part).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
 
 
+def first_last(df: DataFrame, group: list[str], order: list[str], value: str) -> DataFrame:
+    """``(group.., first, last)``: the value of the first and of the last row of each group along ``order``.
+
+    The ends of the first order column are found by an aggregation of fixed width. The rows at these
+    ends, mostly one or two, settle the next column, and so on. An order column is not null; rows
+    equal in all of them are alike.
+    """
+    rows = df.select(*group, *[F.col(o).alias(f"__o{i}") for i, o in enumerate(order)], F.col(value).alias("__v"))
+    rows = rows.withColumns({"__first": F.lit(True), "__last": F.lit(True)})
+    for i in range(len(order)):
+        o = F.col(f"__o{i}")
+        ends = rows.groupBy(*[F.col(g).alias(f"__g{j}") for j, g in enumerate(group)]).agg(
+            F.min(F.when(F.col("__first"), o)).alias("__lo"), F.max(F.when(F.col("__last"), o)).alias("__hi")
+        )
+        same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"__g{j}")) for j, g in enumerate(group)])
+        first, last = F.col("__first") & (o == F.col("__lo")), F.col("__last") & (o == F.col("__hi"))
+        met = rows.join(ends, same).withColumns({"__first": first, "__last": last}).where(F.col("__first") | F.col("__last"))
+        rows = met.drop("__lo", "__hi", f"__o{i}", *[f"__g{j}" for j in range(len(group))])
+    return rows.groupBy(*group).agg(
+        F.max(F.when(F.col("__first"), F.col("__v"))).alias("first"), F.max(F.when(F.col("__last"), F.col("__v"))).alias("last")
+    )
+
+
 def ohlc(df: DataFrame, part: list[str], bucket: Column, order: list[str], value: str) -> DataFrame:
     """Open, high, low and close per bucket; ``order`` must be unique within a bucket."""
-    at = F.struct(*order)
-    return df.groupBy(*part, bucket.alias("bucket")).agg(
-        F.min_by(value, at).alias("open"), F.max(value).alias("high"),
-        F.min(value).alias("low"), F.max_by(value, at).alias("close"),
-    )
+    rows = df.select(*part, bucket.alias("bucket"), *dict.fromkeys([*order, value]))
+    group = [*part, "bucket"]
+    range_ = rows.groupBy(*group).agg(F.max(value).alias("high"), F.min(value).alias("low"))
+    ends = first_last(rows, group, order, value)
+    ends = ends.select(*[F.col(g).alias(f"__g{j}") for j, g in enumerate(group)], F.col("first").alias("open"), F.col("last").alias("close"))
+    same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"__g{j}")) for j, g in enumerate(group)])
+    return range_.join(ends, same).select(*group, "open", "high", "low", "close")
 
 
 def ohlc_extent(bars: DataFrame, part: list[str]) -> DataFrame:

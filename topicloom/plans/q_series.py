@@ -178,7 +178,7 @@ def _recursive(text: str) -> str:
 
 @query("w10_series_order", _recursive(with_("ev", _ORDER + "SELECT 'events' AS chart, pos, series_idx FROM ord")))
 def w_order(spark, sf):
-    return S.series_order(c.event_series(spark, sf))
+    return S.series_order(ev(spark, sf)).select("chart", "pos", "series_idx")
 
 
 @query("w10_stream_stack", _recursive(with_("ev", _ORDER + """

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import error_interval, fmt_date, fmt_number, nan_to_zero, slice_label, value_or_na
-from ..operators import filters, shares, summary
+from ..operators import filters, shares, sketches, summary
 from ..operators import series as S
-from ..session import fresh_path
+from ..session import fresh_path, materialise
 from ..streaming import STORE, latest_bins, run_available, stream_tail, stream_topic_weights
 from . import corpus as c
 from .corpus import with_
@@ -51,6 +51,36 @@ def a_box_extent(spark, sf):
     return summary.box_extent(boxes, outliers, ["chart"])
 
 
+@query("a11_sketched_quartiles", f"""
+    SELECT event_type, p AS probability, count(*) AS n, TRUE AS within FROM events, (VALUES (0.25::DOUBLE), (0.5::DOUBLE), (0.75::DOUBLE)) v(p)
+    WHERE epoch_us(ts) // 86400000000 BETWEEN {c.DAY0 + 3} AND {c.DAY0 + 20} GROUP BY ALL""")
+def a_sketched(spark, sf):
+    """Quartiles from merged daily sketches; ``within`` tells if the exact rank of each is as near as stated."""
+    days = materialise(sketches.quantile_sketches(table(spark, sf, "events"), ["event_type"], c.day("ts"), "value"), "day-sketches")
+    lo, hi = c.DAY0 + 3, c.DAY0 + 20
+    found = sketches.sketched_quantiles(days, ["event_type"], [0.25, 0.5, 0.75], lo, hi)
+    rows = table(spark, sf, "events").where(c.day("ts").between(lo, hi)).select(F.col("event_type").alias("kind"), F.col("value").alias("v"))
+    met = found.join(rows, F.col("event_type") == F.col("kind")).groupBy("event_type", "probability", "n", "value")
+    ranks = met.agg(F.sum((F.col("v") < F.col("value")).cast("int")).alias("less"), F.sum((F.col("v") <= F.col("value")).cast("int")).alias("upto"))
+    off = sketches.RANK_ERROR * F.col("n") + 1
+    near = (F.col("less") <= F.col("probability") * F.col("n") + off) & (F.col("upto") >= F.col("probability") * F.col("n") - off)
+    return ranks.select("event_type", "probability", "n", near.alias("within"))
+
+
+@query("a05_sketched_distinct", f"""
+    SELECT event_type, count(DISTINCT user_id) AS exact, TRUE AS within FROM events
+    WHERE epoch_us(ts) // 86400000000 BETWEEN {c.DAY0 + 3} AND {c.DAY0 + 20} GROUP BY event_type""")
+def a_sketched_distinct(spark, sf):
+    """Distinct users from united daily sketches, beside the exact number."""
+    lo, hi = c.DAY0 + 3, c.DAY0 + 20
+    events = table(spark, sf, "events")
+    days = materialise(sketches.distinct_sketches(events, ["event_type"], c.day("ts"), "user_id"), "day-sketches")
+    found = sketches.sketched_distinct(days, ["event_type"], lo, hi)
+    exact = events.where(c.day("ts").between(lo, hi)).groupBy("event_type").agg(F.count_distinct("user_id").alias("exact"))
+    near = F.abs(F.col("distinct_count") - F.col("exact")) <= F.lit(sketches.COUNT_ERROR) * F.col("exact") + 1
+    return found.join(exact, "event_type").select("event_type", "exact", near.alias("within"))
+
+
 @query("a12_ohlc", """
     SELECT event_type, epoch_us(ts) // 86400000000 AS bucket, arg_min(value, struct_pack(t := ts, i := event_id)) AS open, max(value) AS high, min(value) AS low,
            arg_max(value, struct_pack(t := ts, i := event_id)) AS close FROM events GROUP BY ALL""")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import ancestors, label, link_width
-from ..operators import graph, joins, output, shares, tree
+from ..operators import ancestry, graph, joins, output, shares, tree
 from ..operators.scan import row_number
 from ..session import fresh_path, materialise
 from ..sources import readers
@@ -155,6 +156,27 @@ def k_fragments(spark, sf):
     return f.withColumn("fragment", F.regexp_replace("fragment", r'"size":[0-9.E-]+', '"size":#'))
 
 
+@query("s07_tree_any_depth", """
+    SELECT array_to_string(path, '/') AS path, array_to_string(ord, '/') AS ord, size FROM (
+        SELECT [lang, source, CAST(doc_id AS VARCHAR)] AS path, [dense_rank() OVER (ORDER BY lang) - 1, dense_rank() OVER (PARTITION BY lang ORDER BY source, odd) - 1,
+                row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) - 1] AS ord, CAST(n_chars AS DOUBLE) AS size
+        FROM (SELECT *, 0 AS odd FROM documents))""")
+def s_any_depth(spark, sf):
+    path = fresh_path(spark, "tree")
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
+    numbered = row_number(materialise(docs, "docs"), ["lang", "source"], ["doc_id"], "at", start=0)
+    first = F.dense_rank().over(Window.orderBy("lang")) - 1  # one row per language and source
+    second = F.dense_rank().over(Window.partitionBy("lang").orderBy("source")) - 1
+    groups = docs.select("lang", "source").distinct().withColumns({"a": first, "b": second})
+    leaves = numbered.join(groups, ["lang", "source"]).select(
+        F.array("lang", "source", F.col("doc_id").cast("string")).alias("path"),
+        F.array(F.col("a").cast("bigint"), F.col("b").cast("bigint"), "at").alias("ord"), F.col("n_chars").cast("double").alias("size"),
+    )
+    output.nested_documents(leaves).orderBy("ord").select("document").write.text(path)
+    read = readers.read_tree(spark, path)
+    return read.select(F.array_join("path", "/").alias("path"), F.array_join(F.col("ord").cast("array<string>"), "/").alias("ord"), "size")
+
+
 @query("s07_tree_json", _NESTED)
 def s_tree(spark, sf):
     path = fresh_path(spark, "tree")
@@ -260,6 +282,37 @@ def f_ancestors(spark, sf):
     )
 
 
+_CHAIN = """
+    WITH RECURSIVE l AS (SELECT doc_id AS node, CASE WHEN doc_id % 13 > 0 THEN doc_id - 1 - n_chars % 97 END AS parent FROM documents),
+    n AS (SELECT node, parent FROM l UNION SELECT parent, NULL FROM l WHERE parent IS NOT NULL AND parent NOT IN (SELECT node FROM l)),
+    a AS (SELECT node, parent AS ancestor, CAST(1 AS BIGINT) AS distance FROM n WHERE parent IS NOT NULL
+          UNION ALL SELECT a.node, n.parent, distance + 1 FROM a JOIN n ON a.ancestor = n.node WHERE n.parent IS NOT NULL)
+    SELECT node, ancestor, distance FROM a"""
+
+
+def _links(spark, sf):
+    """Every document answers an earlier one, or begins a thread."""
+    parent = F.when(F.col("doc_id") % 13 > 0, F.col("doc_id") - 1 - F.col("n_chars") % 97)
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("node"), parent.alias("parent"))
+
+
+@query("f16_ancestor_pairs", _CHAIN)
+def f_ancestor_pairs(spark, sf):
+    return ancestry.ancestor_pairs(_links(spark, sf))
+
+
+@query("f16_cyclic_nodes", """
+    WITH RECURSIVE l AS (SELECT event_id AS node, (event_id * 7 + CAST(user_id AS BIGINT)) % (SELECT count(*) + count(*) // 5 FROM events) AS parent FROM events),
+    reached AS (SELECT DISTINCT parent AS node FROM l WHERE parent NOT IN (SELECT node FROM l)
+                UNION SELECT l.node FROM reached r JOIN l ON l.parent = r.node)
+    SELECT node FROM l WHERE node NOT IN (SELECT node FROM reached)""")
+def f_cyclic(spark, sf):
+    events = table(spark, sf, "events")
+    n = events.agg(F.count(F.lit(1)).alias("n")).select((F.col("n") + F.call_function("div", F.col("n"), F.lit(5).cast("bigint"))).alias("n")).scalar()
+    links = events.select(F.col("event_id").alias("node"), ((F.col("event_id") * 7 + F.col("user_id")) % n).alias("parent"))
+    return ancestry.cyclic_nodes(links)
+
+
 # ---------------------------------------------------------------- topic graph
 _THRESHOLD = with_("sim", """
     , lo AS (SELECT i, j, sim FROM sim WHERE i > j)
@@ -298,6 +351,20 @@ def a_fields(spark, sf):
     return graph.field_set(e.unionByName(t), "fields")
 
 
+@query("a17_field_types", """
+    WITH p AS (SELECT json_object('id', event_id, 'kind', event_type, event_type, CASE WHEN event_id % 2 = 0 THEN to_json(value) ELSE to_json('n/a') END) AS node FROM events
+               UNION ALL SELECT json_object('turn', turn, 'role', role) FROM conversations),
+    k AS (SELECT DISTINCT unnest(json_keys(node)) AS field FROM p)
+    SELECT field, CASE WHEN field IN ('id', 'turn') THEN 'BIGINT' WHEN field IN ('kind', 'role') THEN 'STRING' ELSE 'VARIANT' END AS type FROM k""")
+def a_field_types(spark, sf):
+    e = table(spark, sf, "events")
+    odd = F.when(F.col("event_id") % 2 == 0, F.to_json(F.create_map("event_type", "value"))).otherwise(F.to_json(F.create_map("event_type", F.lit("n/a"))))
+    head = F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("kind")))
+    both = F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(","), F.substring(odd, F.lit(2), F.length(odd)))
+    t = table(spark, sf, "conversations").select(F.to_json(F.struct("turn", "role")).alias("node"))
+    return graph.field_types(e.select(both.alias("node")).unionByName(t), "node")
+
+
 @query("f17_link_width", """
     SELECT o_custkey AS source, o_orderstatus AS target, round(sqrt(count(*)), 9) + 0.0 AS width FROM orders GROUP BY ALL""")
 def f_width(spark, sf):

@@ -15,17 +15,3 @@ VOCAB = T.StructType([
     T.StructField("word", T.StringType()),
     T.StructField("count", T.LongType()),
 ])
-
-_WORD = T.StructType([T.StructField("name", T.StringType()), T.StructField("size", T.DoubleType())])
-_TOPIC = T.StructType([
-    T.StructField("name", T.StringType()),
-    T.StructField("children", T.ArrayType(_WORD)),
-])
-CLUSTER = T.StructType([
-    T.StructField("name", T.StringType()),
-    T.StructField("children", T.ArrayType(_TOPIC)),
-])
-TREE = T.StructType([
-    T.StructField("name", T.StringType()),
-    T.StructField("children", T.ArrayType(CLUSTER)),
-])

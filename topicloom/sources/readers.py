@@ -1,14 +1,21 @@
-"""Readers of the corpus inputs. All are lazy and use explicit schemas."""
+"""Readers of the corpus inputs, with explicit schemas.
+
+All are lazy but those that number lines by their place in the files (:func:`file_lines`), which store
+the lines, and :func:`read_tree`, which stores the nodes of each level.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
 from ..functions import split_line
-from ..operators.scan import row_number
+from ..operators.joins import measured
+from ..session import materialise
 
 
 def read_meta(spark: SparkSession, path: str, fmt: str = "avro", schema: T.StructType = schemas.META) -> DataFrame:
@@ -51,13 +58,30 @@ def read_vocab(spark: SparkSession, path: str) -> DataFrame:
     ).where(F.col("word_id").isNotNull())
 
 
+def file_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(value, line)``: lines that are not blank, numbered from 0 in the order of file names, then of places in a file.
+
+    A line's number is its place in its part of a file plus the lines in the parts before. Lines are
+    stored with their place and never shuffled; only the counts of parts are sorted.
+    """
+    placed = materialise(spark.read.text(path).where(F.length(F.trim("value")) > 0).select(
+        "value", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start"),
+        F.monotonically_increasing_id().alias("__at"),
+    ), "lines")
+    parts = placed.groupBy(F.col("__file").alias("__f"), F.col("__start").alias("__s")).agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
+    order = Window.orderBy("__f", "__s").rowsBetween(Window.unboundedPreceding, -1)  # one row per part of a file
+    starts = materialise(parts.select("__f", "__s", "__first", F.coalesce(F.sum("__n").over(order), F.lit(0)).alias("__before")), "parts")
+    met = placed.join(measured(starts, 100_000), (F.col("__file") == F.col("__f")) & (F.col("__start") == F.col("__s")))
+    return met.select("value", (F.col("__at") - F.col("__first") + F.col("__before")).alias("line"))
+
+
 def read_matrix(spark: SparkSession, path: str, sep: str = ",", row_id: bool = False) -> DataFrame:
     """Dense matrix text as ``(row, col, value)``.
 
     With ``row_id`` the first field of a line is its row number. Without it rows are numbered by
     their place in the files: file name, start of the split, order inside the split.
     """
-    lines = spark.read.text(path)
+    lines = spark.read.text(path) if row_id else file_lines(spark, path)
     fields = F.split(F.trim("value"), sep)
     if row_id:
         parsed = lines.select(
@@ -65,14 +89,7 @@ def read_matrix(spark: SparkSession, path: str, sep: str = ",", row_id: bool = F
             F.slice(fields, F.lit(2), F.greatest(F.size(fields) - 1, F.lit(0))).alias("f"),
         )
     else:
-        placed = lines.where(F.length(F.trim("value")) > 0).select(
-            fields.alias("f"),
-            F.col("_metadata.file_path").alias("__file"),
-            F.col("_metadata.file_block_start").alias("__start"),
-            F.monotonically_increasing_id().alias("__line"),
-        )
-        order = ["__file", "__start", "__line"]
-        parsed = row_number(placed, [], order, "row", start=0).select("row", "f")
+        parsed = lines.select(F.col("line").alias("row"), fields.alias("f"))
     cells = parsed.select("row", F.posexplode("f").alias("col", "text"))
     return cells.select("row", "col", F.col("text").try_cast("double").alias("value"))
 
@@ -90,30 +107,31 @@ def read_matrix_json(spark: SparkSession, path: str, whole: bool = False) -> Dat
     return rows.select(number.alias("i"), F.posexplode("cells").alias("j", "sim"))
 
 
-def read_tree(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
-    """Nested ``{name, children}`` document as leaves ``(path, ord, name, size)``.
+def read_tree(spark: SparkSession, path: str, whole: bool = False, children: str = "children", name: str = "name", size: str = "size") -> DataFrame:
+    """Nested ``{name, children}`` documents of any depth as leaves ``(path, ord, name, size)``.
+
+    By default each line is one subtree below the root. ``whole`` reads a single document, also one that
+    is wrapped in ``data``; its root is left out. ``path`` holds the names on the way down, the leaf's
+    included, ``ord`` the positions. A node without children is a leaf, at any level; its size may be
+    missing. A line that is not valid gives no leaf.
 
-    By default each line is one cluster subtree. ``whole`` reads a single document, also one that
-    is wrapped in ``data``. ``path`` holds the names from the cluster down, ``ord`` the positions.
+    Nodes are unfolded level by level until none has children, one round for each level.
     """
-    raw = spark.read.text(path, wholetext=whole)
     if whole:
-        wrapped = T.StructType([T.StructField("data", schemas.TREE)] + list(schemas.TREE.fields))
-        tree = raw.select(F.from_json("value", wrapped).alias("t"))
-        clusters = tree.select(F.posexplode(F.coalesce("t.data.children", "t.children")).alias("c_ord", "c"))
+        tree = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("t"))
+        root = F.coalesce(F.try_variant_get("t", "$.data", "variant"), F.col("t"))
+        top = tree.select(F.posexplode(F.try_variant_get(root, f"$.{children}", "array<variant>")).alias("__i", "node"))
     else:
-        start = F.col("_metadata.file_block_start")
-        c_ord = F.struct(F.col("_metadata.file_path").alias("f"), start.alias("s"), F.monotonically_increasing_id().alias("l"))
-        parsed = raw.select(c_ord.alias("__at"), F.from_json("value", schemas.CLUSTER).alias("c"))
-        flat = parsed.select(F.col("__at.s").alias("__s"), F.col("__at.l").alias("__l"), F.col("__at.f").alias("__f"), "c")
-        clusters = row_number(flat, [], ["__f", "__s", "__l"], "c_ord", start=0).select("c_ord", "c")
-    topics = clusters.select("c_ord", F.col("c.name").alias("cluster"), F.posexplode("c.children").alias("t_ord", "t"))
-    words = topics.select(
-        "c_ord", "cluster", "t_ord", F.col("t.name").alias("topic"), F.posexplode("t.children").alias("w_ord", "w")
-    )
-    return words.select(
-        F.array("cluster", "topic", "w.name").alias("path"),
-        F.array(F.col("c_ord").cast("bigint"), F.col("t_ord").cast("bigint"), F.col("w_ord").cast("bigint")).alias("ord"),
-        F.col("w.name").alias("name"),
-        F.col("w.size").alias("size"),
-    )
+        top = file_lines(spark, path).select(F.col("line").alias("__i"), F.try_parse_json("value").alias("node")).where(F.col("node").isNotNull())
+    called = F.try_variant_get("node", f"$.{name}", "string")
+    level = materialise(top.select(F.array(called).alias("path"), F.array(F.col("__i").cast("bigint")).alias("ord"), "node"), "nodes")
+    leaves = []
+    while True:
+        below = F.try_variant_get("node", f"$.{children}", "array<variant>")
+        found = F.when(F.size(below) > 0, below)
+        leaves.append(level.where(found.isNull()).select("path", "ord", called.alias("name"), F.try_variant_get("node", f"$.{size}", "double").alias("size")))
+        each = level.where(found.isNotNull()).select("path", "ord", F.posexplode(found).alias("__i", "node"))
+        level = each.select(F.concat("path", F.array(called)).alias("path"), F.concat("ord", F.array(F.col("__i").cast("bigint"))).alias("ord"), "node")
+        level = materialise(level, "nodes")
+        if level.isEmpty():
+            return reduce(DataFrame.unionByName, leaves)
