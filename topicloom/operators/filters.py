@@ -95,12 +95,13 @@ def extents_nd(df: DataFrame, dims: list[str]) -> DataFrame:
 def brush_nd(df: DataFrame, ranges: dict[str, tuple[float, float]]) -> DataFrame:
     """Rows inside every closed range. A missing or non-numeric value passes only where the range
     starts at the minimum of its axis."""
+    # one row with the start of every axis, so the table is read once for all of them
     axes = extents_nd(df, list(ranges))
+    floors = axes.agg(F.map_from_entries(F.collect_list(F.struct("dim", "lo")))).scalar()
 
     def passes(dim: str, lo: float, hi: float) -> Column:
         v = to_number(F.col(dim))
-        floor = axes.where(F.col("dim") == dim).select("lo").scalar()
-        return F.when(v.isNull(), F.lit(float(lo)) == floor).otherwise(v.between(float(lo), float(hi)))
+        return F.when(v.isNull(), F.lit(float(lo)) == F.element_at(floors, dim)).otherwise(v.between(float(lo), float(hi)))
 
     return df.where(reduce(lambda a, b: a & b, [passes(d, lo, hi) for d, (lo, hi) in ranges.items()]))
 

@@ -72,3 +72,15 @@ def slice_share(df: DataFrame, part: list[str], value: str, disabled: str) -> Da
     """Share of each slice with hidden slices counted as 0."""
     shown = df.withColumn("__shown", F.when(F.col(disabled), F.lit(0.0)).otherwise(F.col(value)))
     return share(shown, part, "__shown").drop("__shown")
+
+
+def slice_bounds(df: DataFrame, part: list[str], order: list[str], value: str, disabled: str,
+                 hot_rows: int | None = HOT_ROWS) -> DataFrame:
+    """Where each slice starts and ends, as shares of the whole (``start``, ``end``), in the given order.
+
+    A hidden slice has no width. A group that sums to 0 has null bounds.
+    """
+    shown = slice_share(df, part, value, disabled)
+    scanned = ordered_scan(shown, part, order, {"start": Running("sum", F.col("share"), "before")}, hot_rows)
+    start = F.when(F.col("share").isNotNull(), F.coalesce("start", F.lit(0.0)))
+    return scanned.withColumn("start", start).withColumn("end", F.col("start") + F.col("share"))

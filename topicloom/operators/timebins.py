@@ -73,12 +73,13 @@ def out_of_range(df: DataFrame, ts: str, lo: int, hi: int) -> DataFrame:
     )
 
 
-def cut_sum(df: DataFrame, x: Column, values: list[tuple[str, Column]], n: int) -> DataFrame:
+def cut_sum(df: DataFrame, x: Column, values: list[tuple[str, Column]], n: int, times: DataFrame | None = None) -> DataFrame:
     """Sums per right-closed equal-width bin over the whole range of ``x``; every bin is kept.
 
-    The range is a scalar subquery, so the engine runs it once and inlines two numbers.
+    The range is a scalar subquery, so the engine runs it once and inlines two numbers. ``times``, rows
+    with the same times as ``df`` but without its weights, saves computing ``df`` for the range.
     """
-    extent = df.select(x.cast("double").alias("x")).agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    extent = (df if times is None else times).select(x.cast("double").alias("x")).agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
     ends = extent.select(F.struct("lo", "hi")).scalar()
     rows = df.select(x.cast("double").alias("x"), *[c.alias(name) for name, c in values])
     rows = rows.withColumn("bin", bin_right_closed(F.col("x"), ends["lo"], ends["hi"], n))

@@ -197,6 +197,15 @@ def f_slice(spark, sf):
     return s.select("key", rnd("share", 9).alias("share"), slice_label("key", *args).alias("label"), slice_label("percent", *args).alias("percent"))
 
 
+@query("f11_slice_bounds", _SLICE + """
+    SELECT key, round(coalesce(sum(share) OVER (ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 9) + 0.0 AS start,
+           round(sum(share) OVER (ORDER BY key ROWS UNBOUNDED PRECEDING), 9) + 0.0 AS "end" FROM t""")
+def f_bounds(spark, sf):
+    slices = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("key")).agg(F.round(F.sum("o_totalprice"), 2).alias("v"))
+    slices = materialise(slices.withColumns({"chart": F.lit("pie"), "off": F.col("key") == "5-LOW"}), "slices")
+    return rounded(shares.slice_bounds(slices, ["chart"], ["key"], "v", "off").select("key", "start", "end"), ["start", "end"], 9)
+
+
 @query("f12_nan_to_zero", """
     SELECT event_id, CASE event_id % 5 WHEN 0 THEN 0.0 WHEN 1 THEN 0.0 WHEN 2 THEN 0.0 WHEN 3 THEN 0.0 ELSE value END AS v FROM events""")
 def f_nan(spark, sf):

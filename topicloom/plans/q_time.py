@@ -54,6 +54,37 @@ def topic_series_filled(spark, sf):
     return rounded(output.unpivot(series(spark, sf, fill_empty=True), "bin", KEYS), ["y"], 9)
 
 
+def _loaded(spark, sf):
+    """Tuples and ISO dates written as text and read again, joined by id."""
+    weights, dates = fresh_path(spark, "tuples"), fresh_path(spark, "dates")
+    line = F.concat(F.lit("("), F.col("doc_id"), F.lit(",("), F.array_join(F.col("weights").cast("array<string>"), ","), F.lit("))"))
+    c.doc_topic(spark, sf).select(line.alias("value")).write.text(weights)
+    messages = c.times(spark, sf).select(
+        c.thread(spark, sf, F.col("doc_id")).alias("id"),
+        F.when(F.col("doc_id") % 50 == 0, F.lit("no date")).otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("date"),
+        F.lit("a").alias("from"), F.array(F.lit("b")).alias("to"), F.lit("c").alias("subject"),
+    )
+    messages.write.parquet(dates)
+    meta = readers.read_meta(spark, dates, fmt="parquet").select(F.col("id").alias("doc_id"), "date")
+    return joins.with_metadata(readers.read_tuples(spark, weights, TOPICS), meta)
+
+
+_DATED = "doc_topic dtt borders binned"
+
+
+@query("a01_from_text_files", with_(_DATED, f"""
+    SELECT bin, 'topic_' || i AS key, round(sum(weights[i + 1]), 9) + 0.0 AS y
+    FROM binned, range({TOPICS}) r(i) WHERE doc_id % 50 <> 0 GROUP BY bin, i"""))
+def series_from_text(spark, sf):
+    found = timebins.topic_series(_loaded(spark, sf), "date", "weights", TOPICS, LO, HI, BINS)
+    return rounded(output.unpivot(found, "bin", KEYS), ["y"], 9)
+
+
+@query("a02_from_text_files", with_(_DATED, "SELECT bin, count(*) AS count FROM binned WHERE doc_id % 50 <> 0 GROUP BY bin"))
+def counts_from_text(spark, sf):
+    return timebins.doc_counts(_loaded(spark, sf), "date", LO, HI, BINS)
+
+
 @query("a04_time_extent", with_("meta", "SELECT min(t) AS min_ts, max(t) AS max_ts FROM meta"))
 def time_extent(spark, sf):
     return timebins.time_extent(c.meta(spark, sf), "ts")
@@ -81,7 +112,9 @@ _CUT = with_("doc_topic dtt", """
 def cut_sum(spark, sf):
     d = c.doc_topic_time(spark, sf)
     values = [(name, F.get("weights", F.lit(i))) for i, name in enumerate(KEYS)]
-    out = timebins.cut_sum(d, epoch_millis(F.col("ts")), values, 80)
+    at = c.times(spark, sf).withColumn("thread", c.thread(spark, sf, F.col("doc_id")))
+    at = at.join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("thread")), "thread", "left_semi")
+    out = timebins.cut_sum(d, epoch_millis(F.col("ts")), values, 80, at)
     long = out.unpivot(["bin", "bin_lo"], KEYS, "key", "y")
     return rounded(rounded(long, ["y"], 9), ["bin_lo"], 2)
 

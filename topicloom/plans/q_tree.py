@@ -39,11 +39,13 @@ def doc_leaves(spark, sf):
     """Tree of all documents: language, source, document, sized by length."""
     docs = table(spark, sf, "documents")
     topic = F.substring("source", F.lit(4), F.length("source")).cast("bigint")
-    code = F.ascii("lang") * 256 + F.ascii(F.substring("lang", 2, 1))
+    langs = docs.select(F.col("lang").alias("code")).distinct()  # one row per language
+    ranks = langs.withColumn("at", F.row_number().over(Window.orderBy(F.col("code").asc_nulls_first())))
+    docs = docs.join(ranks, F.col("lang").eqNullSafe(F.col("code")))
     return docs.select(
         F.lit("docs").alias("tree"),
         F.array("lang", "source", F.col("doc_id").cast("string")).alias("path"),
-        F.array(code.cast("bigint"), topic, F.col("doc_id")).alias("ord"),
+        F.array(F.col("at").cast("bigint"), topic, F.col("doc_id")).alias("ord"),
         F.col("n_chars").cast("double").alias("size"),
     )
 
