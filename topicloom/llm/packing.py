@@ -86,14 +86,16 @@ class WordIds:
         if len(known) > REMEMBERED:
             known.clear()
         parts = {}
-        for w in set().union(*split) - known.keys():
+        for w in set().union(*split):
+            if w in known:
+                continue
             stem, mark = w, None
             if b"<|" not in w:  # special tokens are matched with their case
                 stem = w.lower()
                 if stem[-1:] in self.marks and stem[-2:-1].isalpha():
                     stem, mark = stem[:-1], stem[-1:]
             parts[w] = stem, mark
-        self._learn(list({stem for stem, _ in parts.values()} - known.keys()))
+        self._learn([stem for stem in {stem for stem, _ in parts.values()} if stem not in known])
         for w, (stem, mark) in parts.items():
             if mark or w != stem:
                 known[w] = known[stem] + (self.marks[mark] if mark else b"")
