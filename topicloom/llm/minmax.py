@@ -12,9 +12,11 @@ the two ends of ``ROWS / 2`` permutations. Sets of similarity ``s`` share no ban
    centers of its buckets, and is paired with the one it shares most buckets with, in a few rounds
    with other centers; a round's confirmed links merge components, and only buckets with several
    components go on.
-3. What is left after these rounds is compared in full: in each bucket the members outside its largest
-   component are paired with every member of another component. So each candidate pair has been
-   compared or joins documents that are linked already.
+3. What is left after these rounds are members of buckets with several components. Their shingles are
+   put in order, the rarest among them first. Similar sets must share a shingle near their beginnings,
+   and early enough for the shingles after it to reach the overlap that is asked for (prefix and
+   position filter). Only such pairs of different components go on. No link is lost by it, and copies
+   with edits of their own that fall short of the similarity form no pairs, however many there are.
 4. A pair is confirmed on the full sets of both texts.
 
 A null, empty or blank text has an empty set and links with nothing. Rows that share an id stand
@@ -143,10 +145,6 @@ def _meet(members: DataFrame, others: DataFrame, percent: int) -> DataFrame:
     return members.join(others, "bucket").where(near & (F.col("label") != F.col("label2")))
 
 
-def _pairs(met: DataFrame) -> DataFrame:
-    return met.select(F.greatest("node", "node2").alias("b"), F.least("node", "node2").alias("a")).distinct()
-
-
 def _likeliest(met: DataFrame) -> DataFrame:
     """Of the centers that a member meets, the one it shares most buckets with: one pair per member."""
     shares = met.select("node", "node2").repartition("node").groupBy("node", "node2").agg(F.count(F.lit(1)).alias("shared"))
@@ -154,8 +152,42 @@ def _likeliest(met: DataFrame) -> DataFrame:
     return best.select(F.col("best.node2").alias("a"), F.col("node").alias("b"))
 
 
-def _other(df: DataFrame) -> DataFrame:
-    return df.select("bucket", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "label")])
+def _sets(width: int):
+    def run(batches):
+        for part in by_rows(batches):
+            sets = [shingle_set(t, width) for t in part.column(1).to_pylist()]
+            offsets = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
+            values = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["node", "shingles"])
+
+    return run
+
+
+def prefix_pairs(texts: DataFrame, open_: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs ``(a, b)`` of open ``(node, n, label)`` with different labels whose sets can be similar enough.
+
+    With sizes ``n1 <= n2`` the overlap must be at least ``percent * (n1 + n2) / (100 + percent)``, so the
+    smaller set has a common shingle among its first ``n1 - 2 * percent * n1 / (100 + percent) + 1``, and the
+    larger one among its first ``n2 - percent * n2 / 100 + 1``. A shingle that no other open set has takes
+    a place there without a row of its own.
+    """
+    held = texts.join(small(open_.select(F.col("node").alias("__open"))), F.col("doc_id") == F.col("__open")).select(F.col("doc_id").alias("node"), "text")
+    each = stored(held.mapInArrow(_sets(width), "node bigint, shingles array<bigint>"), "open-sets").select("node", F.explode("shingles").alias("shingle"))
+    common = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1").withColumnRenamed("shingle", "__s")
+    listed = each.join(common, F.col("shingle") == F.col("__s")).groupBy(F.col("node").alias("__node")).agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("rare"))
+    met = listed.join(open_, F.col("__node") == F.col("node"))
+    alone = F.col("n") - F.size("rare")
+    index = F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent)) + 1
+    probe = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1
+    begin = F.slice("rare", F.lit(1), F.greatest(F.lit(0), probe - alone).cast("int"))
+    rows = met.withColumns({"index": index, "alone": alone}).where(probe > alone).select("node", "n", "label", "index", "alone", F.posexplode(begin).alias("__i", "x"))
+    rows = stored(rows.select("node", "n", "label", (F.col("alone") + F.col("__i")).alias("pos"), "index", F.col("x.shingle").alias("shingle")), "prefixes")
+    first = rows.where(F.col("pos") < F.col("index")).drop("index")
+    second = rows.select("shingle", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "label", "pos")])
+    larger = (F.col("n2") > F.col("n")) | ((F.col("n2") == F.col("n")) & (F.col("node2") > F.col("node")))
+    within = (100 + percent) * F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) >= percent * (F.col("n") + F.col("n2"))
+    near = first.join(second, (first["shingle"] == second["shingle"]) & larger & (F.col("label") != F.col("label2")) & within)
+    return near.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -192,12 +224,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
             ).where("lo < hi").select("bucket", *[F.col(f"center.{c}").alias(f"{c}2") for c in ("node", "n", "label")])
             pairs = _likeliest(_meet(labelled, centers, percent))
         else:
-            labelled = stored(labelled, "labelled")
-            sizes = labelled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("size"))
-            main = sizes.groupBy("bucket").agg(F.max_by("label", "size").alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-            open_ = labelled.join(main, "bucket")
-            strays = open_.where(F.col("label") != F.col("main")).select("bucket", "node", "n", "label")
-            pairs = _pairs(_meet(strays, _other(open_), percent))
+            labels_of = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
+            open_ = stored(labelled.join(labels_of, "bucket").select("node", "n", "label").distinct(), "open")
+            if open_.isEmpty():
+                continue
+            pairs = prefix_pairs(candidates, open_, width, percent)
         if tested is not None:
             ordered = tested.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).distinct()
             pairs = pairs.join(ordered, (F.least("a", "b") == F.col("low")) & (F.greatest("a", "b") == F.col("high")), "left_anti")
