@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from topicloom.llm import graph, minmax
@@ -129,3 +130,12 @@ def test_all_pairs_of_the_given_table(spark):
                 up[hi] = lo
     got = minmax.near_duplicates(texts(docs), width=2).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {d: (len(sets[d]), find(d)) for d in sets}
+
+
+def test_bitmaps_differ_at_most_as_the_sets():
+    rng = random.Random(5)
+    for size in (0, 1, 30, 400, 5000):
+        a = {rng.getrandbits(64) for _ in range(size)}
+        b = {x for x in a if rng.random() < 0.9} | {rng.getrandbits(64) for _ in range(size // 10)}
+        bits = [minmax.parity(np.array(sorted(x), np.uint64)).view(np.uint64) for x in (a, b)]
+        assert sum(int(x).bit_count() for x in bits[0] ^ bits[1]) <= len(a ^ b)

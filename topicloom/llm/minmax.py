@@ -38,6 +38,7 @@ from .graph import components
 BANDS, ROWS = 48, 6
 PERMUTATIONS = BANDS * ROWS // 2
 STARS = 4
+BITS = 1024  # of the bitmaps that bound an overlap
 TOGETHER = 500  # pairs of one document that are confirmed in one place
 _RNG = np.random.default_rng(20240607)
 _A = _RNG.integers(0, 1 << 63, PERMUTATIONS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -152,13 +153,25 @@ def _likeliest(met: DataFrame) -> DataFrame:
     return best.select(F.col("best.node2").alias("a"), F.col("node").alias("b"))
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """Bitmap of ``BITS`` places: whether an odd number of shingles falls on each.
+
+    Two bitmaps differ in at most as many places as shingles stand in one set alone.
+    """
+    counts = np.bincount((shingles >> np.uint64(20)) % np.uint64(BITS), minlength=BITS)
+    return np.packbits((counts & 1).astype(np.uint8)).view("<i8")
+
+
 def _sets(width: int):
     def run(batches):
         for part in by_rows(batches):
             sets = [shingle_set(t, width) for t in part.column(1).to_pylist()]
+            bits = [parity(x).tolist() for x in sets]
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
             values = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["node", "shingles"])
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array(bits, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["node", "bits", "shingles"]
+            )
 
     return run
 
@@ -169,23 +182,27 @@ def prefix_pairs(texts: DataFrame, open_: DataFrame, width: int, percent: int) -
     With sizes ``n1 <= n2`` the overlap must be at least ``percent * (n1 + n2) / (100 + percent)``, so the
     smaller set has a common shingle among its first ``n1 - 2 * percent * n1 / (100 + percent) + 1``, and the
     larger one among its first ``n2 - percent * n2 / 100 + 1``. A shingle that no other open set has takes
-    a place there without a row of its own.
+    a place there without a row of its own. What stands in one set alone is at least the places in
+    which the sets' bitmaps differ, which bounds the overlap before any text moves.
     """
     held = texts.join(small(open_.select(F.col("node").alias("__open"))), F.col("doc_id") == F.col("__open")).select(F.col("doc_id").alias("node"), "text")
-    each = stored(held.mapInArrow(_sets(width), "node bigint, shingles array<bigint>"), "open-sets").select("node", F.explode("shingles").alias("shingle"))
+    sets = stored(held.mapInArrow(_sets(width), "node bigint, bits array<bigint>, shingles array<bigint>"), "open-sets")
+    each = sets.select("node", F.explode("shingles").alias("shingle"))
     common = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1").withColumnRenamed("shingle", "__s")
     listed = each.join(common, F.col("shingle") == F.col("__s")).groupBy(F.col("node").alias("__node")).agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("rare"))
-    met = listed.join(open_, F.col("__node") == F.col("node"))
+    met = listed.join(open_, F.col("__node") == F.col("node")).join(sets.select(F.col("node").alias("__bits_of"), "bits"), F.col("__node") == F.col("__bits_of"))
     alone = F.col("n") - F.size("rare")
     index = F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent)) + 1
     probe = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1
     begin = F.slice("rare", F.lit(1), F.greatest(F.lit(0), probe - alone).cast("int"))
-    rows = met.withColumns({"index": index, "alone": alone}).where(probe > alone).select("node", "n", "label", "index", "alone", F.posexplode(begin).alias("__i", "x"))
-    rows = stored(rows.select("node", "n", "label", (F.col("alone") + F.col("__i")).alias("pos"), "index", F.col("x.shingle").alias("shingle")), "prefixes")
+    rows = met.withColumns({"index": index, "alone": alone}).where(probe > alone).select("node", "n", "label", "bits", "index", "alone", F.posexplode(begin).alias("__i", "x"))
+    rows = stored(rows.select("node", "n", "label", "bits", (F.col("alone") + F.col("__i")).alias("pos"), "index", F.col("x.shingle").alias("shingle")), "prefixes")
     first = rows.where(F.col("pos") < F.col("index")).drop("index")
-    second = rows.select("shingle", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "label", "pos")])
+    second = rows.select("shingle", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "label", "pos", "bits")])
     larger = (F.col("n2") > F.col("n")) | ((F.col("n2") == F.col("n")) & (F.col("node2") > F.col("node")))
     within = (100 + percent) * F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) >= percent * (F.col("n") + F.col("n2"))
+    differ = F.aggregate(F.zip_with("bits", "bits2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+    within = within & ((100 + percent) * (F.col("n") + F.col("n2") - differ) >= 2 * percent * (F.col("n") + F.col("n2")))
     near = first.join(second, (first["shingle"] == second["shingle"]) & larger & (F.col("label") != F.col("label2")) & within)
     return near.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
 
