@@ -95,7 +95,7 @@ def first_last(df: DataFrame, group: list[str], order: list[str], value: str) ->
     """``(group.., first, last)``: the value of the first and of the last row of each group along ``order``.
 
     The ends of the first order column are found by an aggregation of fixed width. The rows at these
-    ends, mostly one or two, settle the next column, and so on. An order column is not null; rows
+    ends, mostly one or two, are stored and settle the next column, and so on. An order column is not null; rows
     equal in all of them are alike.
     """
     rows = df.select(*group, *[F.col(o).alias(f"__o{i}") for i, o in enumerate(order)], F.col(value).alias("__v"))
@@ -109,6 +109,8 @@ def first_last(df: DataFrame, group: list[str], order: list[str], value: str) ->
         first, last = F.col("__first") & (o == F.col("__lo")), F.col("__last") & (o == F.col("__hi"))
         met = rows.join(ends, same).withColumns({"__first": first, "__last": last}).where(F.col("__first") | F.col("__last"))
         rows = met.drop("__lo", "__hi", f"__o{i}", *[f"__g{j}" for j in range(len(group))])
+        if i == 0 and len(order) > 1:
+            rows = materialise(rows, "ends")  # few, and read twice by each of the next steps
     return rows.groupBy(*group).agg(
         F.max(F.when(F.col("__first"), F.col("__v"))).alias("first"), F.max(F.when(F.col("__last"), F.col("__v"))).alias("last")
     )
