@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,11 +53,11 @@ def brute(train, text, depth):
 TEXTS = ["the cat sat on the mat", "The dog sat", "a cat, a dog", "", "ünder the mat", "the cat sat on the mat", "dog dog dog", "zebra  mat\nx"]
 
 
-@pytest.mark.parametrize("limit", [ctw.LOOKUP_ROWS, 0])
-def test_scores_against_trees_built_one_by_one(spark, limit):
+@pytest.mark.parametrize("lots", [{}, {"lot_bytes": 20, "lots_together": 2, "part_rows": 30}])
+def test_scores_against_trees_built_one_by_one(spark, lots):
     docs = spark.createDataFrame([*enumerate(TEXTS), (9, None), (None, "mat"), (0, TEXTS[0])], "doc_id long, text string")
     held = F.col("doc_id").isin(5, 6, 7)
-    got = ctw.score(texts(docs), ~F.coalesce(held, F.lit(False)), lookup_rows=limit).collect()
+    got = ctw.score(texts(docs), ~F.coalesce(held, F.lit(False)), **lots).collect()
     train = [t for i, t in enumerate(TEXTS) if i not in (5, 6, 7)] + ["", "mat", TEXTS[0]]
     counts = {}
     for t in train:
@@ -70,21 +71,30 @@ def test_scores_against_trees_built_one_by_one(spark, limit):
         r = by_id[i]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(tokens), sum(w in counts for w in tokens), n)
         assert r.base_score == pytest.approx(sum(math.log10((counts.get(w, 0) + 0.5) / (n + 0.5 * (v + 1))) for w in tokens))
-        assert r.score == pytest.approx(brute(train, t, ctw.DEPTH), abs=1e-4)
+        assert r.score == pytest.approx(brute(train, t, ctw.DEPTH), abs=1e-8)
+        assert r.bits_per_byte == pytest.approx(-r.score * math.log2(10) / (sum(len(w.encode()) for w in tokens) + len(tokens) - 1))
 
 
 def test_probabilities_of_a_byte_add_to_one():
     rng = np.random.default_rng(1)
-    context = np.uint64(0x616263646566)
-    keys = context << np.uint64(8) | np.arange(256, dtype=np.uint64)
-    counts = rng.integers(0, 9, 256).astype(float) * (rng.random(256) < 0.3)
-    import pyarrow as pa
-
-    batch = pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["key", "count"])
-    (sums,) = [list(ctw._upper_sums([batch]))]
-    rows = [dict(zip(b.schema.names, r, strict=True)) for b in sums for r in zip(*[c.to_pylist() for c in b.columns], strict=True)]
-    (out,) = ctw._predict(ctw._top(rows))([batch])
-    assert (10 ** out.column(1).to_numpy()).sum() == pytest.approx(1.0)
+    keys = np.uint64(0x666564636261) << np.uint64(8) | np.arange(256, dtype=np.uint64)
+    counts = rng.integers(0, 9, 256) * (rng.random(256) < 0.3)
+    columns = [[name, n, low, data] for name, low, data, n in ctw._rows(ctw.SEQUENCE, keys, counts)]
+    sums = list(ctw._upper_sums([pa.RecordBatch.from_arrays(c, names=["name", "n", "keys", "data"]) for c in columns]))
+    node, *totals = (np.concatenate([b.column(i).to_numpy() for b in sums]) for i in range(4))
+    top = ctw._top(node.view(np.uint64), *totals)
+    assert (10 ** ctw.log_probabilities(ctw.Forest(keys, counts), top)).sum() == pytest.approx(1.0)
+
+
+def test_equal_texts_get_equal_scores_in_any_split(spark):
+    rows = [(i, TEXTS[i % len(TEXTS)]) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    train = F.col("doc_id") % 5 != 1
+    runs = [ctw.score(docs.repartition(p), train, lot_bytes=b, lots_together=t).collect() for p, b, t in ((1, 1 << 30, 9), (7, 300, 3))]
+    first, second = ({r.doc_id: r for r in run} for run in runs)
+    assert len(first) == 400 and first == second
+    for i in range(len(TEXTS)):
+        assert len({first[k].score for k in range(i, 400, len(TEXTS))}) == 1
 
 
 def test_no_training_texts_and_empty_table(spark, empty):

@@ -7,105 +7,231 @@ Krichevsky-Trofimov (KT) from the training texts; the weighted probability of a
 estimate and half the product of its children's. A prediction mixes the estimates of all depths along
 the context by the weights that this gives, so the eight mixtures multiply to a distribution over bytes.
 
-How it runs:
-
-1. Tasks count sequences of ``DEPTH + 1`` bytes and words, partially summed before the shuffle;
-   sequences of texts outside the training part are listed with count 0. The count of the context
-   nodes at all depths follows from these.
-2. Sequences are dealt out by the last two context bytes, so that all nodes below depth 2 are built
-   in the task that holds them. Depths 0 and 1 have at most 257 x 255 nodes; their sums are
-   aggregated and sent to every task. The result is a table of log probabilities, one row for each
-   sequence, which grows with the corpus.
-3. Texts look up their sequences and words. Tables of up to ``LOOKUP_ROWS`` rows are broadcast;
-   beyond that, the texts' counts are joined with the tables instead, with equal results.
-
-A null or empty text is the end token alone. Equal rows get equal scores. Without training texts
-every decision has probability 1/2. An empty table gives an empty result. Only the named columns are
-read.
+A sequence is a scored byte behind its context, the nearest context byte first, so that the sequences
+of a context at any depth are neighbours in sorted order. How it runs:
+
+1. Tasks put their texts into lots of about ``LOT`` bytes and store them, each lot with its sorted
+   distinct sequences and words and their counts in the training texts (0 outside these). Sequences
+   are stored as one row for each three context bytes, words as one row for each part of their hashes.
+2. Rows of equal context bytes meet and are summed, salted over lots first. What comes out is the
+   model, which grows with the corpus.
+3. Nodes from depth ``DEPTH`` up to ``SPLIT`` are built where their sequences lie. Depths below
+   ``SPLIT`` have at most 255 nodes for each pair of bytes that occurs; their sums are aggregated and
+   sent to every task.
+4. The log probabilities of sequences, and the counts of words, go back to the lots that hold them,
+   salted again, and a lot looks up its texts in what it got. No table of the whole model is sent.
+
+A null or empty text is the end token alone. Equal texts get equal scores, however the rows are split.
+Without training texts every decision has probability 1/2. An empty table gives an empty result. Only
+the named columns are read. A text is held whole by the task that scores it.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_rows, split_bytes, stored
 
 DEPTH = 6
-LOOKUP_ROWS = 12_000_000  # of 12 bytes
-CHUNK = 4_000_000  # bytes of text, or 16 times the distinct words, counted at a time
-MODEL_ROWS = 300_000  # sequences in a model task
+SPLIT = 3  # context bytes that deal the model out
+LOT = 32_000_000  # bytes scored with one lot
+PENDING = 4_000_000  # sequences held before they are summed
+PART_ROWS = 2_000_000  # sequences of lots in a model task
+LOTS_TOGETHER = 256  # lots of one context met by one task
 END = b"\n"
 SEQUENCE, WORD = 0, 1
+SHIFT = {SEQUENCE: 32, WORD: 54}  # the key bits that name a row
+STORED = {SEQUENCE: np.dtype("<u4"), WORD: np.dtype("<u8")}  # the key bits stored in it
+COUNT, VALUE = np.dtype("<i8"), np.dtype("<f8")
+
+
+def streams(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sequences of all texts, one after the other, and the number of each text's."""
+    bodies = [b" ".join([*words, END]) for words in texts]
+    sizes = np.fromiter(map(len, bodies), np.int64, len(bodies))
+    lead = END * DEPTH
+    a = np.frombuffer(lead + lead.join(bodies), np.uint8).astype(np.uint64)
+    n = len(a) - DEPTH
+    out = a[DEPTH - 1:DEPTH - 1 + n].copy()
+    for back in range(2, DEPTH + 1):
+        out <<= np.uint64(8)
+        out |= a[DEPTH - back:DEPTH - back + n]
+    out <<= np.uint64(8)
+    out |= a[DEPTH:]
+    scored = np.ones(n, bool)
+    gaps = np.cumsum(sizes[:-1]) + DEPTH * np.arange(len(sizes) - 1)  # the bytes of a lead are not scored
+    scored[(gaps[:, None] + np.arange(DEPTH)).ravel()] = False
+    return out[scored], sizes
 
 
-def stream(words: list[bytes]) -> bytes:
-    """The bytes that are scored, after ``DEPTH`` bytes of context."""
-    return END * DEPTH + b" ".join([*words, END])
+def word_key(word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word)
 
 
-def sequences(data: bytes, depth: int = DEPTH) -> np.ndarray:
-    """Every scored byte behind its context bytes, as one number."""
-    a = np.frombuffer(data, np.uint8).astype(np.uint64)
-    n = len(a) - depth
-    out = a[:n].copy()
-    for i in range(1, depth + 1):
-        out <<= np.uint64(8)
-        out |= a[i:i + n]
-    return out
+def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys with the sums of their counts."""
+    if len(parts) == 1:
+        return parts[0]
+    keys = np.concatenate([k for k, _ in parts]) if parts else np.zeros(0, np.uint64)
+    counts = np.concatenate([n for _, n in parts]) if parts else np.zeros(0, np.int64)
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.diff(keys, prepend=keys[:1] + np.uint64(1)))
+    return keys[first], np.add.reduceat(counts[order], first) if len(first) else counts
+
+
+def _binary(values: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """``values`` cut before each of ``starts``, as byte strings."""
+    ends = (np.append(starts, len(values)) * values.dtype.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _rows(kind: int, keys: np.ndarray, data: np.ndarray, most: int = 1_000_000):
+    """Sorted keys and their data by row name: ``(name, keys, data, n)``, about ``most`` keys at a time."""
+    name = keys >> np.uint64(SHIFT[kind])
+    starts = np.flatnonzero(np.diff(name, prepend=name[:1] + np.uint64(1)))
+    low = 0
+    while low < len(starts):
+        high = max(low + 1, int(np.searchsorted(starts, starts[low] + most, "right")) - 1)
+        if starts[low] + most >= len(keys):
+            high = len(starts)
+        begin, end = starts[low], starts[high] if high < len(starts) else len(keys)
+        cut = starts[low:high] - begin
+        n = np.diff(np.append(cut, end - begin))
+        yield (
+            pa.array(name[starts[low:high]].astype(np.int32)), _binary(keys[begin:end].astype(STORED[kind]), cut),
+            _binary(data[begin:end], cut), pa.array(n.astype(np.int64)),
+        )
+        low = high
+
+
+def _keys(kind: int, names: np.ndarray, n: np.ndarray, column: pa.Array) -> np.ndarray:
+    """The keys of rows, one after the other."""
+    low = np.frombuffer(b"".join(column.to_pylist()), STORED[kind]).astype(np.uint64)
+    return low if kind == WORD else np.repeat(names.astype(np.uint64) << np.uint64(SHIFT[kind]), n) | low
+
+
+LOTS = "lot bigint, doc_id bigint, text string, kind tinyint, name int, keys binary, data binary, n bigint"
+FIELDS = ["lot", "doc_id", "text", "kind", "name", "keys", "data", "n"]
+
+
+class Lot:
+    """Distinct sequences and words of some texts, with their counts in the training texts."""
+
+    def __init__(self):
+        self.size = self.pending = 0
+        self.held: dict[bool, list[np.ndarray]] = {True: [], False: []}
+        self.sums: list[tuple[np.ndarray, np.ndarray]] = []
+        self.vocabulary: Counter = Counter()
+
+    def add(self, texts: list[list[bytes]], train: list[bool]) -> None:
+        for part in (True, False):
+            chosen = [w for w, t in zip(texts, train, strict=True) if t == part]
+            if chosen:
+                keys, _ = streams(chosen)
+                self.held[part].append(keys)
+                self.size += len(keys)
+                self.pending += len(keys)
+            for words in chosen:
+                if part:
+                    self.vocabulary.update(words)
+                else:
+                    self.vocabulary.update(dict.fromkeys(words, 0))
+            if part:
+                self.vocabulary[END] += len(chosen)
+        if self.pending >= PENDING:
+            self.settle()
+
+    def settle(self) -> None:
+        for train, parts in self.held.items():
+            if parts:
+                keys, n = np.unique(np.concatenate(parts), return_counts=True)
+                self.sums.append((keys, n.astype(COUNT) if train else np.zeros(len(keys), COUNT)))
+                parts.clear()
+        self.pending = 0
 
+    def batches(self, lot: int):
+        self.settle()
+        words = np.fromiter(map(word_key, self.vocabulary), np.uint64, len(self.vocabulary))
+        counts = np.fromiter(self.vocabulary.values(), COUNT, len(words))
+        order = np.argsort(words)
+        for kind, keys, n in ((SEQUENCE, *summed(self.sums)), (WORD, words[order], counts[order])):
+            for columns in _rows(kind, keys, n):
+                rows = len(columns[0])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lot] * rows, pa.int64()), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.string()), pa.array([kind] * rows, pa.int8()), *columns],
+                    names=FIELDS,
+                )
 
-def word_key(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word)
 
+def _count(lot_bytes: int):
+    """Rows of texts ``(doc_id, text, train)`` under their lot, and the rows of the lots."""
 
-def _table(batch_keys: np.ndarray, counts: np.ndarray, kind: int) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(len(batch_keys), kind, np.int8)), pa.array(batch_keys.view(np.int64)), pa.array(counts.astype(np.int64))],
-        names=["kind", "key", "count"],
-    )
+    def run(batches):
+        number = TaskContext.get().partitionId() << 32
+        lot = Lot()
+        for part in by_rows(batches, 128):
+            if not part.num_rows:
+                continue
+            blank = [pa.nulls(part.num_rows, t) for t in (pa.int8(), pa.int32(), pa.binary(), pa.binary(), pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array([number] * part.num_rows, pa.int64()), part.column(0), part.column(1), *blank], names=FIELDS)
+            lot.add([split_bytes(t, lower=True) for t in part.column(1).to_pylist()], part.column(2).to_pylist())
+            if lot.size >= lot_bytes:
+                yield from lot.batches(number)
+                number, lot = number + 1, Lot()
+        if lot.size:
+            yield from lot.batches(number)
 
+    return run
 
-def _count(batches):
-    """Partial counts ``(kind, key, count)`` of ``(text, train)`` rows."""
-    held: dict[bool, list[np.ndarray]] = {True: [], False: []}
-    size = 0
-    vocabulary: Counter = Counter()
 
-    def flush_sequences():
-        for train, parts in held.items():
-            if parts:
-                keys, n = np.unique(np.concatenate(parts), return_counts=True)
-                parts.clear()
-                yield _table(keys, n if train else np.zeros(len(keys)), SEQUENCE)
-
-    def flush_words():
-        keys = np.fromiter(map(word_key, vocabulary), np.uint64, len(vocabulary))
-        yield _table(keys, np.fromiter(vocabulary.values(), np.int64, len(vocabulary)), WORD)
-        vocabulary.clear()
-
-    for part in by_rows(batches):
-        for text, train in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-            words = split_bytes(text, lower=True)
-            keys = sequences(stream(words))
-            held[train].append(keys)
-            size += len(keys)
-            if train:
-                vocabulary.update(words)
-                vocabulary[END] += 1
-            if size >= CHUNK:
-                yield from flush_sequences()
-                size = 0
-            if len(vocabulary) >= CHUNK // 16:
-                yield from flush_words()
-    yield from flush_sequences()
-    yield from flush_words()
+def _wholes(kind: int, batches, limit: int):
+    """Sums of rows ``(name, n, keys, data)`` sorted by name, whole names at a time."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size, most = 0, limit
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        names, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        held.append((_keys(kind, names, n, batch.column(2)), np.frombuffer(b"".join(batch.column(3).to_pylist()), COUNT)))
+        size += int(n.sum())
+        if size >= most:
+            keys, counts = summed([*held, (held[0][0][:0], held[0][1][:0])])
+            cut = int(np.searchsorted(keys, np.uint64(int(names[-1]) << SHIFT[kind])))
+            if cut:
+                yield keys[:cut], counts[:cut]
+            held, size = [(keys[cut:], counts[cut:])], len(keys) - cut
+            most = max(limit, 2 * size)
+    if held:
+        yield summed([*held, (held[0][0][:0], held[0][1][:0])])
+
+
+def _sum_rows(kind: int):
+    def run(batches):
+        for keys, counts in _wholes(kind, batches, PENDING):
+            for name, low, data, n in _rows(kind, keys, counts):
+                yield pa.RecordBatch.from_arrays([name, n, low, data], names=["name", "n", "keys", "data"])
+
+    return run
+
+
+def _model(kind: int, lots: DataFrame, parts: int, salts: int) -> DataFrame:
+    """``(name, n, keys, data)``: one row for each name, counts of all lots summed."""
+    rows = lots.where(F.col("kind") == kind)
+    plan = [["name", "salt"], ["name"]] if salts > 1 else [["name"]]
+    for by in plan:
+        cols = [F.pmod(F.hash("lot"), F.lit(salts)).alias("salt")] if "salt" in by else []
+        dealt = rows.select("name", "n", "keys", "data", *cols).repartition(parts, *by).sortWithinPartitions("name")
+        rows = dealt.select("name", "n", "keys", "data").mapInArrow(_sum_rows(kind), "name int, n bigint, keys binary, data binary")
+    return stored(rows, "model")
 
 
 def lgamma(x: np.ndarray) -> np.ndarray:
@@ -121,238 +247,269 @@ def lgamma(x: np.ndarray) -> np.ndarray:
     return shift + (z - 0.5) * np.log(z) - z + 0.5 * np.log(2 * np.pi) + series
 
 
-def log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-    return lgamma(n0 + 0.5) + lgamma(n1 + 0.5) - lgamma(n0 + n1 + 1.0) - np.log(np.pi)
+TABLED = 1 << 14
+_SMALL = {add: lgamma(np.arange(TABLED) + add) for add in (0.5, 1.0)}
 
 
-HALF = np.log(0.5)
+def _lgamma_of(n: np.ndarray, add: float) -> np.ndarray:
+    """``lgamma(n + add)`` of whole numbers, the usual small ones from a table."""
+    out = _SMALL[add][np.minimum(n, TABLED - 1).astype(np.int64)]
+    large = np.flatnonzero(n >= TABLED)
+    if len(large):
+        out[large] = lgamma(n[large] + add)
+    return out
+
 
+def log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    return _lgamma_of(n0, 0.5) + _lgamma_of(n1, 0.5) - _lgamma_of(n0 + n1, 1.0) - np.log(np.pi)
 
-def _levels(keys: np.ndarray, counts: np.ndarray, bit: int, top: int):
-    """Nodes of one bit position from depth ``DEPTH`` down to ``top``.
 
-    Yields for each depth, deepest first: index of each row's node, ``n0, n1``, logarithm of the
-    node's weighted probability, weight of its own estimate, and the nodes' keys.
-    """
-    x = keys & np.uint64(0xFF)
-    node = (np.uint64(1) << np.uint64(bit)) | (x >> np.uint64(8 - bit))
-    ones = ((x >> np.uint64(7 - bit)) & np.uint64(1)).astype(float)
-    below = None
-    for depth in range(DEPTH, top - 1, -1):
-        mask = np.uint64((1 << (8 * depth)) - 1)
-        at = ((keys >> np.uint64(8)) & mask) << np.uint64(8) | node
-        name, index = np.unique(at, return_inverse=True)
-        n1 = np.bincount(index, counts * ones, minlength=len(name))
-        n0 = np.bincount(index, counts * (1 - ones), minlength=len(name))
-        kt = log_kt(n0, n1)
-        if below is None:
-            weighted, own = kt, np.ones(len(name))
-        else:
-            child_index, child_weighted = below
-            parent = np.zeros(len(child_weighted), np.int64)
-            parent[child_index] = index
-            rest = np.bincount(parent, child_weighted, minlength=len(name))
-            weighted = np.logaddexp(HALF + kt, HALF + rest)
-            own = np.exp(HALF + kt - weighted)
-        yield index, n0, n1, weighted, own, name
-        below = (index, weighted)
+HALF = np.log(0.5)
 
 
-def _upper_sums(batches):
-    """Counts and weighted probabilities of the depth-2 nodes, summed for their depth-1 parents."""
-    keys, counts = _gather(batches)
-    for bit in range(8) if len(keys) else ():
-        *_, (_, n0, n1, weighted, _, name) = _levels(keys, counts, bit, 2)
-        up, index = np.unique(name & np.uint64(0xFFFF), return_inverse=True)
-        sums = [np.bincount(index, v, minlength=len(up)) for v in (n0, n1, weighted)]
-        yield pa.RecordBatch.from_arrays([pa.array(up.view(np.int64)), *map(pa.array, sums)], names=["node", "n0", "n1", "below"])
-
-
-def _gather(batches) -> tuple[np.ndarray, np.ndarray]:
-    held = [b for b in batches if b.num_rows]
-    if not held:
-        return np.zeros(0, np.uint64), np.zeros(0)
-    table = pa.Table.from_batches(held)
-    return table["key"].to_numpy().view(np.uint64), table["count"].to_numpy().astype(float)
-
-
-def _top(rows) -> np.ndarray:
-    """``[depth, node] -> (n0, n1, own)`` for depths 1 and 0; at most 256 x 256 and 256 nodes."""
-    n = np.zeros((3, 1 << 16))
-    for r in rows:
-        n[:, r["node"]] = r["n0"], r["n1"], r["below"]
-    kt = log_kt(n[0], n[1])
-    weighted = np.logaddexp(HALF + kt, HALF + n[2])
-    one = np.stack([n[0], n[1], np.exp(HALF + kt - weighted)])
-    zero = np.zeros((3, 1 << 16))
-    by_node = lambda v: v.reshape(256, 256).sum(0)
-    zero[0, :256], zero[1, :256] = by_node(n[0]), by_node(n[1])
-    kt = log_kt(zero[0], zero[1])
-    zero[2] = np.exp(HALF + kt - np.logaddexp(HALF + kt, HALF + np.pad(by_node(weighted), (0, (1 << 16) - 256))))
-    return np.stack([zero, one])
-
-
-def _predict(top: np.ndarray):
-    """``(key, value)``: log10 probability of each sequence's last byte after the others."""
+def _parents(names: np.ndarray) -> np.ndarray:
+    """Nodes are named by their context bytes, nearest first, and a last byte; leave the farthest out."""
+    return names >> np.uint64(16) << np.uint64(8) | names & np.uint64(0xFF)
 
-    def run(batches):
-        keys, counts = _gather(batches)
-        if not len(keys):
-            return
-        x = keys & np.uint64(0xFF)
-        total = np.zeros(len(keys))
-        for bit in range(8):
-            one = ((x >> np.uint64(7 - bit)) & np.uint64(1)).astype(bool)
-            p = None
-            for index, n0, n1, _, own, _ in _levels(keys, counts, bit, 2):
-                kt = (np.where(one, n1[index], n0[index]) + 0.5) / (n0[index] + n1[index] + 1)
-                p = kt if p is None else own[index] * kt + (1 - own[index]) * p
-            node = ((np.uint64(1) << np.uint64(bit)) | (x >> np.uint64(8 - bit))).astype(np.int64)
-            for depth, at in ((1, ((keys >> np.uint64(8)) & np.uint64(0xFF)).astype(np.int64) << 8 | node), (0, node)):
-                n0, n1, own = top[depth][:, at]
-                kt = (np.where(one, n1, n0) + 0.5) / (n0 + n1 + 1)
-                p = own * kt + (1 - own) * p
-            total += np.log10(p)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(total)], names=["key", "value"])
 
-    return run
+class Forest:
+    """The trees over some sequences, whole contexts of ``SPLIT`` bytes, from depth ``DEPTH`` to ``SPLIT``.
 
+    ``codes[d]`` are the distinct pairs of a context of depth ``d`` and a byte, ``up[d]`` the places of
+    the pairs of depth ``d + 1`` in them.
+    """
 
-class Lookup:
-    """Numbers by 64-bit key: two sorted arrays, as they are broadcast."""
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        self.codes, self.counts, self.up = {DEPTH: keys}, {DEPTH: counts.astype(float)}, {}
+        for depth in range(DEPTH - 1, SPLIT - 1, -1):
+            self.codes[depth], self.up[depth] = np.unique(_parents(self.codes[depth + 1]), return_inverse=True)
+            self.counts[depth] = np.bincount(self.up[depth], self.counts[depth + 1], minlength=len(self.codes[depth]))
+
+    def nodes(self, bit: int):
+        """For each depth, deepest first: each pair's node, ``n0, n1``, logarithm of the weighted
+        probability and weight of the own estimate of the nodes, and their names."""
+        below = None
+        for depth in range(DEPTH, SPLIT - 1, -1):
+            code, counts = self.codes[depth], self.counts[depth]
+            cut = code >> np.uint64(8 - bit)
+            first = np.flatnonzero(np.diff(cut, prepend=cut[:1] + np.uint64(1)))
+            node = np.zeros(len(code), np.int64)
+            node[first[1:]] = 1
+            node = node.cumsum()
+            ones = counts * ((code >> np.uint64(7 - bit)) & np.uint64(1))
+            n1 = np.bincount(node, ones, minlength=len(first))
+            n0 = np.bincount(node, counts - ones, minlength=len(first))
+            kt = log_kt(n0, n1)
+            if below is None:
+                weighted, own = kt, np.ones(len(first))
+            else:
+                rest = np.bincount(node[self.up[depth][below[0]]], below[1], minlength=len(first))
+                weighted = np.logaddexp(HALF + kt, HALF + rest)
+                own = np.exp(HALF + kt - weighted)
+            x = code[first] & np.uint64(0xFF)
+            names = code[first] & ~np.uint64(0xFF) | np.uint64(1 << bit) | x >> np.uint64(8 - bit)
+            yield depth, node, n0, n1, weighted, own, names
+            below = (first, weighted)
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.keys, self.values = keys, values
 
-    def get(self, keys: np.ndarray, missing: float) -> np.ndarray:
-        if not len(self.keys):
-            return np.full(len(keys), missing)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.values[at], missing)
+def _upper_sums(batches):
+    """Counts and weighted probabilities of the nodes of depth ``SPLIT``, summed for their parents."""
+    for keys, counts in _wholes(SEQUENCE, batches, PENDING // 4):
+        forest = Forest(keys, counts)
+        for bit in range(8):
+            *_, (_, _, n0, n1, weighted, _, names) = forest.nodes(bit)
+            up, index = np.unique(_parents(names), return_inverse=True)
+            sums = [np.bincount(index, v, minlength=len(up)) for v in (n0, n1, weighted)]
+            yield pa.RecordBatch.from_arrays([pa.array(up.view(np.int64)), *map(pa.array, sums)], names=["node", "n0", "n1", "below"])
+
+
+def _top(names: np.ndarray, n0: np.ndarray, n1: np.ndarray, below: np.ndarray) -> list[tuple]:
+    """``(names, n0, n1, own)`` of the nodes of depth 0, 1, .. ``SPLIT - 1``, from the last depth's sums."""
+    order = np.argsort(names)
+    names, n0, n1, below = names[order], n0[order], n1[order], below[order]
+    levels = []
+    for depth in range(SPLIT - 1, -1, -1):
+        kt = log_kt(n0, n1)
+        weighted = np.logaddexp(HALF + kt, HALF + below)
+        levels.append((names, n0, n1, np.exp(HALF + kt - weighted)))
+        if depth:
+            names, index = np.unique(_parents(names), return_inverse=True)
+            n0, n1, below = (np.bincount(index, v, minlength=len(names)) for v in (n0, n1, weighted))
+    return levels[::-1]
 
 
-UNSEEN = float(np.log10(0.5))
+def log_probabilities(forest: Forest, top: list[tuple]) -> np.ndarray:
+    """log10 probability of each sequence's byte after its context.
+
+    Going down from depth 0, the mixture is ``sure + left * (what the deeper nodes say)``.
+    """
+    total = np.zeros(len(forest.codes[DEPTH]))
+    for bit in range(8):
+        code = forest.codes[SPLIT]
+        one = ((code >> np.uint64(7 - bit)) & np.uint64(1)).astype(bool)
+        last = np.uint64(1 << bit) | (code & np.uint64(0xFF)) >> np.uint64(8 - bit)
+        sure, left = np.zeros(len(code)), np.ones(len(code))
+        for depth, (names, n0, n1, own) in enumerate(top):
+            at = np.searchsorted(names, code >> np.uint64(8 * (SPLIT - depth) + 8) << np.uint64(8) | last)
+            weight = own[at]
+            sure += left * weight * (np.where(one, n1[at], n0[at]) + 0.5) / (n0[at] + n1[at] + 1)
+            left *= 1 - weight
+        for depth, node, n0, n1, _, own, _ in reversed(list(forest.nodes(bit))):
+            if depth > SPLIT:
+                sure, left = sure[forest.up[depth - 1]], left[forest.up[depth - 1]]
+            one = ((forest.codes[depth] >> np.uint64(7 - bit)) & np.uint64(1)).astype(bool)
+            kt = (np.where(one, n1[node], n0[node]) + 0.5) / (n0[node] + n1[node] + 1)
+            weight = own[node]
+            sure, left = sure + left * weight * kt, left * (1 - weight)
+        total += np.log10(sure)
+    return total
+
+
+VALUES = "name int, n bigint, keys binary, data binary"
+
+
+def _predict(shared):
+    """Rows of the model with log10 probabilities in place of counts."""
 
+    def run(batches):
+        for keys, counts in _wholes(SEQUENCE, batches, PENDING // 4):
+            for name, low, data, n in _rows(SEQUENCE, keys, log_probabilities(Forest(keys, counts), shared.value)):
+                yield pa.RecordBatch.from_arrays([name, n, low, data], names=["name", "n", "keys", "data"])
 
-_KNOWN: dict[str, dict[bytes, float]] = {}
+    return run
 
 
-def _score(shared):
-    name = uuid.uuid4().hex
+def _give_back(kind: int):
+    """Rows of lots with values of the model in place of counts; the model's row, without a lot, comes first."""
 
     def run(batches):
-        seqs, vocabulary = (Lookup(*pair) for pair in shared.value)
-        if name not in _KNOWN:  # words met by this Python worker
-            _KNOWN.clear()
-        known = _KNOWN.setdefault(name, {})
-        for part in by_rows(batches, 128):
-            split = [split_bytes(t, lower=True) for t in part.column(1).to_pylist()]
-            if len(known) > 300_000:
-                known.clear()
-            new = list(set().union(*split, [END]) - known.keys())
-            if new:
-                counts = vocabulary.get(np.fromiter(map(word_key, new), np.uint64, len(new)).view(np.int64), 0.0)
-                known.update(zip(new, np.log10(counts + 0.5).tolist(), strict=True))
-            base, n_known, score = [], [], []
-            keys = [sequences(stream(words)) for words in split]
-            distinct, index = np.unique(np.concatenate(keys), return_inverse=True)
-            logs_of = seqs.get(distinct.view(np.int64), 0.0)[index]
-            ends = np.cumsum([len(k) for k in keys])
-            for words, k, end in zip(split, keys, ends.tolist(), strict=True):
-                logs = np.fromiter(map(known.__getitem__, words), float, len(words))
-                base.append(float(logs.sum()) + known[END])
-                n_known.append(int((logs > UNSEEN).sum()) + (known[END] > UNSEEN))
-                score.append(float(logs_of[end - len(k):end].sum()))
-            n = [len(w) + 1 for w in split]
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(n, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())],
-                names=["doc_id", "n_tokens", "n_known", "base", "score"],
-            )
+        known, values = np.zeros(0, np.uint64), np.zeros(0)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            mine = batch.column(0).is_valid()
+            ours, theirs = batch.filter(pc.invert(mine)), batch.filter(mine)
+            known, values = np.concatenate([known, _row_keys(kind, ours)]), np.concatenate([values, np.frombuffer(b"".join(ours.column(4).to_pylist()), VALUE)])
+            if theirs.num_rows:
+                n = theirs.column(2).to_numpy()
+                found = values[np.searchsorted(known, _row_keys(kind, theirs))]
+                data = _binary(found, np.cumsum(n) - n)
+                yield pa.RecordBatch.from_arrays([theirs.column(0), pa.array([kind] * len(n), pa.int8()), *theirs.columns[1:4], data], names=["lot", "kind", "name", "n", "keys", "data"])
+            keep = int(np.searchsorted(known, np.uint64(batch.column(1)[-1].as_py() << SHIFT[kind])))
+            known, values = known[keep:], values[keep:]
 
     return run
 
 
-SCORES = "doc_id bigint, n_tokens bigint, n_known bigint, base double, score double"
-
-
-def _listed(batches):
-    """Counts of each text's sequences and words, for the join."""
-    for part in by_rows(batches, 16):
-        for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-            words = split_bytes(text, lower=True)
-            mark = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
-            seq, n = np.unique(sequences(stream(words)), return_counts=True)
-            count = Counter(words)
-            count[END] += 1
-            keys = np.concatenate([seq, np.fromiter(map(word_key, count), np.uint64, len(count))])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([doc_id] * len(keys), pa.int64()), pa.array(np.full(len(keys), mark)),
-                    pa.array(np.repeat(np.array([SEQUENCE, WORD], np.int8), [len(seq), len(count)])), pa.array(keys.view(np.int64)),
-                    pa.array(np.concatenate([n, np.fromiter(count.values(), np.int64, len(count))])),
-                ],
-                names=["doc_id", "mark", "kind", "key", "n"],
-            )
-
-
-def _score_by_join(docs: DataFrame, model: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """The same scores by joining the texts' counts with the tables. Texts are told apart by id and hash."""
-    listed = docs.mapInArrow(_listed, "doc_id bigint, mark bigint, kind tinyint, key bigint, n bigint")
-    logs = F.log10(F.col("count") + 0.5)
-    values = model.select(F.lit(SEQUENCE).cast("tinyint").alias("kind"), "key", "value").unionByName(
-        vocabulary.where("count > 0").select(F.lit(WORD).cast("tinyint").alias("kind"), "key", logs.alias("value"))
-    )
-    word = F.col("kind") == WORD
-    one = listed.dropDuplicates(["doc_id", "mark", "kind", "key"]).join(values, ["kind", "key"], "left")
-    sums = one.groupBy("doc_id", "mark").agg(
-        F.sum(F.when(word, F.col("n"))).alias("n_tokens"),
-        F.coalesce(F.sum(F.when(word & F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias("n_known"),
-        F.sum(F.when(word, F.col("n") * F.coalesce("value", F.lit(UNSEEN)))).alias("base"),
-        F.sum(F.when(~word, F.col("n") * F.coalesce("value", F.lit(0.0)))).alias("score"),
-    )
-    marks = docs.mapInArrow(_marks, "doc_id bigint, mark bigint")
-    sums = sums.withColumnsRenamed({"doc_id": "__id", "mark": "__mark"})
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("mark") == F.col("__mark"))
-    return marks.join(sums, same).select("doc_id", "n_tokens", "n_known", "base", "score")
+def _row_keys(kind: int, batch: pa.RecordBatch) -> np.ndarray:
+    return _keys(kind, batch.column(1).to_numpy(), batch.column(2).to_numpy(), batch.column(3))
 
 
-def _marks(batches):
-    for part in by_rows(batches):
-        marks = [xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63) for t in part.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(marks, pa.int64())], names=["doc_id", "mark"])
+def _given(kind: int, lots: DataFrame, values: DataFrame, parts: int, salts: int) -> DataFrame:
+    """``(lot, kind, name, n, keys, data)`` with the values that the lots' texts need."""
+    each = values.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).select(
+        F.lit(None).cast("bigint").alias("lot"), "name", "n", "keys", "data", "salt"
+    )
+    asked = lots.where(F.col("kind") == kind).select("lot", "name", "n", "keys", F.lit(None).cast("binary").alias("data"), F.pmod(F.hash("lot"), F.lit(salts)).alias("salt"))
+    dealt = each.unionByName(asked).repartition(parts * salts, "name", "salt").sortWithinPartitions("name", F.col("lot").asc_nulls_first())
+    return dealt.drop("salt").mapInArrow(_give_back(kind), "lot bigint, kind tinyint, name int, n bigint, keys binary, data binary")
 
 
-def _pairs(table: DataFrame, value: str) -> tuple[np.ndarray, np.ndarray]:
-    got = table.select("key", F.col(value).alias("value")).toArrow()
-    keys, values = got["key"].to_numpy(), got["value"].to_numpy()
+UNSEEN = float(np.log10(0.5))
+SCORES = "doc_id bigint, n_tokens bigint, n_known bigint, base double, score double, n_bytes bigint"
+
+
+def _score(batches):
+    """Scores of texts; the rows of a lot's values come before its texts."""
+    parts: dict[int, list] = {}
+    lot = sequences = words = known = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        lots = batch.column(0).to_numpy()
+        kinds = batch.column(3).fill_null(-1).to_numpy()
+        change = np.flatnonzero((np.diff(lots) != 0) | (np.diff(kinds) != 0)) + 1
+        for begin, end in zip([0, *change.tolist()], [*change.tolist(), len(lots)], strict=True):
+            if lots[begin] != lot:
+                lot, sequences, words, known = lots[begin], None, None, {}
+                parts = {SEQUENCE: [], WORD: []}
+            rows, kind = batch.slice(begin, end - begin), int(kinds[begin])
+            if kind >= 0:
+                keys = _keys(kind, rows.column(4).to_numpy(), rows.column(7).to_numpy(), rows.column(5))
+                parts[kind].append((keys, np.frombuffer(b"".join(rows.column(6).to_pylist()), VALUE)))
+                continue
+            if sequences is None:
+                sequences, words = ([np.concatenate(c) for c in zip(*parts[k], strict=True)] for k in (SEQUENCE, WORD))
+                parts = {}
+            for part in by_rows([rows], 128):
+                yield _score_texts(part, sequences, words, known)
+
+
+def _score_texts(part: pa.RecordBatch, sequences: list, words: list, known: dict[bytes, float]) -> pa.RecordBatch:
+    split = [split_bytes(t, lower=True) for t in part.column(2).to_pylist()]
+    new = list(set().union(*split, [END]) - known.keys())
+    if new:
+        counts = words[1][np.searchsorted(words[0], np.fromiter(map(word_key, new), np.uint64, len(new)))]
+        known.update(zip(new, np.log10(counts + 0.5).tolist(), strict=True))
+    keys, sizes = streams(split)
     order = np.argsort(keys)
-    return keys[order], values[order].astype(np.float32 if values.dtype == float else np.int32 if values.max(initial=0) < 1 << 31 else np.int64)
+    found = sequences[1][np.searchsorted(sequences[0], keys[order])]
+    score = np.bincount(np.repeat(np.arange(len(split)), sizes)[order], found, minlength=len(split))
+    base, n_known = [], []
+    for ws in split:
+        logs = np.fromiter(map(known.__getitem__, ws), float, len(ws))
+        base.append(float(logs.sum()) + known[END])
+        n_known.append(int((logs > UNSEEN).sum()) + (known[END] > UNSEEN))
+    return pa.RecordBatch.from_arrays(
+        [
+            part.column(1), pa.array([len(w) + 1 for w in split], pa.int64()), pa.array(n_known, pa.int64()),
+            pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.array(sizes),
+        ],
+        names=["doc_id", "n_tokens", "n_known", "base", "score", "n_bytes"],
+    )
 
 
-def score(docs: DataFrame, train: Column, lookup_rows: int = LOOKUP_ROWS) -> DataFrame:
+def score(docs: DataFrame, train: Column, lot_bytes: int = LOT, lots_together: int = LOTS_TOGETHER, part_rows: int = PART_ROWS) -> DataFrame:
     """Scores of all ``docs`` (``doc_id``, non-null ``text``), learning from the rows where ``train``:
-    ``(doc_id, n_tokens, n_known, train_tokens, base_score, score)``."""
+    ``(doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte)``, the last being
+    the code length for each byte of the scored sequence."""
     spark = docs.sparkSession
-    counted = docs.select("text", train.alias("train")).mapInArrow(_count, "kind tinyint, key bigint, count bigint")
-    counts = stored(counted.groupBy("kind", "key").agg(F.sum("count").alias("count")), "counts")
-    words = counts.where(F.col("kind") == WORD).select("key", "count")
-    seqs = counts.where(F.col("kind") == SEQUENCE).select("key", "count")
-    n_seqs = seqs.count()
-    n_words, tokens = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("count"), F.lit(0))).first()
-
-    recent = F.shiftright("key", 8).bitwiseAND(0xFFFF)
-    dealt = seqs.repartition(max(1, -(-n_seqs // MODEL_ROWS)), recent)
-    sums = dealt.mapInArrow(_upper_sums, "node bigint, n0 double, n1 double, below double")
-    top = _top(sums.groupBy("node").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "below")]).toLocalIterator())
-    model = stored(dealt.mapInArrow(_predict(top), "key bigint, value double"), "model")
-
-    if max(n_seqs, n_words) <= lookup_rows:
-        shared = spark.sparkContext.broadcast((_pairs(model, "value"), _pairs(words, "count")))
-        scored = docs.mapInArrow(_score(shared), SCORES)
-    else:
-        scored = _score_by_join(docs, model, words)
+    rows = docs.select("doc_id", "text", F.coalesce(train, F.lit(False)).alias("train")).mapInArrow(_count(lot_bytes), LOTS)
+    lots = stored(rows, "lots")
+    asked = {r["kind"]: r for r in lots.where("kind is not null").groupBy("kind").agg(F.sum("n").alias("n"), F.countDistinct("lot").alias("lots")).collect()}
+    n_lots = max([r["lots"] for r in asked.values()], default=0)
+    salts = max(1, -(-n_lots // lots_together))
+    parts = {k: max(1, -(-(asked[k]["n"] if k in asked else 0) // part_rows)) for k in (SEQUENCE, WORD)}
+    model, words = (_model(k, lots, parts[k], salts) for k in (SEQUENCE, WORD))
+    n_words, tokens = words.mapInArrow(_totals, "words bigint, tokens bigint").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("words", "tokens")]).first()
+
+    sums = model.mapInArrow(_upper_sums, "node bigint, n0 double, n1 double, below double")
+    up = sums.groupBy("node").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "below")]).toArrow()
+    top = _top(up["node"].to_numpy().view(np.uint64), *[up[c].to_numpy() for c in ("n0", "n1", "below")])
+    values = {
+        SEQUENCE: model.mapInArrow(_predict(spark.sparkContext.broadcast(top)), VALUES),
+        WORD: words.mapInArrow(_as_values, VALUES),
+    }
+    held = lots.where("kind is null")
+    for k in (SEQUENCE, WORD):
+        held = held.unionByName(_given(k, lots, values[k], parts[k], salts), allowMissingColumns=True)
+    dealt = held.select(*FIELDS).repartition(max(1, n_lots), "lot").sortWithinPartitions("lot", F.col("kind").asc_nulls_last(), "name")
+    scored = dealt.mapInArrow(_score, SCORES)
     each = float(np.log10(tokens + 0.5 * (n_words + 1)))
     return scored.select(
         "doc_id", "n_tokens", "n_known", F.lit(tokens).cast("bigint").alias("train_tokens"),
         (F.col("base") - F.col("n_tokens") * each).alias("base_score"), "score",
+        (-F.col("score") * float(np.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"),
     )
+
+
+def _totals(batches):
+    for batch in batches:
+        counts = np.frombuffer(b"".join(batch.column(3).to_pylist()), COUNT)
+        yield pa.RecordBatch.from_arrays([pa.array([int((counts > 0).sum())]), pa.array([int(counts.sum())])], names=["words", "tokens"])
+
+
+def _as_values(batches):
+    for batch in batches:
+        data = [np.frombuffer(b, COUNT).astype(VALUE).tobytes() for b in batch.column(3).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(data, pa.binary())], names=["name", "n", "keys", "data"])
