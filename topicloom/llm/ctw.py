@@ -18,8 +18,9 @@ of a context at any depth are neighbours in sorted order. How it runs:
 3. Nodes from depth ``DEPTH`` up to ``SPLIT`` are built where their sequences lie. Depths below
    ``SPLIT`` have at most 255 nodes for each pair of bytes that occurs; their sums are aggregated and
    sent to every task.
-4. The log probabilities of sequences, and the counts of words, go back to the lots that hold them,
-   salted again, and a lot looks up its texts in what it got. No table of the whole model is sent.
+4. The log probabilities of sequences, as 32-bit numbers, and the counts of words go back to the lots
+   that hold them, salted again, in the order of the keys. A lot lists its sequences anew and looks up
+   its texts in what it got. No table of the whole model is sent.
 
 A null or empty text is the end token alone. Equal texts get equal scores, however the rows are split.
 Without training texts every decision has probability 1/2. An empty table gives an empty result. Only
@@ -50,7 +51,8 @@ END = b"\n"
 SEQUENCE, WORD = 0, 1
 SHIFT = {SEQUENCE: 32, WORD: 54}  # the key bits that name a row
 STORED = {SEQUENCE: np.dtype("<u4"), WORD: np.dtype("<u8")}  # the key bits stored in it
-COUNT, VALUE = np.dtype("<i8"), np.dtype("<f8")
+COUNT = np.dtype("<i8")
+VALUE = {SEQUENCE: np.dtype("<f4"), WORD: np.dtype("<f8")}
 
 
 def streams(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
@@ -94,6 +96,22 @@ def _binary(values: np.ndarray, starts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values))])
 
 
+def _narrow(counts: np.ndarray, cut: np.ndarray, n: np.ndarray) -> pa.Array:
+    """Counts of rows that begin at ``cut``, each row in as few bytes a count as its largest one needs."""
+    need = np.searchsorted(1 << np.arange(8, 57, 8), np.maximum.reduceat(counts, cut), "right") + 1
+    kept = np.repeat(need, n)[:, None] > np.arange(8)
+    return _binary(counts.view(np.uint8).reshape(-1, 8)[kept], np.cumsum(need * n) - need * n)
+
+
+def _counts(n: np.ndarray, column: pa.Array) -> np.ndarray:
+    """The counts of rows, one after the other."""
+    data = column.to_pylist()
+    need = np.fromiter(map(len, data), np.int64, len(data)) // n
+    out = np.zeros((int(n.sum()), 8), np.uint8)
+    out[np.repeat(need, n)[:, None] > np.arange(8)] = np.frombuffer(b"".join(data), np.uint8)
+    return out.view(COUNT).ravel()
+
+
 def _rows(kind: int, keys: np.ndarray, data: np.ndarray, most: int = 1_000_000):
     """Sorted keys and their data by row name: ``(name, keys, data, n)``, about ``most`` keys at a time."""
     name = keys >> np.uint64(SHIFT[kind])
@@ -108,7 +126,7 @@ def _rows(kind: int, keys: np.ndarray, data: np.ndarray, most: int = 1_000_000):
         n = np.diff(np.append(cut, end - begin))
         yield (
             pa.array(name[starts[low:high]].astype(np.int32)), _binary(keys[begin:end].astype(STORED[kind]), cut),
-            _binary(data[begin:end], cut), pa.array(n.astype(np.int64)),
+            _narrow(data[begin:end], cut, n) if data.dtype == COUNT else _binary(data[begin:end], cut), pa.array(n.astype(np.int64)),
         )
         low = high
 
@@ -201,7 +219,7 @@ def _wholes(kind: int, batches, limit: int):
         if not batch.num_rows:
             continue
         names, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        held.append((_keys(kind, names, n, batch.column(2)), np.frombuffer(b"".join(batch.column(3).to_pylist()), COUNT)))
+        held.append((_keys(kind, names, n, batch.column(2)), _counts(n, batch.column(3))))
         size += int(n.sum())
         if size >= most:
             keys, counts = summed([*held, (held[0][0][:0], held[0][1][:0])])
@@ -373,7 +391,7 @@ def _predict(shared):
 
     def run(batches):
         for keys, counts in _wholes(SEQUENCE, batches, PENDING // 4):
-            for name, low, data, n in _rows(SEQUENCE, keys, log_probabilities(Forest(keys, counts), shared.value)):
+            for name, low, data, n in _rows(SEQUENCE, keys, log_probabilities(Forest(keys, counts), shared.value).astype(VALUE[SEQUENCE])):
                 yield pa.RecordBatch.from_arrays([name, n, low, data], names=["name", "n", "keys", "data"])
 
     return run
@@ -383,18 +401,22 @@ def _give_back(kind: int):
     """Rows of lots with values of the model in place of counts; the model's row, without a lot, comes first."""
 
     def run(batches):
-        known, values = np.zeros(0, np.uint64), np.zeros(0)
+        known, values = np.zeros(0, np.uint64), np.zeros(0, VALUE[kind])
         for batch in batches:
             if not batch.num_rows:
                 continue
             mine = batch.column(0).is_valid()
             ours, theirs = batch.filter(pc.invert(mine)), batch.filter(mine)
-            known, values = np.concatenate([known, _row_keys(kind, ours)]), np.concatenate([values, np.frombuffer(b"".join(ours.column(4).to_pylist()), VALUE)])
+            known, values = np.concatenate([known, _row_keys(kind, ours)]), np.concatenate([values, np.frombuffer(b"".join(ours.column(4).to_pylist()), VALUE[kind])])
             if theirs.num_rows:
                 n = theirs.column(2).to_numpy()
                 found = values[np.searchsorted(known, _row_keys(kind, theirs))]
                 data = _binary(found, np.cumsum(n) - n)
-                yield pa.RecordBatch.from_arrays([theirs.column(0), pa.array([kind] * len(n), pa.int8()), *theirs.columns[1:4], data], names=["lot", "kind", "name", "n", "keys", "data"])
+                keys = theirs.column(3) if kind == WORD else pa.nulls(len(n), pa.binary())  # a lot can list its sequences itself
+                yield pa.RecordBatch.from_arrays(
+                    [theirs.column(0), pa.array([kind] * len(n), pa.int8()), theirs.column(1), theirs.column(2), keys, data],
+                    names=["lot", "kind", "name", "n", "keys", "data"],
+                )
             keep = int(np.searchsorted(known, np.uint64(batch.column(1)[-1].as_py() << SHIFT[kind])))
             known, values = known[keep:], values[keep:]
 
@@ -421,8 +443,22 @@ SCORES = "doc_id bigint, n_tokens bigint, n_known bigint, base double, score dou
 
 def _score(batches):
     """Scores of texts; the rows of a lot's values come before its texts."""
-    parts: dict[int, list] = {}
-    lot = sequences = words = known = None
+    lot, values, texts = None, {}, []
+
+    def finish():
+        if not texts:
+            return
+        listed = Lot()
+        for part in texts:
+            listed.add([split_bytes(t, lower=True) for t in part.column(2).to_pylist()], [False] * part.num_rows)
+        listed.settle()
+        sequences = summed(listed.sums)[0], np.concatenate([v for _, v in values[SEQUENCE]])
+        words = [np.concatenate(c) for c in zip(*values[WORD], strict=True)]
+        del listed
+        known: dict[bytes, float] = {}
+        for part in texts:
+            yield _score_texts(part, sequences, words, known)
+
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -431,21 +467,19 @@ def _score(batches):
         change = np.flatnonzero((np.diff(lots) != 0) | (np.diff(kinds) != 0)) + 1
         for begin, end in zip([0, *change.tolist()], [*change.tolist(), len(lots)], strict=True):
             if lots[begin] != lot:
-                lot, sequences, words, known = lots[begin], None, None, {}
-                parts = {SEQUENCE: [], WORD: []}
+                yield from finish()
+                lot, values, texts = lots[begin], {SEQUENCE: [], WORD: []}, []
             rows, kind = batch.slice(begin, end - begin), int(kinds[begin])
             if kind >= 0:
-                keys = _keys(kind, rows.column(4).to_numpy(), rows.column(7).to_numpy(), rows.column(5))
-                parts[kind].append((keys, np.frombuffer(b"".join(rows.column(6).to_pylist()), VALUE)))
-                continue
-            if sequences is None:
-                sequences, words = ([np.concatenate(c) for c in zip(*parts[k], strict=True)] for k in (SEQUENCE, WORD))
-                parts = {}
-            for part in by_rows([rows], 128):
-                yield _score_texts(part, sequences, words, known)
+                n = rows.column(7).to_numpy()
+                keys = _keys(kind, rows.column(4).to_numpy(), n, rows.column(5)) if kind == WORD else None
+                values[kind].append((keys, np.frombuffer(b"".join(rows.column(6).to_pylist()), VALUE[kind])))
+            else:
+                texts.extend(by_rows([rows], 128))
+    yield from finish()
 
 
-def _score_texts(part: pa.RecordBatch, sequences: list, words: list, known: dict[bytes, float]) -> pa.RecordBatch:
+def _score_texts(part: pa.RecordBatch, sequences: tuple, words: list, known: dict[bytes, float]) -> pa.RecordBatch:
     split = [split_bytes(t, lower=True) for t in part.column(2).to_pylist()]
     new = list(set().union(*split, [END]) - known.keys())
     if new:
@@ -505,11 +539,12 @@ def score(docs: DataFrame, train: Column, lot_bytes: int = LOT, lots_together: i
 
 def _totals(batches):
     for batch in batches:
-        counts = np.frombuffer(b"".join(batch.column(3).to_pylist()), COUNT)
+        counts = _counts(batch.column(1).to_numpy(), batch.column(3))
         yield pa.RecordBatch.from_arrays([pa.array([int((counts > 0).sum())]), pa.array([int(counts.sum())])], names=["words", "tokens"])
 
 
 def _as_values(batches):
     for batch in batches:
-        data = [np.frombuffer(b, COUNT).astype(VALUE).tobytes() for b in batch.column(3).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(data, pa.binary())], names=["name", "n", "keys", "data"])
+        n = batch.column(1).to_numpy()
+        data = _binary(_counts(n, batch.column(3)).astype(VALUE[WORD]), np.cumsum(n) - n)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], data], names=["name", "n", "keys", "data"])
