@@ -441,23 +441,56 @@ UNSEEN = float(np.log10(0.5))
 SCORES = "doc_id bigint, n_tokens bigint, n_known bigint, base double, score double, n_bytes bigint"
 
 
+class Scored:
+    """Texts of one lot: each text's sequences as places in sorted distinct ones, some millions at a time."""
+
+    def __init__(self):
+        self.rows: list[tuple[pa.RecordBatch, np.ndarray]] = []
+        self.pending: list[np.ndarray] = []
+        self.size = 0
+        self.sizes: list[np.ndarray] = []
+        self.lists: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, part: pa.RecordBatch) -> None:
+        keys, sizes = streams([split_bytes(t, lower=True) for t in part.column(2).to_pylist()])
+        self.rows.append((part, sizes))
+        self.pending.append(keys)
+        self.sizes.append(sizes)
+        self.size += len(keys)
+        if self.size >= PENDING:
+            self.settle()
+
+    def settle(self) -> None:
+        if self.pending:
+            keys, at = np.unique(np.concatenate(self.pending), return_inverse=True)
+            self.lists.append((keys, at.astype(np.int32), np.concatenate(self.sizes)))
+            self.pending, self.sizes, self.size = [], [], 0
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Each text's sum of the values, which are in the order of the lot's distinct sequences."""
+        self.settle()
+        known = np.unique(np.concatenate([k for k, _, _ in self.lists]))
+        out = []
+        for keys, at, sizes in self.lists:
+            found = values[np.searchsorted(known, keys)][at]
+            out.append(np.bincount(np.repeat(np.arange(len(sizes)), sizes), found, minlength=len(sizes)))
+        return np.concatenate(out)
+
+
 def _score(batches):
     """Scores of texts; the rows of a lot's values come before its texts."""
-    lot, values, texts = None, {}, []
+    lot, values, texts = None, {}, Scored()
 
     def finish():
-        if not texts:
+        if not texts.rows:
             return
-        listed = Lot()
-        for part in texts:
-            listed.add([split_bytes(t, lower=True) for t in part.column(2).to_pylist()], [False] * part.num_rows)
-        listed.settle()
-        sequences = summed(listed.sums)[0], np.concatenate([v for _, v in values[SEQUENCE]])
+        scores = texts.sums(np.concatenate([v for _, v in values[SEQUENCE]]))
         words = [np.concatenate(c) for c in zip(*values[WORD], strict=True)]
-        del listed
         known: dict[bytes, float] = {}
-        for part in texts:
-            yield _score_texts(part, sequences, words, known)
+        begin = 0
+        for part, sizes in texts.rows:
+            yield _score_texts(part, scores[begin:begin + len(sizes)], sizes, words, known)
+            begin += len(sizes)
 
     for batch in batches:
         if not batch.num_rows:
@@ -468,27 +501,24 @@ def _score(batches):
         for begin, end in zip([0, *change.tolist()], [*change.tolist(), len(lots)], strict=True):
             if lots[begin] != lot:
                 yield from finish()
-                lot, values, texts = lots[begin], {SEQUENCE: [], WORD: []}, []
+                lot, values, texts = lots[begin], {SEQUENCE: [], WORD: []}, Scored()
             rows, kind = batch.slice(begin, end - begin), int(kinds[begin])
             if kind >= 0:
                 n = rows.column(7).to_numpy()
                 keys = _keys(kind, rows.column(4).to_numpy(), n, rows.column(5)) if kind == WORD else None
                 values[kind].append((keys, np.frombuffer(b"".join(rows.column(6).to_pylist()), VALUE[kind])))
             else:
-                texts.extend(by_rows([rows], 128))
+                for part in by_rows([rows], 128):
+                    texts.add(part)
     yield from finish()
 
 
-def _score_texts(part: pa.RecordBatch, sequences: tuple, words: list, known: dict[bytes, float]) -> pa.RecordBatch:
+def _score_texts(part: pa.RecordBatch, scores: np.ndarray, sizes: np.ndarray, words: list, known: dict[bytes, float]) -> pa.RecordBatch:
     split = [split_bytes(t, lower=True) for t in part.column(2).to_pylist()]
     new = list(set().union(*split, [END]) - known.keys())
     if new:
         counts = words[1][np.searchsorted(words[0], np.fromiter(map(word_key, new), np.uint64, len(new)))]
         known.update(zip(new, np.log10(counts + 0.5).tolist(), strict=True))
-    keys, sizes = streams(split)
-    order = np.argsort(keys)
-    found = sequences[1][np.searchsorted(sequences[0], keys[order])]
-    score = np.bincount(np.repeat(np.arange(len(split)), sizes)[order], found, minlength=len(split))
     base, n_known = [], []
     for ws in split:
         logs = np.fromiter(map(known.__getitem__, ws), float, len(ws))
@@ -497,7 +527,7 @@ def _score_texts(part: pa.RecordBatch, sequences: tuple, words: list, known: dic
     return pa.RecordBatch.from_arrays(
         [
             part.column(1), pa.array([len(w) + 1 for w in split], pa.int64()), pa.array(n_known, pa.int64()),
-            pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.array(sizes),
+            pa.array(base, pa.float64()), pa.array(scores, pa.float64()), pa.array(sizes),
         ],
         names=["doc_id", "n_tokens", "n_known", "base", "score", "n_bytes"],
     )
