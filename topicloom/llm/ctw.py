@@ -19,8 +19,8 @@ of a context at any depth are neighbours in sorted order. How it runs:
    ``SPLIT`` have at most 255 nodes for each pair of bytes that occurs; their sums are aggregated and
    sent to every task.
 4. The log probabilities of sequences, as 32-bit numbers, and the counts of words go back to the lots
-   that hold them, salted again, in the order of the keys. A lot lists its sequences anew and looks up
-   its texts in what it got. No table of the whole model is sent.
+   that hold them, salted again, in the order of the keys. A lot lists its sequences and words anew and
+   looks up its texts in what it got. No table of the whole model is sent.
 
 A null or empty text is the end token alone. Equal texts get equal scores, however the rows are split.
 Without training texts every decision has probability 1/2. An empty table gives an empty result. Only
@@ -52,7 +52,7 @@ SEQUENCE, WORD = 0, 1
 SHIFT = {SEQUENCE: 32, WORD: 54}  # the key bits that name a row
 STORED = {SEQUENCE: np.dtype("<u4"), WORD: np.dtype("<u8")}  # the key bits stored in it
 COUNT = np.dtype("<i8")
-VALUE = {SEQUENCE: np.dtype("<f4"), WORD: np.dtype("<f8")}
+VALUE = np.dtype("<f4")
 
 
 def streams(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
@@ -391,7 +391,7 @@ def _predict(shared):
 
     def run(batches):
         for keys, counts in _wholes(SEQUENCE, batches, PENDING // 4):
-            for name, low, data, n in _rows(SEQUENCE, keys, log_probabilities(Forest(keys, counts), shared.value).astype(VALUE[SEQUENCE])):
+            for name, low, data, n in _rows(SEQUENCE, keys, log_probabilities(Forest(keys, counts), shared.value).astype(VALUE)):
                 yield pa.RecordBatch.from_arrays([name, n, low, data], names=["name", "n", "keys", "data"])
 
     return run
@@ -401,21 +401,21 @@ def _give_back(kind: int):
     """Rows of lots with values of the model in place of counts; the model's row, without a lot, comes first."""
 
     def run(batches):
-        known, values = np.zeros(0, np.uint64), np.zeros(0, VALUE[kind])
+        known, values = np.zeros(0, np.uint64), _read(kind, np.zeros(0, np.int64), pa.array([], pa.binary()))
         for batch in batches:
             if not batch.num_rows:
                 continue
             mine = batch.column(0).is_valid()
             ours, theirs = batch.filter(pc.invert(mine)), batch.filter(mine)
-            known, values = np.concatenate([known, _row_keys(kind, ours)]), np.concatenate([values, np.frombuffer(b"".join(ours.column(4).to_pylist()), VALUE[kind])])
+            known = np.concatenate([known, _row_keys(kind, ours)])
+            values = np.concatenate([values, _read(kind, ours.column(2).to_numpy(), ours.column(4))])
             if theirs.num_rows:
                 n = theirs.column(2).to_numpy()
-                found = values[np.searchsorted(known, _row_keys(kind, theirs))]
-                data = _binary(found, np.cumsum(n) - n)
-                keys = theirs.column(3) if kind == WORD else pa.nulls(len(n), pa.binary())  # a lot can list its sequences itself
+                found, cut = values[np.searchsorted(known, _row_keys(kind, theirs))], np.cumsum(n) - n
+                data = _narrow(found, cut, n) if kind == WORD else _binary(found, cut)
                 yield pa.RecordBatch.from_arrays(
-                    [theirs.column(0), pa.array([kind] * len(n), pa.int8()), theirs.column(1), theirs.column(2), keys, data],
-                    names=["lot", "kind", "name", "n", "keys", "data"],
+                    [theirs.column(0), pa.array([kind] * len(n), pa.int8()), theirs.column(1), theirs.column(2), data],
+                    names=["lot", "kind", "name", "n", "data"],
                 )
             keep = int(np.searchsorted(known, np.uint64(batch.column(1)[-1].as_py() << SHIFT[kind])))
             known, values = known[keep:], values[keep:]
@@ -423,18 +423,23 @@ def _give_back(kind: int):
     return run
 
 
+def _read(kind: int, n: np.ndarray, column: pa.Array) -> np.ndarray:
+    """Values of rows, one after the other: counts of words, log10 probabilities of sequences."""
+    return _counts(n, column) if kind == WORD else np.frombuffer(b"".join(column.to_pylist()), VALUE)
+
+
 def _row_keys(kind: int, batch: pa.RecordBatch) -> np.ndarray:
     return _keys(kind, batch.column(1).to_numpy(), batch.column(2).to_numpy(), batch.column(3))
 
 
 def _given(kind: int, lots: DataFrame, values: DataFrame, parts: int, salts: int) -> DataFrame:
-    """``(lot, kind, name, n, keys, data)`` with the values that the lots' texts need."""
+    """``(lot, kind, name, n, data)`` with the values that the lots' texts need, in the order of their keys."""
     each = values.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).select(
         F.lit(None).cast("bigint").alias("lot"), "name", "n", "keys", "data", "salt"
     )
     asked = lots.where(F.col("kind") == kind).select("lot", "name", "n", "keys", F.lit(None).cast("binary").alias("data"), F.pmod(F.hash("lot"), F.lit(salts)).alias("salt"))
     dealt = each.unionByName(asked).repartition(parts * salts, "name", "salt").sortWithinPartitions("name", F.col("lot").asc_nulls_first())
-    return dealt.drop("salt").mapInArrow(_give_back(kind), "lot bigint, kind tinyint, name int, n bigint, keys binary, data binary")
+    return dealt.drop("salt").mapInArrow(_give_back(kind), "lot bigint, kind tinyint, name int, n bigint, data binary")
 
 
 UNSEEN = float(np.log10(0.5))
@@ -446,13 +451,16 @@ class Scored:
 
     def __init__(self):
         self.rows: list[tuple[pa.RecordBatch, np.ndarray]] = []
+        self.words = {END}
         self.pending: list[np.ndarray] = []
         self.size = 0
         self.sizes: list[np.ndarray] = []
         self.lists: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def add(self, part: pa.RecordBatch) -> None:
-        keys, sizes = streams([split_bytes(t, lower=True) for t in part.column(2).to_pylist()])
+        split = [split_bytes(t, lower=True) for t in part.column(2).to_pylist()]
+        self.words.update(*split)
+        keys, sizes = streams(split)
         self.rows.append((part, sizes))
         self.pending.append(keys)
         self.sizes.append(sizes)
@@ -476,6 +484,14 @@ class Scored:
             out.append(np.bincount(np.repeat(np.arange(len(sizes)), sizes), found, minlength=len(sizes)))
         return np.concatenate(out)
 
+    def known(self, counts: np.ndarray) -> dict[bytes, float]:
+        """The logarithm for each word; the counts are in the order of the words' keys."""
+        words = list(self.words)
+        order = np.argsort(np.fromiter(map(word_key, words), np.uint64, len(words)))
+        logs = np.empty(len(words))
+        logs[order] = np.log10(counts + 0.5)
+        return dict(zip(words, logs.tolist(), strict=True))
+
 
 def _score(batches):
     """Scores of texts; the rows of a lot's values come before its texts."""
@@ -484,12 +500,10 @@ def _score(batches):
     def finish():
         if not texts.rows:
             return
-        scores = texts.sums(np.concatenate([v for _, v in values[SEQUENCE]]))
-        words = [np.concatenate(c) for c in zip(*values[WORD], strict=True)]
-        known: dict[bytes, float] = {}
+        scores, known = texts.sums(np.concatenate(values[SEQUENCE])), texts.known(np.concatenate(values[WORD]))
         begin = 0
         for part, sizes in texts.rows:
-            yield _score_texts(part, scores[begin:begin + len(sizes)], sizes, words, known)
+            yield _score_texts(part, scores[begin:begin + len(sizes)], sizes, known)
             begin += len(sizes)
 
     for batch in batches:
@@ -504,21 +518,15 @@ def _score(batches):
                 lot, values, texts = lots[begin], {SEQUENCE: [], WORD: []}, Scored()
             rows, kind = batch.slice(begin, end - begin), int(kinds[begin])
             if kind >= 0:
-                n = rows.column(7).to_numpy()
-                keys = _keys(kind, rows.column(4).to_numpy(), n, rows.column(5)) if kind == WORD else None
-                values[kind].append((keys, np.frombuffer(b"".join(rows.column(6).to_pylist()), VALUE[kind])))
+                values[kind].append(_read(kind, rows.column(7).to_numpy(), rows.column(6)))
             else:
                 for part in by_rows([rows], 128):
                     texts.add(part)
     yield from finish()
 
 
-def _score_texts(part: pa.RecordBatch, scores: np.ndarray, sizes: np.ndarray, words: list, known: dict[bytes, float]) -> pa.RecordBatch:
+def _score_texts(part: pa.RecordBatch, scores: np.ndarray, sizes: np.ndarray, known: dict[bytes, float]) -> pa.RecordBatch:
     split = [split_bytes(t, lower=True) for t in part.column(2).to_pylist()]
-    new = list(set().union(*split, [END]) - known.keys())
-    if new:
-        counts = words[1][np.searchsorted(words[0], np.fromiter(map(word_key, new), np.uint64, len(new)))]
-        known.update(zip(new, np.log10(counts + 0.5).tolist(), strict=True))
     base, n_known = [], []
     for ws in split:
         logs = np.fromiter(map(known.__getitem__, ws), float, len(ws))
@@ -550,10 +558,7 @@ def score(docs: DataFrame, train: Column, lot_bytes: int = LOT, lots_together: i
     sums = model.mapInArrow(_upper_sums, "node bigint, n0 double, n1 double, below double")
     up = sums.groupBy("node").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "below")]).toArrow()
     top = _top(up["node"].to_numpy().view(np.uint64), *[up[c].to_numpy() for c in ("n0", "n1", "below")])
-    values = {
-        SEQUENCE: model.mapInArrow(_predict(spark.sparkContext.broadcast(top)), VALUES),
-        WORD: words.mapInArrow(_as_values, VALUES),
-    }
+    values = {SEQUENCE: model.mapInArrow(_predict(spark.sparkContext.broadcast(top)), VALUES), WORD: words}
     held = lots.where("kind is null")
     for k in (SEQUENCE, WORD):
         held = held.unionByName(_given(k, lots, values[k], parts[k], salts), allowMissingColumns=True)
@@ -571,10 +576,3 @@ def _totals(batches):
     for batch in batches:
         counts = _counts(batch.column(1).to_numpy(), batch.column(3))
         yield pa.RecordBatch.from_arrays([pa.array([int((counts > 0).sum())]), pa.array([int(counts.sum())])], names=["words", "tokens"])
-
-
-def _as_values(batches):
-    for batch in batches:
-        n = batch.column(1).to_numpy()
-        data = _binary(_counts(n, batch.column(3)).astype(VALUE[WORD]), np.cumsum(n) - n)
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], data], names=["name", "n", "keys", "data"])
