@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -82,6 +84,17 @@ def by_rows(batches: Iterable[pa.RecordBatch], step: int = ROWS) -> Iterator[pa.
             yield batch.slice(start, step)
 
 
+def by_bytes(batches: Iterable[pa.RecordBatch], column: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut where the text of a column reaches a number of bytes; a longer text is a batch by itself."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        start, before = 0, 0
+        while start < batch.num_rows:
+            stop = max(start + 1, int(np.searchsorted(ends, before + limit, "right")))
+            yield batch.slice(start, stop - start)
+            start, before = stop, int(ends[stop - 1])
+
+
 def per_document(docs: DataFrame, make: Callable[[], Callable[[list, list], list]], schema: str) -> DataFrame:
     """Map ``(doc_id, text)`` rows: ``make()`` runs once per task and gives a function from the ids
     and texts of a few rows to the columns of ``schema``, in order."""

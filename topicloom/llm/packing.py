@@ -18,20 +18,26 @@ go by position in the shard. An empty table gives no pieces. Only the named colu
 from __future__ import annotations
 
 import os
+import string
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_rows, split_bytes, stored
+from .common import by_bytes, by_rows, stored
 
 WINDOW = 4096
 SHARD_TOKENS = 1 << 19
 K1, B = 1.2, 0.75
 REMEMBERED = 1_200_000
+TEXT_BYTES = 1 << 23
+#: Small Latin letters that normalizing leaves as they are, and the ASCII marks, which never compose with a letter before them.
+PLAIN = "^[a-zß-öø-ÿ]+$"
+MARKS = string.punctuation
 PIECES = pa.schema([
     ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()),
     ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary()),
@@ -39,67 +45,93 @@ PIECES = pa.schema([
 
 
 class WordIds:
-    """Identifiers of a text, word by word: the tokenizer drops white space and never joins words.
-
-    ``encode`` gives the bytes of the identifiers in ``dtype``; those of words seen before are
-    remembered. The tokenizer folds case and parts letters from punctuation, so a new word is first
-    looked up without its capitals and its last full stop or comma. New words of letters alone are
-    encoded as one text: each ends with the one identifier of it that closes a word.
+    """Identifiers of texts, word by word: the tokenizer drops white space and never joins words.
+
+    Arrow splits many texts at once and numbers their distinct words; Python looks at each distinct
+    word once, and identifiers go back to the texts by position. ``encode`` gives the bytes of each
+    text's identifiers in ``dtype``; words seen before are remembered. The tokenizer folds case and
+    parts letters from punctuation, so capitals and the marks that end a word are taken off first.
+    Words of plain letters, which its normalizer leaves as they are, are encoded as one text without
+    that normalizer: each ends with the one identifier of it that closes a word.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.letters = Tokenizer.from_file(path)
+        self.letters.normalizer = None
+        byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), byte_level])
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.vocabulary <= 1 << 16 else "<u4")
         self.closes = np.zeros(self.vocabulary, bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.closes[i] = token.endswith("</w>")
-        self.known: dict[bytes, bytes] = {}
-        self.marks = {m: self._bytes(self._each([m.decode()])[0]) for m in (b".", b",")}
-
-    def _each(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _bytes(self, ids) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
-
-    def _learn(self, words: list[bytes]) -> None:
-        texts = [w.decode("utf-8", "replace") for w in words]
-        plain = [k for k, t in enumerate(texts) if t.isalpha()]
-        odd = [k for k, t in enumerate(texts) if not t.isalpha()]
-        if plain:
-            ids = np.array(self._each([" ".join(texts[k] for k in plain)])[0], self.dtype)
-            ends = np.flatnonzero(self.closes[ids]) + 1
-            if len(ends) == len(plain) and ends[-1] == len(ids):
-                starts = [0, *ends[:-1].tolist()]
-                self.known.update((words[k], ids[i:j].tobytes()) for k, i, j in zip(plain, starts, ends.tolist(), strict=True))
-            else:
-                odd += plain
-        self.known.update((words[k], self._bytes(ids)) for k, ids in zip(odd, self._each([texts[k] for k in odd]), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [split_bytes(t) for t in texts]
+        self.known: dict[str, bytes] = {}
+
+    def _learn_plain(self, words: list[str]) -> list[str]:
+        """Learn words of plain letters; those that could not be told apart are given back."""
+        if not words:
+            return []
+        ids = np.array(self.letters.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.dtype)
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        if len(ends) != len(words) or ends[-1] != len(ids):
+            return words
+        body, ends = ids.tobytes(), (ends * self.dtype.itemsize).tolist()
+        self.known.update(zip(words, map(body.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+        return []
+
+    def _learn(self, words: list[str]) -> None:
+        found = pa.array(words, pa.large_string())
+        plain = pc.match_substring_regex(found, PLAIN)
+        odd = found.filter(pc.invert(plain)).to_pylist() + self._learn_plain(found.filter(plain).to_pylist())
+        for word, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
+            self.known[word] = np.array(e.ids, self.dtype).tobytes()
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Identifiers of distinct words."""
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
         parts = {}
-        for w in set().union(*split):
-            if w in known:
-                continue
-            stem, mark = w, None
-            if b"<|" not in w:  # special tokens are matched with their case
-                stem = w.lower()
-                if stem[-1:] in self.marks and stem[-2:-1].isalpha():
-                    stem, mark = stem[:-1], stem[-1:]
-            parts[w] = stem, mark
-        self._learn([stem for stem in {stem for stem, _ in parts.values()} if stem not in known])
-        for w, (stem, mark) in parts.items():
-            if mark or w != stem:
-                known[w] = known[stem] + (self.marks[mark] if mark else b"")
-        return [b"".join(map(known.__getitem__, ws)) for ws in split]
+        for w in words:
+            if w not in known:
+                stem = w.rstrip(MARKS)
+                parts[w] = stem if stem and stem[-1].lower().isalpha() and "<|" not in w else w
+        tails = {w[len(stem):] for w, stem in parts.items() if len(w) > len(stem)}
+        self._learn([w for w in {*parts.values(), *tails} if w not in known])
+        for w, stem in parts.items():
+            if len(w) > len(stem):
+                known[w] = known[stem] + known[w[len(stem):]]
+        return list(map(known.__getitem__, words))
+
+    def _folded(self, texts: pa.Array) -> pa.Array:
+        """Without capitals A-Z, but for texts that may hold special tokens, which are matched with their
+        case, or marks that compose with a small letter alone."""
+        keep = pc.match_substring(texts, "<|")
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+        if ((data & 0xFE) == 0xCC).any():  # first bytes of U+0300 to U+037F
+            keep = pc.or_(keep, pc.match_substring_regex(texts, "[\u0300-\u036f]"))
+        return pc.if_else(keep, texts, pc.ascii_lower(texts))
+
+    def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
+        if isinstance(texts, list):
+            texts = pa.array(texts, pa.large_string())
+        # A copy, as lower-casing misreads arrays that start inside a buffer.
+        split = pc.ascii_split_whitespace(self._folded(texts.take(np.arange(len(texts))).cast(pa.large_string())))
+        coded = split.flatten().dictionary_encode()
+        ids = self._words(coded.dictionary.to_pylist())
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
+        first = size.cumsum() - size
+        ids = np.frombuffer(b"".join(ids), self.dtype)
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        long = size[at]
+        ends = long.cumsum()
+        body = ids[np.repeat(first[at] - ends + long, long) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        cuts = np.concatenate(([0], ends))[split.offsets.to_numpy() - split.offsets[0].as_py()] * self.dtype.itemsize
+        return [body[i:j] for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -123,10 +155,11 @@ def tokenize(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         end = np.array([end_id], words.dtype).tobytes()
         seen = np.zeros(words.vocabulary, np.int64)
         ranks = [_mix(np.arange(words.vocabulary), s).astype(np.uint32) for s in range(4)]
-        for part in by_rows(batches):
+        for part in by_bytes(batches, 1, TEXT_BYTES):
             rows = []
-            for body in words.encode(part.column(1).to_pylist()):
-                ids = np.unique(np.frombuffer(body, words.dtype))
+            for body in words.encode(part.column(1)):
+                ids = np.sort(np.frombuffer(body, words.dtype), kind="stable")
+                ids = ids[np.concatenate(([True], ids[1:] != ids[:-1]))] if len(ids) else ids
                 seen[ids] += 1
                 sketch = 0
                 for rank in ranks:
