@@ -115,5 +115,7 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation.report(conversation.damage(rows), rows)
 
 
+SQL["op6_quality_rules"] = twins.RULES
+SQL["op7_minmax_near_duplicates"] = twins.NEAR
 SQL["op11_butterfly_manifest"] = twins.MANIFEST
 SQL["op13_conversation_repair"] = twins.REPAIR

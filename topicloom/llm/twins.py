@@ -125,3 +125,65 @@ SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coales
        coalesce(illegal, 0) AS illegal, CAST(coalesce(k.now[1], 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(lines, '')) AS repaired_sha256
 FROM ids i LEFT JOIN facts f ON f.c = i.c LEFT JOIN costs k ON k.c = i.c AND k.pos = 0 LEFT JOIN (SELECT * FROM walk WHERE over) w ON w.c = i.c
 """
+
+_WORD = r"'[^\x20\x09-\x0D]+'"
+
+
+def _dropped(pattern: str) -> str:
+    """SQL for the number of characters of one class."""
+    return f"length(text) - length(regexp_replace(text, '{pattern}', '', 'g'))"
+
+
+#: Windows of five words, found by a look ahead; words under a window that occurs twice are counted once.
+RULES = f"""
+WITH docs AS (
+    SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+parts AS (
+    SELECT r, doc_id, text, regexp_extract_all(text, {_WORD}) AS words,
+           list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, {_WORD})) AS lines FROM docs),
+placed AS (
+    SELECT r, unnest(words) AS w, unnest(range(len(words))) AS pos FROM parts),
+windows AS (
+    SELECT r, pos, [w, lead(w, 1) OVER d, lead(w, 2) OVER d, lead(w, 3) OVER d, lead(w, 4) OVER d] AS five FROM placed
+    WINDOW d AS (PARTITION BY r ORDER BY pos)),
+found AS (
+    SELECT r, pos FROM windows WHERE five[5] IS NOT NULL QUALIFY count(*) OVER (PARTITION BY r, five) > 1),
+covered AS (
+    SELECT r, count(DISTINCT place) AS n FROM (SELECT r, unnest(range(pos, pos + 5)) AS place FROM found) GROUP BY r),
+measures AS (
+    SELECT doc_id, len(words) AS n_words, length(regexp_replace(text, '{SPACE_CLASS}+', '', 'g')) AS word_chars,
+           {_dropped("[#*$%&|<>]")} AS n_symbols, len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+           coalesce(n, 0) AS n_repeat_words, {_dropped("!")} AS n_exclamations, {_dropped("[A-Z]")} AS n_capitals
+    FROM parts LEFT JOIN covered USING (r)),
+base AS (
+    SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM measures)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR 10 * n_symbols > n_words OR 10 * n_dup_lines > 3 * n_lines OR word_chars < 2 * n_words OR word_chars > 15 * n_words
+            OR 10 * n_exclamations > n_words OR 2 * n_capitals > word_chars) AS kept
+FROM base
+"""
+
+#: Every two sets that share a shingle are compared, sets that are equal once; then labels spread until none changes.
+NEAR = f"""
+WITH RECURSIVE cut AS (
+    SELECT doc_id, regexp_extract_all({_LOW.replace("text", "coalesce(text, '')")}, {_WORD}) AS w FROM documents),
+shingles AS (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]]
+                        ELSE list_sort(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) END AS s FROM cut),
+known AS (
+    SELECT doc_id, len(s) AS n, CASE WHEN len(s) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY s) END AS class_id, s FROM shingles),
+classes AS (
+    SELECT class_id, n, unnest(s) AS shingle FROM known WHERE class_id = doc_id),
+links AS (
+    SELECT a.class_id AS a, b.class_id AS b FROM classes a JOIN classes b USING (shingle)
+    WHERE a.class_id <> b.class_id AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)
+    GROUP BY a.class_id, b.class_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach AS (
+    SELECT class_id AS a, class_id AS label FROM known
+    UNION
+    SELECT l.b, r.label FROM reach r JOIN links l ON l.a = r.a),
+labels AS (
+    SELECT a, min(label) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept, class_id
+FROM known JOIN labels ON a = class_id
+"""
