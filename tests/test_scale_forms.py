@@ -7,7 +7,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from topicloom.operators import ancestry, graph, lookup, output, series, sketches, summary
+from topicloom.operators import ancestry, graph, joins, lookup, output, series, sketches, summary
 from topicloom.sources import readers
 
 
@@ -239,3 +239,20 @@ def test_fields_of_nodes_of_any_form(spark):
     df = spark.createDataFrame([('{"name": "x", "group": 1, "o": {"p": 1}}',), ('{"name": "y", "group": 2.5, "we ird": null}',), ("[1]",), ("no json",), (None,)], "node string")
     got = {r.field: r.type for r in graph.field_types(df, "node").collect()}
     assert set(got) == {"name", "group", "o", "we ird"} and got["name"] == "STRING" and got["o"] == "OBJECT<p: BIGINT>" and got["group"].startswith("DECIMAL")
+
+
+def test_names_of_a_column_are_bounded(spark):
+    df = spark.createDataFrame([("b",), ("a",), (None,), ("a",)], "k string")
+    assert output.names_of(df, "k") == ["a", "b"]
+    assert output.names_of(df.limit(0), "k") == []
+    with pytest.raises(ValueError, match="long form"):
+        output.names_of(df, "k", limit=1)
+
+
+def test_keyed_diff_by_several_keys(spark):
+    rows = spark.createDataFrame([(0, "a", 1), (0, "b", 2), (1, "b", 3), (2, "c", 4)], "topic long, word string, weight long")
+    out = joins.keyed_diff(rows, rows.withColumn("topic", F.col("topic") - 1), ["topic", "word"], "weight")
+    assert sorted(map(tuple, out.select("topic", "word", "old_value", "new_value", "status").collect()), key=repr) == sorted([
+        (-1, "a", None, 1, "added"), (-1, "b", None, 2, "added"), (0, "a", 1, None, "removed"), (0, "b", 2, 3, "kept"),
+        (1, "b", 3, None, "removed"), (1, "c", None, 4, "added"), (2, "c", 4, None, "removed"),
+    ], key=repr)

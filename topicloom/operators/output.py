@@ -9,6 +9,18 @@ from ..session import materialise
 from .scan import HOT_ROWS, row_number
 
 POINTS = 100_000
+NAMES = 1_000
+
+
+def names_of(df: DataFrame, column: str, limit: int = NAMES) -> list:
+    """Distinct non-null values of a column, in order, for what makes a column of each of them.
+
+    At most ``limit`` reach the driver; with more the long form is the right one, and this is an error.
+    """
+    found = df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column).limit(limit + 1).collect()
+    if len(found) > limit:
+        raise ValueError(f"{column} has more than {limit} values; use the long form")
+    return [r[0] for r in found]
 
 
 def unpivot(df: DataFrame, x: str, cols: list[str]) -> DataFrame:

@@ -262,14 +262,15 @@ def s_tuples_wide(spark, sf):
 
 _MATRIX = with_("cluster_topic", """
     , rows AS (SELECT topic, dense_rank() OVER (ORDER BY topic) - 1 AS n FROM (SELECT DISTINCT topic FROM cluster_topic)),
-    cols AS (SELECT * FROM (VALUES (0, 'de'), (1, 'en'), (2, 'es'), (3, 'fr')) v(col, cluster))
+    cols AS (SELECT cluster, dense_rank() OVER (ORDER BY cluster) - 1 AS col FROM (SELECT DISTINCT cluster FROM cluster_topic WHERE cluster IS NOT NULL))
     SELECT r.{row} AS row, CAST(c.col AS INTEGER) AS col, coalesce(t.weight, 0.0) AS value
     FROM rows r CROSS JOIN cols c LEFT JOIN cluster_topic t ON t.topic = r.topic AND t.cluster = c.cluster""")
 
 
 def _dense(spark, sf):
-    wide = c.cluster_topic(spark, sf).groupBy("topic").pivot("cluster", ["de", "en", "es", "fr"]).agg(F.first("weight"))
-    cells = [F.coalesce(n, F.lit(0.0)).cast("string") for n in ("de", "en", "es", "fr")]
+    clusters = output.names_of(table(spark, sf, "documents"), "lang")
+    wide = c.cluster_topic(spark, sf).groupBy("topic").pivot("cluster", clusters).agg(F.first("weight"))
+    cells = [F.coalesce(F.col(f"`{n}`"), F.lit(0.0)).cast("string") for n in clusters]
     return wide.select("topic", F.concat_ws(",", *cells).alias("cells"))
 
 
@@ -367,15 +368,17 @@ DAYS = [c.DAY0 + i for i in range(30)]
 
 @query("k06_transpose", with_("ev", "SELECT key, " + ", ".join(f"max(CASE WHEN x = {d} THEN y END) AS d{d}" for d in DAYS) + " FROM ev GROUP BY key"))
 def k_transpose(spark, sf):
-    wide = c.event_series(spark, sf).groupBy("x").pivot("key", c.TYPES).agg(F.first("y"))
-    out = output.transpose(wide, "x", c.TYPES, DAYS)
+    types = output.names_of(table(spark, sf, "events"), "event_type")
+    wide = c.event_series(spark, sf).groupBy("x").pivot("key", types).agg(F.first("y"))
+    out = output.transpose(wide, "x", types, DAYS)
     return out.select("key", *[F.col(str(d)).alias(f"d{d}") for d in DAYS])
 
 
 @query("k06_transpose_long", with_("ev", "SELECT x, key, y FROM ev"))
 def k_transpose_long(spark, sf):
-    wide = c.event_series(spark, sf).groupBy("x").pivot("key", c.TYPES).agg(F.first("y"))
-    return output.transpose(wide, "x", c.TYPES).where(F.col("y").isNotNull())
+    types = output.names_of(table(spark, sf, "events"), "event_type")
+    wide = c.event_series(spark, sf).groupBy("x").pivot("key", types).agg(F.first("y"))
+    return output.transpose(wide, "x", types).where(F.col("y").isNotNull())
 
 
 @query("k08_peek", "SELECT event_id, event_type FROM events ORDER BY event_id LIMIT 20")

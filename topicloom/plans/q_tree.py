@@ -337,10 +337,12 @@ def o_groups(spark, sf):
     return rounded(graph.group_sums(p_threshold(spark, sf)), ["value"])
 
 
-@query("k07_matrix_long", with_("ev", f"SELECT CAST(x AS BIGINT) AS i, series_idx AS j, y AS sim FROM ev"))
+@query("k07_matrix_long", with_("ev", """
+    SELECT CAST(x AS BIGINT) AS i, CAST(dense_rank() OVER (ORDER BY key) - 1 AS INTEGER) AS j, y AS sim FROM ev WHERE key IS NOT NULL"""))
 def k_matrix(spark, sf):
-    wide = c.event_series(spark, sf).groupBy("x").pivot("key", c.TYPES).agg(F.first("y"))
-    return graph.matrix_long(wide, "x", c.TYPES).where(F.col("sim").isNotNull())
+    types = output.names_of(table(spark, sf, "events"), "event_type")
+    wide = c.event_series(spark, sf).groupBy("x").pivot("key", types).agg(F.first("y"))
+    return graph.matrix_long(wide, "x", types).where(F.col("sim").isNotNull())
 
 
 @query("a17_field_set", """
@@ -374,14 +376,11 @@ def f_width(spark, sf):
     return links.select(F.col("o_custkey").alias("source"), F.col("o_orderstatus").alias("target"), rnd(link_width(F.col("value")), 9).alias("width"))
 
 
-_WORD = "SELECT word, weight FROM words WHERE topic = {}"
-
-
-@query("j09_keyed_diff", with_("words", f"""
-    SELECT coalesce(o.word, n.word) AS word, o.weight AS old_value, n.weight AS new_value,
+@query("j09_keyed_diff", with_("words", """
+    SELECT coalesce(o.topic, n.topic - 1) AS topic, coalesce(o.word, n.word) AS word, o.weight AS old_value, n.weight AS new_value,
            CASE WHEN o.word IS NULL THEN 'added' WHEN n.word IS NULL THEN 'removed' ELSE 'kept' END AS status
-    FROM ({_WORD.format(0)}) o FULL JOIN ({_WORD.format(1)}) n ON o.word = n.word"""))
+    FROM words o FULL JOIN words n ON o.topic = n.topic - 1 AND o.word = n.word"""))
 def j_diff(spark, sf):
-    words = c.source_words(spark, sf)
-    old, new = (words.where(F.col("topic") == t) for t in (0, 1))
-    return joins.keyed_diff(old, new, ["word"], "weight")
+    """Every topic against the next one."""
+    old = materialise(c.source_words(spark, sf), "words")
+    return joins.keyed_diff(old, old.withColumn("topic", F.col("topic") - 1), ["topic", "word"], "weight")
