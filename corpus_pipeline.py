@@ -19,6 +19,7 @@ from topicloom.llm.queries import tokenizer
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 PLACE = ["_metadata.file_path AS __file", "_metadata.row_index AS __row"]
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
+REMEMBERED = 400_000  # words; executors have grown in the stages before
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +61,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of at most 4096 tokens."""
-    return packing.pack(texts(docs), tokenizer(TOKENIZER), END_ID)
+    return packing.pack(texts(docs), tokenizer(TOKENIZER), END_ID, remembered=REMEMBERED)
 
 
 STAGES = [

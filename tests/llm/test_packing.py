@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from topicloom.llm import packing
-from topicloom.llm.common import texts
+from topicloom.llm.common import only_memory, texts
 
 PATH = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
 ALPHABET = "aZé漢ſ İΣ.,,'’s t\t\n\x0b1½<|endoftext|>Ǻ🙂 !"
@@ -22,6 +22,24 @@ def test_words_give_the_identifiers_of_whole_texts():
         assert words.encode(part) == want
 
 
+def test_fewer_remembered_words_give_the_same_identifiers():
+    few, many = packing.WordIds(PATH), packing.WordIds(PATH)
+    few.remembered = 5
+    for start in range(0, 400, 50):
+        assert few.encode(ODD[start:start + 50]) == many.encode(ODD[start:start + 50])
+    assert len(few.known) < len(many.known)
+
+
+def test_a_worker_keeps_the_memory_of_one_operator():
+    first, second = {}, {}
+    only_memory(first)
+    first["a"] = 1
+    only_memory(first)
+    assert first == {"a": 1}
+    only_memory(second)
+    assert first == {}
+
+
 @pytest.mark.parametrize("shard_tokens", [300, 1 << 19])
 def test_pieces_hold_each_identifier_once(spark, shard_tokens):
     rows = [(i, t, "x", i) for i, t in enumerate(ODD[:150])] + [(200, None, "y", 0), (None, "the end of it", None, 1), (7, ODD[7], "x", 7)]

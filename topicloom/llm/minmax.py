@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, by_rows, small, split_bytes, stored
+from .common import WordHash, by_rows, only_memory, small, split_bytes, stored
 from .graph import components
 
 BANDS, ROWS = 48, 6
@@ -88,6 +88,7 @@ def band_keys(ends: np.ndarray) -> np.ndarray:
 
 def _sign(width: int):
     def run(batches):
+        only_memory(_WORDS)
         for part in by_rows(batches):
             sizes, digests, bands = [], [], []
             for text in part.column(1).to_pylist():
@@ -109,6 +110,7 @@ def _confirm(width: int, percent: int):
     """Rows ``(a, part, b, text)``, sorted, so that the text of ``a`` (``b`` null) comes before those it is compared with."""
 
     def run(batches):
+        only_memory(_WORDS)
         head = None
         for part in by_rows(batches, 64):
             keep = []
@@ -164,6 +166,7 @@ def parity(shingles: np.ndarray) -> np.ndarray:
 
 def _sets(width: int):
     def run(batches):
+        only_memory(_WORDS)
         for part in by_rows(batches):
             sets = [shingle_set(t, width) for t in part.column(1).to_pylist()]
             bits = [parity(x).tolist() for x in sets]

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, by_rows, stored
+from .common import by_bytes, by_rows, only_memory, stored
 
 WINDOW = 4096
 SHARD_TOKENS = 1 << 19
@@ -70,6 +70,7 @@ class WordIds:
         for token, i in self.tokenizer.get_vocab().items():
             self.closes[i] = token.endswith("</w>")
         self.known: dict[str, bytes] = {}
+        self.remembered = REMEMBERED
 
     def _learn_plain(self, words: list[str]) -> list[str]:
         """Learn words of plain letters; those that could not be told apart are given back."""
@@ -93,7 +94,7 @@ class WordIds:
     def _words(self, words: list[str]) -> list[bytes]:
         """Identifiers of distinct words."""
         known = self.known
-        if len(known) > REMEMBERED:
+        if len(known) > self.remembered:
             known.clear()
         parts = {}
         for w in words:
@@ -146,12 +147,14 @@ def _mix(x: np.ndarray, seed: int) -> np.ndarray:
     return x * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)
 
 
-def tokenize(docs: DataFrame, path: str, end_id: int) -> DataFrame:
+def tokenize(docs: DataFrame, path: str, end_id: int, remembered: int = REMEMBERED) -> DataFrame:
     """``(doc_id, n, sketch, ids, df)``: one row per document, and from each task one row of which
     only ``df`` is set: the number of its documents that hold each identifier."""
 
     def run(batches):
         words = word_ids(path)
+        words.remembered = remembered
+        only_memory(words.known)
         end = np.array([end_id], words.dtype).tobytes()
         seen = np.zeros(words.vocabulary, np.int64)
         ranks = [_mix(np.arange(words.vocabulary), s).astype(np.uint32) for s in range(4)]
@@ -270,11 +273,12 @@ def _cut_tail(pieces: list, sequence: int, total: int) -> list:
     return head
 
 
-def pack(docs: DataFrame, path: str, end_id: int, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+def pack(docs: DataFrame, path: str, end_id: int, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS, remembered: int = REMEMBERED) -> DataFrame:
     """Pieces of all ``docs`` (``doc_id``, non-null ``text``), with their identifiers as little-endian
-    32-bit numbers: ``(doc_id, start, length, doc_tokens, sequence_id, offset, ids)``."""
+    32-bit numbers: ``(doc_id, start, length, doc_tokens, sequence_id, offset, ids)``. ``remembered``
+    bounds the words that a Python worker remembers; fewer take less memory and more time."""
     words = WordIds(path)
-    tokens = stored(tokenize(docs, path, end_id), "tokens")
+    tokens = stored(tokenize(docs, path, end_id, remembered), "tokens")
     rows = tokens.where("df is null")
     n_docs, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     df = document_frequencies(tokens, words.vocabulary)
@@ -285,6 +289,7 @@ def pack(docs: DataFrame, path: str, end_id: int, window: int = WINDOW, shard_to
     def run(batches):
         base = TaskContext.get().partitionId() << 32
         held, size = [], 0
+        only_memory({})  # no word is looked up any more
 
         def flush():
             nonlocal base
