@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from topicloom.operators import graph, shares
+from topicloom.operators import graph, scan, shares
 from topicloom.operators.scan import Running, ordered_scan, row_number
 
 
@@ -81,3 +81,14 @@ def test_null_weights(spark):
     edges = df.select(F.lit(0).alias("i"), F.col("id").alias("j"), F.col("w").alias("sim"))
     both = [graph.rank_edges(edges, hot_rows=h).select("j", "rank").collect() for h in (60, None)]
     assert sorted(both[0]) == sorted(both[1])
+
+
+def test_ranges_do_not_grow_with_the_rows(rows, monkeypatch):
+    """Each range puts sampled rows and a task's result on the driver."""
+    monkeypatch.setattr(scan, "MOST_RANGES", 6)
+    keyed = rows.withColumns({"__v_n": F.lit(1), "__o0": F.col("x"), "__o1": F.col("id")})
+    blocks = scan._blocks(keyed, ["k"], ["__o0", "__o1"], {"n": Running("sum", F.lit(1))}, 10)
+    assert 1 < blocks.select(scan.BLOCK).distinct().count() <= 6
+    split = ordered_scan(rows, ["k"], ["x", "id"], frames(), hot_rows=10)
+    plain = ordered_scan(rows, ["k"], ["x", "id"], frames(), hot_rows=None)
+    assert sorted(map(repr, split.collect())) == sorted(map(repr, plain.collect()))

@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from ..session import materialise
 
 HOT_ROWS = 4_000_000
+#: Ranges in all. Each puts sampled rows, a task's result and a file's name on the driver, so beyond this blocks grow instead.
+MOST_RANGES = 2_000
 WHOLE = "__whole"
 BLOCK = "__block"
 
@@ -63,7 +65,7 @@ def _blocks(rows: DataFrame, part: list[str], orders: list[str], out: dict[str,
     sizes = rows.groupBy(*part).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("all")).first()
     if sizes["most"] is None or sizes["most"] <= hot_rows:
         return None
-    ranges = -(-2 * sizes["all"] // hot_rows)
+    ranges = min(-(-2 * sizes["all"] // hot_rows), MOST_RANGES)
     by = [F.col(c).asc_nulls_first() for c in part + orders]
     dealt = materialise(rows.repartitionByRange(ranges, *by).withColumn(BLOCK, F.spark_partition_id()), "blocks")
     totals = dealt.groupBy(*part, BLOCK).agg(*[_AGG[r.fn](f"__v_{n}").alias(f"__t_{n}") for n, r in out.items()])
