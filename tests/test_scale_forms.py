@@ -172,6 +172,14 @@ def test_ancestors_of_a_long_chain_and_cycles(spark):
     assert sorted(r.node for r in ancestry.cyclic_nodes(df).collect()) == [5000, 5001, 5002, 6000, 7000]
 
 
+def test_jumps_end_with_the_longest_chain_and_hold_open_nodes_only(spark):
+    n = 400
+    links = [(i, (i + 1) % n) for i in range(n)] + [(1000 + i, 1001 + i if i < 5 else None) for i in range(6)] + [(2000 + i, 2000 if i else 7) for i in range(50)]
+    levels, looping = ancestry._settled(ancestry._jumps(spark.createDataFrame(links, "node long, parent long"), "node", "parent"))
+    assert len(levels) <= 5 and levels[2].count() == n + 50 + 2
+    assert sorted(r.node for r in looping.collect()) == [*range(n), *range(2000, 2050)]
+
+
 def test_ancestors_of_random_forests(spark):
     rng = random.Random(6)
     links = [(i, rng.choice([None, rng.randrange(i)]) if i else None) for i in range(200)]

@@ -21,15 +21,20 @@ def cyclic_nodes(links: DataFrame, node: str = "node", parent: str = "parent") -
 
 
 def _settled(jumps: DataFrame) -> tuple[list[DataFrame], DataFrame]:
-    """The tables of jumps by 1, 2, 4, .. links, until none is left, or more than all nodes were passed."""
-    count = jumps.count()
-    levels, now, reach = [jumps], jumps, 1
-    while reach <= count and not now.where(F.col("up").isNotNull()).isEmpty():
+    """The tables of jumps by 1, 2, 4, .. links, and the nodes that lead into a cycle.
+
+    Beyond the first, a table holds only nodes with so many ancestors. A chain of that length or more that
+    ends has one node with just so many, which the next table lacks. So where the next table has as many
+    rows, no such chain is left, and all its nodes lead into a cycle.
+    """
+    levels, now = [jumps], jumps.where(F.col("up").isNotNull())
+    count, before = now.count(), None
+    while count and count != before:
         far = now.select(F.col("node").alias("__at"), F.col("up").alias("__next"))
-        now = materialise(now.join(far, F.col("up") == F.col("__at"), "left").select("node", F.col("__next").alias("up")), "jumps")
+        now = materialise(now.join(far, F.col("up") == F.col("__at")).select("node", F.col("__next").alias("up")), "jumps")
         levels.append(now)
-        reach *= 2
-    return levels, now.where(F.col("up").isNotNull()).select("node")
+        before, count = count, now.count()
+    return levels, now.select("node")
 
 
 def ancestor_pairs(links: DataFrame, node: str = "node", parent: str = "parent") -> DataFrame:
