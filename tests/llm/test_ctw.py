@@ -111,3 +111,17 @@ def test_no_training_texts_and_empty_table(spark, empty):
     (r,) = ctw.score(docs, F.lit(False)).collect()
     assert r.score == pytest.approx(4 * 8 * math.log10(0.5)) and r.n_known == 0 and r.train_tokens == 0
     assert ctw.score(texts(empty), F.lit(True)).count() == 0
+
+
+def test_arrow_splits_texts_as_bytes_are_split():
+    odd = ["", " ", "\t a  B\n", "x", "É Aİ b\x0bc\x0c\r", "日本 語 ", "a\x85b\u00a0c \u2003 d", "Q" * 50, "a b"]
+    part = pa.array(["left out", *odd]).slice(1)
+    words, numbers = ctw.split_words(part)
+    want = [t.encode().lower().split() for t in odd]
+    assert words.to_pylist() == [w for ws in want for w in ws] and numbers.tolist() == [len(ws) for ws in want]
+    keys, sizes = ctw.streams(words, numbers)
+    padded = [b"\n" * ctw.DEPTH + b" ".join([*ws, b"\n"]) for ws in want]
+    assert sizes.tolist() == [len(p) - ctw.DEPTH for p in padded]
+    assert keys.tolist() == [int.from_bytes(p[i - ctw.DEPTH:i][::-1] + p[i:i + 1], "big") for p in padded for i in range(ctw.DEPTH, len(p))]
+    distinct, at = ctw.places(keys)
+    assert (distinct[at] == keys).all() and (np.diff(distinct.astype(np.int64)) > 0).all()

@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_rows, split_bytes, stored
+from .common import by_rows, stored
 
 DEPTH = 6
 SPLIT = 3  # context bytes that deal the model out
@@ -55,25 +55,46 @@ COUNT = np.dtype("<i8")
 VALUE = np.dtype("<f4")
 
 
-def streams(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The lower-cased words of all texts, one after the other, and the number of each text's."""
+    # a copy, as lower-casing misreads arrays that start inside a buffer
+    whole = pc.ascii_lower(texts.take(np.arange(len(texts))).cast(pa.string()))
+    parts = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(whole))
+    found = parts.flatten().cast(pa.binary())
+    full = pc.greater(pc.binary_length(found), 0).to_numpy(zero_copy_only=False)  # a blank text gives one empty word
+    ends = np.concatenate(([0], np.cumsum(full)))
+    offsets = parts.offsets.to_numpy() - parts.offsets[0].as_py()
+    return found if full.all() else found.filter(pa.array(full)), np.diff(ends[offsets])
+
+
+def streams(words: pa.Array, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sequences of all texts, one after the other, and the number of each text's."""
-    bodies = [b" ".join([*words, END]) for words in texts]
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(numbers))), pa.int32()), words)
+    bodies = pc.binary_join(lists, b" ").to_pylist()
+    bodies = [b + b" " + END if b else END for b in bodies]
     sizes = np.fromiter(map(len, bodies), np.int64, len(bodies))
     lead = END * DEPTH
-    a = np.frombuffer(lead + lead.join(bodies), np.uint8).astype(np.uint64)
-    n = len(a) - DEPTH
-    out = a[DEPTH - 1:DEPTH - 1 + n].copy()
-    for back in range(2, DEPTH + 1):
-        out <<= np.uint64(8)
-        out |= a[DEPTH - back:DEPTH - back + n]
-    out <<= np.uint64(8)
-    out |= a[DEPTH:]
+    data = END + lead + lead.join(bodies)
+    n = len(data) - DEPTH - 1
+    # eight bytes, the scored one last: read as one number, the nearest context byte stands next to the top
+    seen = np.ndarray((n,), "<u8", data, 0, (1,)).copy()
+    out = seen & np.uint64(0x00FFFFFFFFFFFF00) | seen >> np.uint64(56)
     scored = np.ones(n, bool)
     gaps = np.cumsum(sizes[:-1]) + DEPTH * np.arange(len(sizes) - 1)  # the bytes of a lead are not scored
     scored[(gaps[:, None] + np.arange(DEPTH)).ravel()] = False
     return out[scored], sizes
 
 
+def places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys, and the place of each key in them; hashing costs less than sorting all."""
+    coded = pa.array(keys).dictionary_encode()
+    found = coded.dictionary.to_numpy()
+    order = np.argsort(found)
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
+    return found[order], rank[coded.indices.to_numpy()]
+
+
 def word_key(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word)
 
@@ -148,23 +169,24 @@ class Lot:
         self.size = self.pending = 0
         self.held: dict[bool, list[np.ndarray]] = {True: [], False: []}
         self.sums: list[tuple[np.ndarray, np.ndarray]] = []
-        self.vocabulary: Counter = Counter()
+        self.vocabulary = Counter({END: 0})
+        self.words: list[pa.Array] = []  # of training texts, not counted yet
 
-    def add(self, texts: list[list[bytes]], train: list[bool]) -> None:
+    def add(self, texts: pa.Array, train: pa.Array) -> None:
         for part in (True, False):
-            chosen = [w for w, t in zip(texts, train, strict=True) if t == part]
-            if chosen:
-                keys, _ = streams(chosen)
-                self.held[part].append(keys)
-                self.size += len(keys)
-                self.pending += len(keys)
-            for words in chosen:
-                if part:
-                    self.vocabulary.update(words)
-                else:
-                    self.vocabulary.update(dict.fromkeys(words, 0))
+            chosen = texts.filter(train if part else pc.invert(train))
+            if not len(chosen):
+                continue
+            words, numbers = split_words(chosen)
+            keys, _ = streams(words, numbers)
+            self.held[part].append(keys)
+            self.size += len(keys)
+            self.pending += len(keys)
             if part:
+                self.words.append(words)
                 self.vocabulary[END] += len(chosen)
+            else:
+                self.vocabulary.update(dict.fromkeys(words.unique().to_pylist(), 0))
         if self.pending >= PENDING:
             self.settle()
 
@@ -174,6 +196,10 @@ class Lot:
                 keys, n = np.unique(np.concatenate(parts), return_counts=True)
                 self.sums.append((keys, n.astype(COUNT) if train else np.zeros(len(keys), COUNT)))
                 parts.clear()
+        if self.words:
+            found = pa.concat_arrays([w.cast(pa.large_binary()) for w in self.words]).value_counts()
+            self.vocabulary.update(dict(zip(found.field("values").to_pylist(), found.field("counts").to_pylist(), strict=True)))
+            self.words = []
         self.pending = 0
 
     def batches(self, lot: int):
@@ -201,7 +227,7 @@ def _count(lot_bytes: int):
                 continue
             blank = [pa.nulls(part.num_rows, t) for t in (pa.int8(), pa.int32(), pa.binary(), pa.binary(), pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array([number] * part.num_rows, pa.int64()), part.column(0), part.column(1), *blank], names=FIELDS)
-            lot.add([split_bytes(t, lower=True) for t in part.column(1).to_pylist()], part.column(2).to_pylist())
+            lot.add(part.column(1), part.column(2))
             if lot.size >= lot_bytes:
                 yield from lot.batches(number)
                 number, lot = number + 1, Lot()
@@ -450,18 +476,18 @@ class Scored:
     """Texts of one lot: each text's sequences as places in sorted distinct ones, some millions at a time."""
 
     def __init__(self):
-        self.rows: list[tuple[pa.RecordBatch, np.ndarray]] = []
-        self.words = {END}
+        self.rows: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
+        self.words = [pa.array([END], pa.binary())]
         self.pending: list[np.ndarray] = []
         self.size = 0
         self.sizes: list[np.ndarray] = []
         self.lists: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def add(self, part: pa.RecordBatch) -> None:
-        split = [split_bytes(t, lower=True) for t in part.column(2).to_pylist()]
-        self.words.update(*split)
-        keys, sizes = streams(split)
-        self.rows.append((part, sizes))
+        words, numbers = split_words(part.column(2))
+        self.words.append(words)
+        keys, sizes = streams(words, numbers)
+        self.rows.append((part.column(1), sizes, numbers))
         self.pending.append(keys)
         self.sizes.append(sizes)
         self.size += len(keys)
@@ -470,27 +496,30 @@ class Scored:
 
     def settle(self) -> None:
         if self.pending:
-            keys, at = np.unique(np.concatenate(self.pending), return_inverse=True)
-            self.lists.append((keys, at.astype(np.int32), np.concatenate(self.sizes)))
+            keys, at = places(np.concatenate(self.pending))
+            self.lists.append((keys, at, np.concatenate(self.sizes)))
             self.pending, self.sizes, self.size = [], [], 0
 
     def sums(self, values: np.ndarray) -> np.ndarray:
         """Each text's sum of the values, which are in the order of the lot's distinct sequences."""
         self.settle()
-        known = np.unique(np.concatenate([k for k, _, _ in self.lists]))
+        known = np.sort(np.concatenate([k for k, _, _ in self.lists]))  # np.unique would hash them, which is slower
+        known = known[np.flatnonzero(np.diff(known, prepend=known[:1] + np.uint64(1)))]
         out = []
         for keys, at, sizes in self.lists:
             found = values[np.searchsorted(known, keys)][at]
             out.append(np.bincount(np.repeat(np.arange(len(sizes)), sizes), found, minlength=len(sizes)))
         return np.concatenate(out)
 
-    def known(self, counts: np.ndarray) -> dict[bytes, float]:
-        """The logarithm for each word; the counts are in the order of the words' keys."""
-        words = list(self.words)
+    def known(self, counts: np.ndarray) -> list[np.ndarray]:
+        """The logarithms of the words of each part of texts, at first that of the end; the counts are
+        in the order of the words' keys."""
+        coded = pa.concat_arrays([w.cast(pa.large_binary()) for w in self.words]).dictionary_encode()
+        words = coded.dictionary.to_pylist()
         order = np.argsort(np.fromiter(map(word_key, words), np.uint64, len(words)))
         logs = np.empty(len(words))
         logs[order] = np.log10(counts + 0.5)
-        return dict(zip(words, logs.tolist(), strict=True))
+        return np.split(logs[coded.indices.to_numpy()], np.cumsum([len(w) for w in self.words[:-1]]))
 
 
 def _score(batches):
@@ -500,10 +529,10 @@ def _score(batches):
     def finish():
         if not texts.rows:
             return
-        scores, known = texts.sums(np.concatenate(values[SEQUENCE])), texts.known(np.concatenate(values[WORD]))
+        scores, (end, *logs) = texts.sums(np.concatenate(values[SEQUENCE])), texts.known(np.concatenate(values[WORD]))
         begin = 0
-        for part, sizes in texts.rows:
-            yield _score_texts(part, scores[begin:begin + len(sizes)], sizes, known)
+        for (ids, sizes, numbers), found in zip(texts.rows, logs, strict=True):
+            yield _score_texts(ids, scores[begin:begin + len(sizes)], sizes, numbers, found, float(end[0]))
             begin += len(sizes)
 
     for batch in batches:
@@ -525,18 +554,13 @@ def _score(batches):
     yield from finish()
 
 
-def _score_texts(part: pa.RecordBatch, scores: np.ndarray, sizes: np.ndarray, known: dict[bytes, float]) -> pa.RecordBatch:
-    split = [split_bytes(t, lower=True) for t in part.column(2).to_pylist()]
-    base, n_known = [], []
-    for ws in split:
-        logs = np.fromiter(map(known.__getitem__, ws), float, len(ws))
-        base.append(float(logs.sum()) + known[END])
-        n_known.append(int((logs > UNSEEN).sum()) + (known[END] > UNSEEN))
+def _score_texts(ids: pa.Array, scores: np.ndarray, sizes: np.ndarray, numbers: np.ndarray, logs: np.ndarray, end: float) -> pa.RecordBatch:
+    """``logs`` of the words of all texts, ``numbers`` of them in each text, and of its end."""
+    text = np.repeat(np.arange(len(numbers)), numbers)
+    base = np.bincount(text, logs, minlength=len(numbers)) + end
+    n_known = np.bincount(text[logs > UNSEEN], minlength=len(numbers)) + (end > UNSEEN)
     return pa.RecordBatch.from_arrays(
-        [
-            part.column(1), pa.array([len(w) + 1 for w in split], pa.int64()), pa.array(n_known, pa.int64()),
-            pa.array(base, pa.float64()), pa.array(scores, pa.float64()), pa.array(sizes),
-        ],
+        [ids, pa.array(numbers + 1, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores, pa.float64()), pa.array(sizes)],
         names=["doc_id", "n_tokens", "n_known", "base", "score", "n_bytes"],
     )
 
